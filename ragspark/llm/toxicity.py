@@ -14,11 +14,13 @@ from pyspark.sql import types as T
 from ragspark.llm.linear import Rows, fit_logistic, sigmoid
 from ragspark.llm.tables import removed, written
 
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
+#: an n-gram is one feature for each of these counts that it reaches in a text
+LEVELS = (1, 2, 4)
 BUCKET_BITS = 20
 #: bounds of what training reads and keeps: labelled rows of each class, and features
 SAMPLE_ROWS = {1: 6_000, 0: 14_000}
-FEATURES = 30_000
+FEATURES = 3_000
 SMOOTHING = 1.0
 THRESHOLD = 0.7
 HELD_OUT = 1  # crc32(doc_id as text) mod 3 of the rows that are never trained on
@@ -42,17 +44,33 @@ def gram_buckets(text: str | None) -> np.ndarray:
     return np.concatenate(out)
 
 
+def by_level(buckets: np.ndarray) -> list[np.ndarray]:
+    """The distinct buckets that come at least 1, 2, 4 times."""
+    distinct, counts = np.unique(buckets, return_counts=True)
+    return [distinct[counts >= level] for level in LEVELS]
+
+
+def gram_features(text: str | None) -> np.ndarray:
+    """All features of a text: level times number of buckets, plus bucket."""
+    return np.concatenate([x.astype(np.int64) + (k << BUCKET_BITS) for k, x in enumerate(by_level(gram_buckets(text)))])
+
+
 @dataclass
 class ToxicityModel:
-    """Weights by bucket (log-count ratio times coefficient; most are zero) and the bias."""
+    """Weights by count level and bucket (log-count ratio times coefficient; most are zero) and the bias."""
 
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self.used = self.weights.any(axis=0)
+
     def score(self, text: str | None) -> float:
         found = gram_buckets(text)
-        found = np.unique(found[self.weights[found] != 0])
-        return float(sigmoid(self.weights[found].sum(dtype=np.float64) + self.bias))
+        total = sum(
+            float(w[buckets].sum(dtype=np.float64)) for w, buckets in zip(self.weights, by_level(found[self.used[found]]))
+        )
+        return float(sigmoid(total + self.bias))
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
@@ -85,13 +103,13 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     without any label).
     """
     sample = written(labelled_sample(docs, labels, sample_rows))
-    size = 1 << BUCKET_BITS
+    size = len(LEVELS) << BUCKET_BITS
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, size), np.int32)
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"]):
-                counts[y][np.unique(gram_buckets(text))] += 1
+                counts[y][gram_features(text)] += 1
         seen = np.flatnonzero(counts.any(axis=0))
         yield pd.DataFrame({"bucket": seen, "neg": counts[0][seen], "pos": counts[1][seen]})
 
@@ -100,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     if not (n0 and n1):
         removed(sample)
         share = (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5
-        return ToxicityModel(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
+        return ToxicityModel(np.zeros((len(LEVELS), 1 << BUCKET_BITS), np.float32), float(np.log(share / (1 - share))))
     p, q = F.col("pos") / n1, F.col("neg") / n0
     shared = (F.col("pos") + F.col("neg")) / (n0 + n1)
     best = (
@@ -121,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [place[np.unique(gram_buckets(t))] for t in batch["text"]]
+            found = [place[gram_features(t)] for t in batch["text"]]
             yield pd.DataFrame({"y": batch["y"], "at": [x[x >= 0].tolist() for x in found]})
 
     # the same rows in the same order whatever the partitions, so that equal tables give equal models
@@ -131,12 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     w, bias = fit_logistic(rows, got["y"].to_numpy(float), l2=1e-3)
     weights = np.zeros(size, np.float32)
     weights[kept] = w * ratio
-    return ToxicityModel(weights, bias)
+    return ToxicityModel(weights.reshape(len(LEVELS), -1), bias)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the toxicity of each whole text, 0 to 1 (null and empty texts: that of no n-grams)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 13 MB
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
