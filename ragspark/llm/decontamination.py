@@ -50,19 +50,24 @@ def _windows(tokens: Column, n: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, pos, h, raw): the template windows of each item with enough literal words.
+    """(item_id, n, pos, h, raw, part): the template windows of each item with enough literal words.
 
-    An item of fewer words than WINDOW is one window; items without words have none.
+    Each window comes with names as placeholders and, where that differs, with names as words, as a text in
+    capitals shows no names. An item of fewer words than WINDOW is one window; items without words have none.
     """
     raw = raw_words(F.coalesce("text", F.lit("")))
-    items = benchmark.select("item_id", raw.alias("raw"), canonical(raw).alias("canon")).where("raw <> ''")
+    items = benchmark.select("item_id", raw.alias("raw")).where("raw <> ''")
+    canon = F.explode(F.array_distinct(F.array(canonical(F.col("raw")), canonical(F.lower("raw")))))
+    items = items.select("item_id", "raw", canon.alias("canon"))
     items = items.select("item_id", F.split("raw", " ").alias("raw"), F.split("canon", " ").alias("canon"))
     n = F.least(F.size("canon"), F.lit(WINDOW))
     at = items.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(1), F.size("canon") - F.col("n") + 1)).alias("pos"))
     part = at.withColumn("part", F.expr("slice(canon, pos, n)"))
     literal = F.size(F.filter("part", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    return part.where(literal >= F.least(F.col("n"), F.lit(LITERALS))).select(
-        "item_id", "n", "pos", F.xxhash64("n", F.array_join("part", " ")).alias("h"), F.expr("slice(raw, pos, n)").alias("raw"), "part"
+    return (
+        part.where(literal >= F.least(F.col("n"), F.lit(LITERALS)))
+        .select("item_id", "n", "pos", F.xxhash64("n", F.array_join("part", " ")).alias("h"), F.expr("slice(raw, pos, n)").alias("raw"), "part")
+        .distinct()
     )
 
 
