@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragspark.llm import decontamination, matroska, secrets, sentencepiece_tokens, simhash, toxicity
+from ragspark.llm import decontamination, licenses, matroska, secrets, sentencepiece_tokens, simhash, toxicity
 from ragspark.llm.tables import table
 
 
@@ -26,6 +26,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_tokens.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op6_secret_scan, op10_decontamination]
+    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op5_license_scan, op6_secret_scan, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": secrets.SQL}
+    return {"op5_license_scan": licenses.SQL, "op6_secret_scan": secrets.SQL}
