@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragspark.llm import decontamination, html_extraction, licenses, matroska, secrets, sentencepiece_tokens, simhash, toxicity
+from ragspark.llm import decontamination, html_extraction, licenses, matroska, passages, secrets, sentencepiece_tokens, simhash, toxicity
 from ragspark.llm.tables import table
 
 
@@ -34,6 +34,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.page_texts(table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op5_license_scan, op6_secret_scan, op8_html_extraction, op10_decontamination]
+    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op5_license_scan, op6_secret_scan, op7_substring_dedup, op8_html_extraction, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
