@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragspark.llm import decontamination, html_extraction, licenses, matroska, passages, secrets, sentencepiece_tokens, simhash, toxicity
+from ragspark.llm import decontamination, html_extraction, licenses, matroska, passages, quality, secrets, sentencepiece_tokens, simhash, toxicity
 from ragspark.llm.tables import table
 
 
@@ -42,12 +42,16 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op5_license_scan, op6_secret_scan, op7_substring_dedup, op8_html_extraction, op10_decontamination]
+    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op5_license_scan, op6_secret_scan, op7_substring_dedup, op8_html_extraction, op9_quality, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
