@@ -76,13 +76,13 @@ def h4_round_index(spark, sf_dir):
     return stages.round_index(tagged).select("run_id", "seq", "tag", "round")
 
 
-@query(f"""select run_id, round(count(*) * 64 * 1e9 / sum(total_ns), 6) as queries_per_s, floor(quantile_cont(total_ns, 0.5) / 1000)::bigint as p50_us,
-    floor(quantile_cont(total_ns, 0.95) / 1000)::bigint as p95_us, floor(quantile_cont(total_ns, 0.99) / 1000)::bigint as p99_us from {_TOTALS} group by run_id""")
+@query(f"""select run_id, round(count(*) * 64 * 1e9 / sum(total_ns), 6) as queries_per_s, floor(quantile_cont(total_ns, 0.5) / 1e6)::bigint as p50_ms,
+    floor(quantile_cont(total_ns, 0.95) / 1e6)::bigint as p95_ms, floor(quantile_cont(total_ns, 0.99) / 1e6)::bigint as p99_ms from {_TOTALS} group by run_id""")
 def h5_throughput_latency(spark, sf_dir):
     total = sum((F.coalesce(F.col(s), F.lit(0)) for s in list(_STAGE.values())[1:]), F.coalesce(F.col("embed"), F.lit(0)))
     rounds = _rounds(spark, sf_dir).select("run_id", F.lit(64).alias("n_queries"), total.alias("total_ns"))
     found = stages.throughput_latency(rounds)
-    return found.select("run_id", F.round("queries_per_s", 6).alias("queries_per_s"), *(F.floor(F.round(F.col(f"p{p}_ms") * 1000, 6)).cast("long").alias(f"p{p}_us") for p in (50, 95, 99)))
+    return found.select("run_id", F.round("queries_per_s", 6).alias("queries_per_s"), *(F.floor(f"p{p}_ms").cast("long").alias(f"p{p}_ms") for p in (50, 95, 99)))
 
 
 @query("""select ((doc_id % 4 + 1) * 16)::int as batch, (n_chars // 100)::int as size, count(*) as n from documents group by all""")
