@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -21,9 +20,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: characters that go to the library at once; bounds the memory of its encodings
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
+#: bytes of texts that a worker holds in words and tokens at once
+PART_BYTES = 1 << 20
 #: words whose ids a worker keeps, in each of two halves
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 250_000
 #: rows decoded at once
 DECODE_ROWS = 256
 
@@ -143,7 +144,8 @@ def build_tokenizer(model: Model) -> tuple[str, str | None]:
         steps.append(normalizers.Replace(" ", MARK))
     if marks_only_lead(model):
         core.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    undo = [decoders.Replace(MARK, " ")] + [decoders.ByteFallback()] * model.byte_fallback + [decoders.Fuse()]
+    # marks become spaces once in the whole text, not token by token
+    undo = [decoders.ByteFallback()] * model.byte_fallback + [decoders.Fuse(), decoders.Replace(MARK, " ")]
     core.decoder = decoders.Sequence(undo + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
     norm = Tokenizer(models.BPE())
     norm.normalizer = normalizers.Sequence(steps)
@@ -169,6 +171,8 @@ class Codec:
         self.plain = m.escape_spaces and m.dummy_prefix and not m.charsmap and not m.collapse_spaces
         self.by_words = marks_only_lead(m) and self.plain
         self.leads = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        # no piece holds a line break, so that no token reaches over one
+        self.lone_breaks = not any("\n" in p for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED))
         # ids by word without its first mark, as little-endian int32; an older and a newer half
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -192,10 +196,19 @@ class Codec:
         return out
 
     def _words(self, text: str) -> list[str]:
-        """A text's words, the first mark of each left out. A word is marks (spaces) and what follows them."""
+        """A text's words, the first mark of each left out. A word is marks (spaces) and what follows them.
+
+        Where no token reaches over a line break, what follows one is a word of its own, without mark.
+        """
         if "  " not in text and MARK not in text and text[:1] != " " and text[-1:] != " ":
+            if self.lone_breaks and "\n" in text:
+                text = text.replace("\n", " \n")
             return text.split(" ") if text else []
-        return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", self.normalized(text))]
+        word = f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*" if self.lone_breaks else f"{MARK}+[^{MARK}]*"
+        return [w[1:] if w[0] == MARK else w for w in re.findall(word, self.normalized(text))]
+
+    def _unmarked(self, word: str) -> bool:
+        return self.lone_breaks and word[:1] == "\n"
 
     def _learn(self, words: set[str]) -> None:
         """Encode words with both libraries; of words on which they differ, sentencepiece's ids are kept."""
@@ -211,7 +224,7 @@ class Codec:
             # a word's first token is the only one of it that begins with the mark
             if ids.tobytes() == a and len(starts) == len(run):
                 cuts = [*(starts * 4).tolist(), len(a)]
-                self.known.update(zip(run, (a[i:j] for i, j in zip(cuts, cuts[1:]))))
+                self.known.update(zip(run, (a[i + 4 * self._unmarked(w) : j] for w, i, j in zip(run, cuts, cuts[1:]))))
             else:
                 single += run
         theirs = self.peer.encode([w.replace(MARK, " ") for w in single], num_threads=1)
@@ -219,7 +232,7 @@ class Codec:
             b = np.array(b, "<i4").tobytes() if w else a  # a mark alone can't be asked for
             if a != b:
                 self.unequal.add(w)
-            self.known[w] = b
+            self.known[w] = b[4 * self._unmarked(w) :]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text as little-endian int32, and whether both libraries agree on them."""
@@ -267,35 +280,53 @@ def _model_bytes(spark, path: str) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
-    """docs with `input_ids` (array of int) and `parity` (whether sentencepiece gives the same ids).
+#: columns that encoding can give, with their types
+COLUMNS = {"input_ids": "array<int>", "n_tokens": "bigint", "ids_md5": "string", "parity": "boolean", "round_trip": "boolean"}
+
+
+def encoded(
+    docs: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH, want: tuple[str, ...] = ("input_ids", "parity")
+) -> DataFrame:
+    """docs with the wanted columns of COLUMNS.
 
-    Whole texts; null and empty texts have no tokens and parity true. A text without parity gets the ids of
-    sentencepiece itself. Strings of control pieces in a text are ordinary text. Other columns stay; input
-    columns named input_ids or parity are replaced. The model file (its size is fixed) is read once by the
-    driver and broadcast.
+    input_ids: the whole text's tokens. n_tokens: their number. ids_md5: MD5 of the ids joined by commas.
+    parity: whether sentencepiece gives the same ids; a text without parity gets the ids of sentencepiece
+    itself. round_trip: whether decoding gives the text back. Null and empty texts have no tokens, parity
+    and round trip. Strings of control pieces in a text are ordinary text. Other columns stay; those named
+    like wanted ones are replaced. The model file (its size is fixed) is read once by the driver and
+    broadcast.
     """
     spark = docs.sparkSession
     data = _model_bytes(spark, model_path)
     shared = spark.sparkContext.broadcast((build_tokenizer(parse_model(data)), data))
-    docs = docs.drop("input_ids", "parity")
+    docs = docs.drop(*want)
     names, at = docs.columns, docs.columns.index(text_col)
 
+    def columns(codec: Codec, texts: list[str]) -> dict[str, pa.Array]:
+        ids, same = codec.encode(texts)
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+        out = {"n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "parity": pa.array(same, pa.bool_())}
+        if "input_ids" in want:
+            out["input_ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        if {"ids_md5", "round_trip"} & set(want):
+            lists = [np.frombuffer(x, "<i4").tolist() for x in ids]
+            out["ids_md5"] = pa.array([hashlib.md5(repr(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in lists])
+            if "round_trip" in want:
+                out["round_trip"] = pa.array([a == b for a, b in zip(texts, codec.decode(lists))], pa.bool_())
+        return out
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*shared.value)
         for batch in batches:
             lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
-            cuts = np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum() + 1, 4 << 20))
-            for a, b in zip(np.unique(cuts), [*np.unique(cuts)[1:], batch.num_rows]):
+            cuts = np.unique(np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum() + 1, PART_BYTES)))
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
                 part = batch.slice(a, b - a)
-                texts = [x or "" for x in part.column(at).to_pylist()]
-                ids, same = codec.encode(texts)
-                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], [*names, "input_ids", "parity"])
+                got = columns(codec, [x or "" for x in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(got[k] for k in want)], [*names, *want])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(encode, f"{schema}, input_ids array<int>, parity boolean")
+    return docs.mapInArrow(encode, ", ".join([schema, *(f"{k} {COLUMNS[k]}" for k in want)]))
 
 
 def decoded(tokens: DataFrame, ids_col: str = "input_ids", out: str = "decoded", model_path: str = MODEL_PATH) -> DataFrame:
@@ -319,15 +350,6 @@ def decoded(tokens: DataFrame, ids_col: str = "input_ids", out: str = "decoded",
 
 
 def token_digests(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """Per row: (doc_id, n_tokens, ids_md5 of the comma-joined ids, round_trip, parity).
-
-    round_trip: decoding the ids gives the text back (null counts as empty).
-    """
-    tokens = encoded(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_path=model_path)
-    return decoded(tokens, model_path=model_path).select(
-        "doc_id",
-        F.size("input_ids").cast("long").alias("n_tokens"),
-        F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
-        "parity",
-    )
+    """Per row: (doc_id, n_tokens, ids_md5 of the comma-joined ids, round_trip, parity)."""
+    want = ("n_tokens", "ids_md5", "round_trip", "parity")
+    return encoded(docs.select("doc_id", "text"), model_path=model_path, want=want).select("doc_id", *want)
