@@ -96,8 +96,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     windows = written(item_windows(benchmark))
     hit = written(matches(docs, windows))
-    # the matched texts once more, for the words that stand in their slots
-    keys = hit.select("key").distinct()
+    # the matched texts once more, for the words that stand in their slots; merged at every size, so that
+    # the texts move once and no more
+    keys = hit.select("key").distinct().hint("merge")
     words = docs.join(keys, "key", "left_semi").dropDuplicates(["key"])
     words = words.select("key", F.split(raw_words("text"), " ").alias("words"))
     spelled = hit.join(words, "key").select("key", "n", "h", "doc_pos", F.expr("slice(words, doc_pos, n)").alias("theirs"))
