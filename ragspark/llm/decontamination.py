@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.llm.tables import text_key, written
+from ragspark.llm.tables import text_key, unused, written
 
 #: words of a template window, and how many of them must not be placeholders
 WINDOW = 8
@@ -132,7 +132,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without those that leak a benchmark item. Null texts stay."""
-    keyed = docs.withColumn("_key", text_key())
-    found = contamination(keyed.select(F.col("_key").alias("key"), "text"), benchmark).where("contaminated")
-    gone = found.select(F.col("key").alias("_key")).distinct()
-    return keyed.join(gone, "_key", "left_anti").select(docs.columns)
+    name = unused(docs, "_key")
+    keyed = docs.withColumn(name, text_key())
+    found = contamination(keyed.select(F.col(name).alias("key"), "text"), benchmark).where("contaminated")
+    gone = found.select(F.col("key").alias(name)).distinct()
+    return keyed.join(gone, name, "left_anti").select(docs.columns)

@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 
 from ragspark.llm import dom
 from ragspark.llm.gbt import Trees, fit_trees
+from ragspark.llm.tables import first_by_hash
 
-#: bounds of training: pages read, and pages composed anew of their texts for each of them
+#: bounds of training: pages read, their length, and pages composed anew of their texts for each of them
 SAMPLE_PAGES = 300
+SAMPLE_CHARS = 200_000
 COMPOSED = 4
 #: what a node costs whose children are decided apart
 SPLIT = 0.4
@@ -132,9 +134,10 @@ def train(pages: DataFrame) -> Trees:
     pages of many layouts, with other elements, names and kinds of boilerplate, whose labels are known.
     Without such pages a fixed sentence takes the place of the texts.
     """
-    rows = pages.where("html like '%<article%'").select("html", F.xxhash64("page_id", "html").alias("_at")).orderBy("_at").limit(SAMPLE_PAGES)
+    chosen = first_by_hash(pages.where(f"page_id is not null and html like '%<article%' and length(html) <= {SAMPLE_CHARS}").select("page_id"), SAMPLE_PAGES, "page_id")
+    rows = pages.where(f"length(html) <= {SAMPLE_CHARS}").select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id")  # at most SAMPLE_PAGES ids
     x, y, texts = [], [], []
-    for row in rows.select(F.substring("html", 1, 200_000).alias("html")).collect():
+    for row in rows.orderBy("page_id", F.md5("html")).limit(SAMPLE_PAGES).collect():
         order = dom.parse(row["html"])
         articles = [n for n in order if n.tag == "article"]
         if len(articles) == 1:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ragspark.llm.gbt import Trees, fit_trees
 from ragspark.llm.linear import Rows, fit_logistic, sigmoid
+from ragspark.llm.tables import first_by_hash
 
 #: bounds of what training reads: labelled rows, and rows without label that the views label for each other
 LABELLED_ROWS = 8_000
@@ -58,6 +59,9 @@ def meta_features(lang: str | None, source: str | None, n_chars: float | None) -
     return [size, float(missing), *(float(at[0] == b) for b in range(BUCKETS)), *(float(at[1] == b) for b in range(BUCKETS))]
 
 
+TEXT_FEATURES, META_FEATURES = len(text_features("")), len(meta_features(None, None, None))
+
+
 @dataclass
 class View:
     """A classifier over one view with its calibration: a slope and offset on the log odds."""
@@ -151,9 +155,8 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    some = known.orderBy(*order).limit(LABELLED_ROWS)
-    pool = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(*order).limit(POOL_ROWS)
+    some = first_by_hash(known, LABELLED_ROWS, "doc_id")
+    pool = first_by_hash(docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti"), POOL_ROWS, "doc_id")
     chosen = some.unionByName(pool.withColumn("y", F.lit(None).cast("double")))
     # both samples are bounded, so their ids go to all executors
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
@@ -167,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
     got = rows.mapInPandas(run, "doc_id long, y double, a array<double>, b array<double>").toPandas()
     got = got.sort_values(["doc_id", "y"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    views = [np.array(got[c].tolist(), float).reshape(len(got), -1) for c in ("a", "b")]
+    views = [np.array(got[c].tolist(), float).reshape(len(got), n) for c, n in (("a", TEXT_FEATURES), ("b", META_FEATURES))]
     known_at = got["y"].notna().to_numpy()
     held = np.array([crc32(str(i).encode()) % 5 == CALIBRATION for i in got["doc_id"]], bool)
     return co_train([v[known_at] for v in views], got["y"].to_numpy()[known_at], [v[~known_at] for v in views], held[known_at])
@@ -185,8 +188,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf(schema)
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for text, lang, source, n_chars in batches:
-            a = np.array([text_features(t) for t in text], float).reshape(len(text), -1)
-            b = np.array([meta_features(*r) for r in zip(lang, source, n_chars)], float).reshape(len(text), -1)
+            a = np.array([text_features(t) for t in text], float).reshape(len(text), TEXT_FEATURES)
+            b = np.array([meta_features(*r) for r in zip(lang, source, n_chars)], float).reshape(len(text), META_FEATURES)
             yield pd.DataFrame(dict(zip(schema.names, shared.value.scores(a, b))))
 
     found = docs.select("doc_id", score("text", "lang", "source", "n_chars").alias("s")).select("doc_id", "s.*")

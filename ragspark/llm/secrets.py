@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.llm.tables import text_key, written
+from ragspark.llm.tables import text_key, unused, written
 
 # Kinds in the order of the listing, their patterns, the group that holds the secret, and
 # the least length of that group.
@@ -132,13 +132,15 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Widely copied examples and weak candidates stay; no row is dropped.
     """
-    values = classified_spans(docs).where("class = 'live'").groupBy("key").agg(F.collect_set("value").alias("_values"))
-    ordered = F.expr("array_sort(_values, (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 else 1 end)")
+    key, values = unused(docs, "_key"), unused(docs, "_values")
+    held = classified_spans(docs).where("class = 'live'").groupBy(F.col("key").alias(key)).agg(F.collect_set("value").alias(values))
+    longer = "case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end"
+    ordered = F.expr(f"array_sort({values}, (a, b) -> {longer})")
     clean = F.aggregate(ordered, F.col("text"), lambda text, v: F.replace(text, v, F.lit(mark)))
-    out = docs.withColumn("_key", text_key()).join(values.withColumnRenamed("key", "_key"), "_key", "left")
-    out = out.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(clean))
+    out = docs.withColumn(key, text_key()).join(held, key, "left")
+    out = out.withColumn("text", F.when(F.col(values).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
 
 

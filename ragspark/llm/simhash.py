@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm.components import connected_components
-from ragspark.llm.tables import written
+from ragspark.llm.tables import unused, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -165,5 +165,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
     # a repeated doc_id: one row, the least by the other columns
+    name = unused(docs, "_rank")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))
-    return kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank").unionByName(docs.where("doc_id is null"))
+    return kept.withColumn(name, rank).where(F.col(name) == 1).drop(name).unionByName(docs.where("doc_id is null"))

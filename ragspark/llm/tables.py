@@ -52,6 +52,29 @@ def text_key(text: str | Column = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def first_by_hash(df: DataFrame, k: int, *keys: str) -> DataFrame:
+    """k rows of df, the first by a hash of keys (all rows where there are no more).
+
+    A threshold on the hash leaves little more than k rows before they are ordered, however many partitions
+    there are.
+    """
+    h = F.xxhash64(*keys)
+    n, some = df.count(), df
+    if n > 2 * k:
+        share = 1.5 * k / n + 100 / n
+        near = df.where(h < F.lit(int(-(2**63) + min(share, 1.0) * (2**64 - 1))))
+        some = near if near.count() >= k else df
+    return some.withColumn("_hash", h).orderBy("_hash", *keys).limit(k).drop("_hash")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

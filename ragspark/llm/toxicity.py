@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm.linear import Rows, fit_logistic, sigmoid
-from ragspark.llm.tables import removed, written
+from ragspark.llm.tables import first_by_hash, removed, unused, written
 
 GRAMS = (3, 4, 5, 6)
 #: an n-gram is one feature for each of these counts that it reaches in a text
@@ -88,7 +88,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, i
     rows = sample_rows or SAMPLE_ROWS
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in rows.items()]
+    parts = [first_by_hash(known.where(F.col("y") == y), n, "doc_id") for y, n in rows.items()]
     chosen = parts[0].unionByName(parts[1])
     # the chosen ids are bounded by sample_rows, so they go to all executors and the texts don't move
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
@@ -176,4 +176,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without those predicted toxic; null and empty texts stay unless the bias alone rejects."""
     model = train(docs, labels)
-    return scored(docs, model, out="_score").where(F.col("_score") < THRESHOLD).select(docs.columns)
+    name = unused(docs, "_score")
+    return scored(docs, model, out=name).where(F.col(name) < THRESHOLD).select(docs.columns)
