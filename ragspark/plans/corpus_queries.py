@@ -16,9 +16,9 @@ def a1_load_corpus(spark, sf_dir):
     return corpus.load_corpus(spark, f"{sf_dir}/documents.parquet", "text", "doc_id")
 
 
-@query("select doc_id, lang, n_chars from (select *, row_number() over (order by doc_id) - 1 as p from documents) where p >= 200 and p < 400")
+@query("select doc_id, lang, n_chars from (select *, row_number() over (order by doc_id) - 1 as p from documents) where p >= 100 and p < 150")
 def a2_dataset_slice(spark, sf_dir):
-    return corpus.dataset_slice(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 200, 1, "doc_id")
+    return corpus.dataset_slice(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 50, 2, "doc_id")
 
 
 @query("""select doc_id, lang, n_chars from (select *, row_number() over (order by doc_id) as p, count(*) over () as n from documents)
