@@ -137,3 +137,44 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(keyed.select(F.col(name).alias("key"), "text"), benchmark).where("contaminated")
     gone = found.select(F.col("key").alias(name)).distinct()
     return keyed.join(gone, name, "left_anti").select(docs.columns)
+
+
+_WORD = "[\\p{L}\\p{N}]+"
+
+
+
+def _sql_canonical(raw: str) -> str:
+    """Canonical words of a list column `raw` with a unit after a number as %."""
+    units = "', '".join(UNITS.split())
+    one = f"case when regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}') then '{NAME}' when regexp_matches(w, '^\\p{{N}}+$') then '{NUMBER}' else lower(w) end"
+    return f"""list_transform(range(1, len({raw}) + 1), lambda i: case when i > 1 and regexp_matches({raw}[i - 1], '^\\p{{N}}+$') and lower({raw}[i]) in ('{units}')
+      and not regexp_matches({raw}[i], '^\\p{{Lu}}\\p{{Ll}}') then '{UNIT}' else {one.replace("w,", f"{raw}[i],").replace("lower(w)", f"lower({raw}[i])")} end)"""
+
+
+SQL = f"""
+with items as (
+  select item_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as raw, text from benchmark),
+forms as (
+  select distinct item_id, raw, canon from (
+    select item_id, raw, {_sql_canonical("raw")} as canon from items union all
+    select item_id, raw, {_sql_canonical("low")} from (select *, list_transform(raw, lambda x: lower(x)) as low from items))),
+windows as (
+  select distinct item_id, n, pos, canon[pos:pos + n - 1] as part, raw[pos:pos + n - 1] as raw from (
+    select *, unnest(range(1, len(canon) - n + 2)) as pos from (select *, least(len(canon), {WINDOW}) as n from forms where len(canon) > 0))
+  where len(list_filter(canon[pos:pos + n - 1], lambda w: w not in ('{NUMBER}', '{NAME}', '{UNIT}'))) >= least(n, {LITERALS})),
+docs as (
+  select doc_id, raw, {_sql_canonical("raw")} as canon from (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as raw from documents)),
+lengths as (select distinct n from windows),
+places as (
+  select doc_id, n, canon[k:k + n - 1] as part, raw[k:k + n - 1] as theirs from (
+    select doc_id, raw, canon, n, unnest(range(1, len(canon) - n + 2)) as k from docs, lengths where len(canon) >= n)),
+pairs as (select p.doc_id, w.item_id, w.pos, w.part, w.raw, p.theirs from places p join windows w on p.n = w.n and p.part = w.part),
+matched as (select doc_id, item_id, count(distinct pos) as n_matched from pairs group by all),
+slots as (
+  select doc_id, item_id, count(distinct r) / count(distinct (r, t)) as consistency from (
+    select doc_id, item_id, unnest(part) as p, unnest(raw) as r, unnest(theirs) as t from pairs) where p in ('{NUMBER}', '{NAME}', '{UNIT}') group by all),
+total as (select item_id, count(distinct pos) as n_windows from windows group by 1)
+select doc_id, item_id, n_windows, n_matched, n_matched / n_windows as coverage, coalesce(consistency, 1.0)::double as consistency
+from matched join total using (item_id) left join slots using (doc_id, item_id)
+where n_matched / n_windows >= {COVERAGE} and coalesce(consistency, 1.0) >= {CONSISTENCY}
+"""

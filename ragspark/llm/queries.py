@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.SQL, "op6_secret_scan": secrets.SQL}
+    return {"op5_license_scan": licenses.SQL, "op6_secret_scan": secrets.SQL, "op10_decontamination": decontamination.SQL}
