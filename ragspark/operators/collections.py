@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.operators.position import with_position
@@ -21,10 +21,13 @@ def assign_ids(df: DataFrame, order_by: str, start: int = 0) -> DataFrame:
 
 
 def latest(changes: DataFrame, key: str, order_col: str) -> DataFrame:
-    """The last change of each key; the operations that tie in order_col are settled by the other columns."""
-    ties = [F.desc(c) for c in changes.columns if c not in (key, order_col)]
-    w = Window.partitionBy(key).orderBy(F.desc(order_col), *ties)
-    return changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last change of each key; the changes that tie in order_col are settled by the other columns.
+
+    An aggregate, so that a key with very many changes is reduced before the shuffle.
+    """
+    others = [c for c in changes.columns if c not in (key, order_col)]
+    last = changes.groupBy(key).agg(F.max(F.struct(order_col, *others)).alias("_last"))
+    return last.select(key, "_last.*").select(changes.columns)
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order_col: str) -> DataFrame:

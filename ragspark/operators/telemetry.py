@@ -11,16 +11,31 @@ from pyspark.sql import functions as F
 CPU_COUNTERS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal", "guest", "guest_nice")
 
 
-def counter_delta(df: DataFrame, keys: list[str], ts: str, cols: list[str], first: str = "drop") -> DataFrame:
-    """df with <col>_delta: the difference to the device's sample before. first: drop the first sample, or "zero"."""
+def counter_delta(df: DataFrame, keys: list[str], ts: str, cols: list[str], first: str = "drop", bucket: int | None = None) -> DataFrame:
+    """df with <col>_delta: the difference to the device's sample before. first: drop the first sample, or "zero".
+
+    With a bucket (in units of ts) each device's series is cut into spans of that length, and the last
+    sample of a span is carried into the next one, so that no series is one task's work.
+    """
     if first not in ("drop", "zero"):
         raise ValueError("first is drop or zero")
-    w = Window.partitionBy(*keys).orderBy(ts)
-    told = df.withColumn("_n", F.row_number().over(w)) if first == "drop" else df
-    told = told.withColumns({f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in cols})
+    if bucket:
+        df = df.withColumn("_span", F.floor(F.col(ts) / bucket))
+        spans = df.groupBy(*keys, "_span").agg(F.max(F.struct(ts, *cols)).alias("_end"))
+        before = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_span"))
+        carried = spans.withColumn("_carried", before).drop("_end")
+        told = df.join(carried, [*keys, "_span"])
+        w = Window.partitionBy(*keys, "_span").orderBy(ts)
+        has = F.lag(F.lit(True)).over(w).isNotNull() | F.col("_carried").isNotNull()
+        told = told.withColumns({"_has": has, **{f"{c}_delta": F.col(c) - F.coalesce(F.lag(c).over(w), F.when(F.lag(F.lit(True)).over(w).isNull(), F.col(f"_carried.{c}"))) for c in cols}})
+    else:
+        w = Window.partitionBy(*keys).orderBy(ts)
+        told = df.withColumns({"_has": F.row_number().over(w) > 1, **{f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in cols}})
     if first == "drop":
-        return told.where("_n > 1").drop("_n")
-    return told.withColumns({f"{c}_delta": F.coalesce(f"{c}_delta", F.col(c) - F.col(c)) for c in cols})
+        told = told.where("_has")
+    else:
+        told = told.withColumns({f"{c}_delta": F.coalesce(f"{c}_delta", F.col(c) - F.col(c)) for c in cols})
+    return told.drop("_has", "_span", "_carried")
 
 
 def cpu_percent(df: DataFrame, keys: list[str], ts: str, counters: list[str] | tuple[str, ...] = CPU_COUNTERS) -> DataFrame:
@@ -90,17 +105,27 @@ def gpu_process_memory_stack(df: DataFrame) -> DataFrame:
     return told.select("run_id", "gpu", "ts_ns", "slot", "gib", F.sum("gib").over(w).alias("stacked_gib"))
 
 
-def tag_samples(samples: DataFrame, stages: DataFrame) -> DataFrame:
+def tag_samples(samples: DataFrame, stages: DataFrame, bucket: int | None = None) -> DataFrame:
     """samples(run_id, ts_ns, ...), stages(run_id, ts_ns, tag) -> samples with the stage active at each (`stage`).
 
     A stage holds from its time to before the next one's; samples before the first stage get null. One sort
-    by run and time carries the last tag forward; there is no range join.
+    by run and time carries the last tag forward; there is no range join. With a bucket (ns) each run is cut
+    into spans of that length and the last tag before a span is carried into it, so that no run is one
+    task's work.
     """
     marks = stages.select("run_id", "ts_ns", F.col("tag").alias("_tag"), F.lit(0).alias("_side"))
     both = samples.withColumn("_side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("run_id").orderBy("ts_ns", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = both.withColumn("stage", F.last("_tag", ignorenulls=True).over(w)).where("_side = 1")
-    return tagged.select(*samples.columns, "stage")
+    keys = ["run_id"]
+    if bucket:
+        both, keys = both.withColumn("_span", F.floor(F.col("ts_ns") / bucket)), ["run_id", "_span"]
+    w = Window.partitionBy(*keys).orderBy("ts_ns", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = both.withColumn("stage", F.last("_tag", ignorenulls=True).over(w))
+    if bucket:
+        ends = both.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, F.struct("ts_ns", "_tag"))).alias("_end"))
+        earlier = Window.partitionBy("run_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, F.last("_end", ignorenulls=True).over(earlier)["_tag"].alias("_carried"))
+        tagged = tagged.where("_side = 1").join(ends, keys).withColumn("stage", F.coalesce("stage", "_carried"))
+    return tagged.where("_side = 1").select(*samples.columns, "stage")
 
 
 def stage_resource_summary(tagged: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:

@@ -88,6 +88,18 @@ def test_counters(spark):
     assert pct == {2: 100.0, 3: None}
 
 
+def test_spans_change_nothing(spark):
+    rng = random.Random(9)
+    rows = [(d, t, rng.choice([None, t * 3, t])) for d in ("a", "b") for t in sorted(rng.sample(range(1000), 60))]
+    df = spark.createDataFrame(rows, "run_id string, ts_ns long, x long")
+    for first in ("drop", "zero"):
+        a, b = (sorted(map(str, telemetry.counter_delta(df, ["run_id"], "ts_ns", ["x"], first, k).collect())) for k in (None, 37))
+        assert a == b
+    marks = spark.createDataFrame([(d, t, f"s{t}") for d in ("a", "b") for t in rng.sample(range(1000), 9)], "run_id string, ts_ns long, tag string")
+    a, b = (sorted(map(str, telemetry.tag_samples(df, marks, k).collect())) for k in (None, 37))
+    assert a == b
+
+
 def test_series(spark):
     df = spark.createDataFrame([("a", n, float(v)) for n, v in enumerate([5, 10, 15, 20])], "d string, ts_ns long, v double")
     assert [r["v_smooth"] for r in telemetry.smooth(df, "v", ["d"], "ts_ns").orderBy("ts_ns").collect()] == [6, 10, 10, 9]
