@@ -159,7 +159,8 @@ class Codec:
     """Encoder and decoder of one worker; keeps the ids of words it has encoded and verified."""
 
     def __init__(self, built: tuple[str, str | None], data: bytes):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")  # batches use the threads a task's process has
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of a batch: a task has few cores, and each thread holds memory
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -254,6 +255,10 @@ class Codec:
             self.known, self.older = {}, known
         return ids, same
 
+    def forget(self) -> None:
+        """Drop the words; between tasks they would hold memory that other stages on the executor need."""
+        self.known, self.older, self.unequal = {}, {}, set()
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of token ids."""
         out: list[str] = []
@@ -324,6 +329,7 @@ def encoded(
                 part = batch.slice(a, b - a)
                 got = columns(codec, [x or "" for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, *(got[k] for k in want)], [*names, *want])
+        codec.forget()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(encode, ", ".join([schema, *(f"{k} {COLUMNS[k]}" for k in want)]))

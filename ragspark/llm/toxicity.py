@@ -50,27 +50,36 @@ def by_level(buckets: np.ndarray) -> list[np.ndarray]:
     return [distinct[counts >= level] for level in LEVELS]
 
 
+def features_of(buckets: np.ndarray) -> np.ndarray:
+    """Features of n-grams with repeats: level times number of buckets, plus bucket; ascending."""
+    return np.concatenate([x.astype(np.int64) + (k << BUCKET_BITS) for k, x in enumerate(by_level(buckets))])
+
+
 def gram_features(text: str | None) -> np.ndarray:
-    """All features of a text: level times number of buckets, plus bucket."""
-    return np.concatenate([x.astype(np.int64) + (k << BUCKET_BITS) for k, x in enumerate(by_level(gram_buckets(text)))])
+    return features_of(gram_buckets(text))
 
 
 @dataclass
 class ToxicityModel:
-    """Weights by count level and bucket (log-count ratio times coefficient; most are zero) and the bias."""
+    """Sorted features with their weights (log-count ratio times coefficient), and the bias."""
 
+    features: np.ndarray
     weights: np.ndarray
     bias: float
 
     def __post_init__(self):
-        self.used = self.weights.any(axis=0)
+        self.used: np.ndarray | None = None  # by bucket, made where the model is used
 
     def score(self, text: str | None) -> float:
-        found = gram_buckets(text)
-        total = sum(
-            float(w[buckets].sum(dtype=np.float64)) for w, buckets in zip(self.weights, by_level(found[self.used[found]]))
-        )
-        return float(sigmoid(total + self.bias))
+        if self.used is None:
+            self.used = np.zeros(1 << BUCKET_BITS, bool)
+            self.used[self.features & ((1 << BUCKET_BITS) - 1)] = True
+        buckets = gram_buckets(text)
+        found = features_of(buckets[self.used[buckets]])
+        if not len(self.features):
+            return float(sigmoid(self.bias))
+        at = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
+        return float(sigmoid(self.weights[at[self.features[at] == found]].sum() + self.bias))
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
@@ -91,7 +100,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, i
     parts = [first_by_hash(known.where(F.col("y") == y), n, "doc_id") for y, n in rows.items()]
     chosen = parts[0].unionByName(parts[1])
     # the chosen ids are bounded by sample_rows, so they go to all executors and the texts don't move
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")  # an id that repeats is one row
 
 
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_rows: dict[int, int] | None = None) -> ToxicityModel:
@@ -106,19 +116,19 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     size = len(LEVELS) << BUCKET_BITS
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, size), np.int32)
+        counts = np.zeros((2, size), np.uint16)  # no class has as many rows as that holds
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"]):
                 counts[y][gram_features(text)] += 1
         seen = np.flatnonzero(counts.any(axis=0))
-        yield pd.DataFrame({"bucket": seen, "neg": counts[0][seen], "pos": counts[1][seen]})
+        yield pd.DataFrame({"bucket": seen, "neg": counts[0][seen].astype(np.int32), "pos": counts[1][seen].astype(np.int32)})
 
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not (n0 and n1):
         removed(sample)
         share = (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.5
-        return ToxicityModel(np.zeros((len(LEVELS), 1 << BUCKET_BITS), np.float32), float(np.log(share / (1 - share))))
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
     p, q = F.col("pos") / n1, F.col("neg") / n0
     shared = (F.col("pos") + F.col("neg")) / (n0 + n1)
     best = (
@@ -131,30 +141,26 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
         .toPandas()
         .sort_values("bucket")
     )
-    kept = best["bucket"].to_numpy()
+    kept = best["bucket"].to_numpy(np.int64)
     ratio = np.log((best["pos"] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((best["neg"] + SMOOTHING) / (n0 + 2 * SMOOTHING))
     ratio = ratio.to_numpy()
-    place = np.full(size, -1, np.int32)
-    place[kept] = np.arange(len(kept))
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [place[gram_features(t)] for t in batch["text"]]
-            yield pd.DataFrame({"y": batch["y"], "at": [x[x >= 0].tolist() for x in found]})
+            found = [np.flatnonzero(np.isin(kept, gram_features(t), assume_unique=True)) for t in batch["text"]]
+            yield pd.DataFrame({"y": batch["y"], "at": [x.tolist() for x in found]})
 
     # the same rows in the same order whatever the partitions, so that equal tables give equal models
     got = sample.mapInPandas(columns, "y int, at array<int>").orderBy("y", "at").toPandas()
     removed(sample)
     rows = Rows.of([np.asarray(x, np.int64) for x in got["at"]], len(kept), ratio)
     w, bias = fit_logistic(rows, got["y"].to_numpy(float), l2=1e-3)
-    weights = np.zeros(size, np.float32)
-    weights[kept] = w * ratio
-    return ToxicityModel(weights.reshape(len(LEVELS), -1), bias)
+    return ToxicityModel(kept, w * ratio, bias)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the toxicity of each whole text, 0 to 1 (null and empty texts: that of no n-grams)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 13 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
