@@ -135,7 +135,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     name = unused(docs, "_key")
     keyed = docs.withColumn(name, text_key())
     found = contamination(keyed.select(F.col(name).alias("key"), "text"), benchmark).where("contaminated")
-    gone = found.select(F.col("key").alias(name)).distinct()
+    gone = written(found.select(F.col("key").alias(name)).distinct())
     return keyed.join(gone, name, "left_anti").select(docs.columns)
 
 
