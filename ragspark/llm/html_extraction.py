@@ -130,11 +130,11 @@ def _labels(order: list[dom.Node], mark: dict[int, str | None]) -> np.ndarray:
 def train(pages: DataFrame) -> Trees:
     """Fit on a bounded sample of pages, the first SAMPLE_PAGES by a hash of their ids.
 
-    A page that has one <article> is labelled by it. The texts of these articles are also composed into new
-    pages of many layouts, with other elements, names and kinds of boilerplate, whose labels are known.
-    Without such pages a fixed sentence takes the place of the texts.
+    A page that has one <article> is labelled by it. The texts of the sample are also composed into new pages
+    of many layouts, with other elements, names and kinds of boilerplate, whose labels are known. Without any
+    text a fixed sentence takes its place.
     """
-    chosen = first_by_hash(pages.where(f"page_id is not null and html like '%<article%' and length(html) <= {SAMPLE_CHARS}").select("page_id"), SAMPLE_PAGES, "page_id")
+    chosen = first_by_hash(pages.where(f"page_id is not null and length(html) between 1 and {SAMPLE_CHARS}").select("page_id"), SAMPLE_PAGES, "page_id")
     rows = pages.where(f"length(html) <= {SAMPLE_CHARS}").select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id")  # at most SAMPLE_PAGES ids
     x, y, texts = [], [], []
     for row in rows.orderBy("page_id", F.md5("html")).limit(SAMPLE_PAGES).collect():
@@ -143,8 +143,9 @@ def train(pages: DataFrame) -> Trees:
         if len(articles) == 1:
             x.append(dom.features(order))
             y.append(_labels(order, {articles[0].number: "1"}))
-            found = "\n".join(kept_blocks(order, articles[0].number))
-            texts.append(found[:20_000])
+        # a page without one lends its words only
+        found = "\n".join(kept_blocks(order, articles[0].number if len(articles) == 1 else 0))
+        texts.append(found[:20_000])
     texts = [t for t in texts if t.strip()] or ["This page holds a few words of text, and no more than that."]
     rng = random.Random(7)
     for _ in range(COMPOSED * SAMPLE_PAGES):
