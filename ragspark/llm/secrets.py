@@ -78,7 +78,8 @@ def ownership(spans: DataFrame, rows: DataFrame) -> DataFrame:
     rows(key, repo, owner): which repository and owner each text belongs to. Exact distinct counts, summed
     up per task before the shuffle; null repositories and owners don't count.
     """
-    held = spans.select("key", F.xxhash64("value").alias("value_hash")).distinct().join(rows, "key")
+    # written, so that neither side is an aggregate and Spark can split the rows of a text with many copies
+    held = written(spans.select("key", F.xxhash64("value").alias("value_hash")).distinct()).join(rows, "key")
     return held.groupBy("value_hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
@@ -114,10 +115,10 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     said = lambda spans: F.array_join(
         F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ","
     )
-    per_text = per_text.select(
+    per_text = written(per_text.select(
         "key", *(f"n_{k}" for k in KINDS),
         said(F.filter("found", lambda x: x["k"] < len(KINDS))).alias("base"), said(F.col("found")).alias("spans"),
-    )
+    ))
     rows = docs.select("doc_id", text_key().alias("key"))
     return rows.join(per_text, "key", "left").select(
         "doc_id",
@@ -134,6 +135,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     key, values = unused(docs, "_key"), unused(docs, "_values")
     held = classified_spans(docs).where("class = 'live'").groupBy(F.col("key").alias(key)).agg(F.collect_set("value").alias(values))
+    held = written(held)
     longer = "case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end"
     ordered = F.expr(f"array_sort({values}, (a, b) -> {longer})")
     clean = F.aggregate(ordered, F.col("text"), lambda text, v: F.replace(text, v, F.lit(mark)))
