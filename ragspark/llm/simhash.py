@@ -67,6 +67,11 @@ def _distance(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """fps over as many partitions as shuffles have: few bytes become 64 times as many rows."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """Index entries: fps with a column `key` for each one-wildcard variant of each segment (64 a fingerprint).
 
@@ -89,7 +94,7 @@ def _hub_links(fps: DataFrame, distance: int) -> DataFrame:
     bucket = Window.partitionBy("key")
     hub = F.max(F.struct("n_docs", "fp")).over(bucket)
     linked = (
-        variants(fps)
+        variants(_spread(fps))
         .withColumn("hub", hub)
         .select("fp", F.col("hub.fp").alias("hub"))
         .where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= distance))
@@ -106,7 +111,7 @@ def _rest_links(fps: DataFrame, distance: int) -> DataFrame:
     """
     bucket, part = Window.partitionBy("key"), Window.partitionBy("key", "comp")
     mixed = written(
-        variants(fps.select("fp", "comp"))
+        variants(_spread(fps.select("fp", "comp")))
         .withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)})
         .where("lo < hi")
         .withColumn("n", F.count(F.lit(1)).over(part))
