@@ -12,6 +12,8 @@ import numpy as np
 # Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript template head title svg math iframe object canvas select option textarea button audio video".split())
+#: elements that may stand in a head; any other one ends it, as text does
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCKS = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody thead tfoot tr caption ul".split()
@@ -65,7 +67,7 @@ def attribute_kinds(attrs: list[tuple[str, str | None]]) -> np.ndarray:
     out = np.zeros(len(WORDS), np.int8)
     for name, value in attrs:
         if value and name in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
-            for w in re.findall("[a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", value[:400]).lower()):
+            for w in re.findall("[a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", value).lower()):
                 if w in KINDS:
                     out[KINDS[w]] = 1
     return out
@@ -91,7 +93,20 @@ class _Builder(HTMLParser):
             self.linked -= tag == "a"
         del self.open[keep:]
 
+    def _leave_head(self, tag: str = "") -> None:
+        """Ends an open head that has no end tag, before an element or a text that may not stand in it."""
+        if self.hidden and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop(len(self.open) - 1)
+        elif self.hidden and tag == "body":
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == "template":
+                    break
+                if self.open[k][0] == "head":
+                    self._pop(k)
+                    break
+
     def handle_starttag(self, tag, attrs):
+        self._leave_head(tag)
         if tag in ("br", "wbr") or tag in VOID and tag != "hr":
             if tag != "wbr":
                 self._text(" ", 0)
@@ -152,6 +167,8 @@ class _Builder(HTMLParser):
                 node.link_chars += chars * bool(self.linked)
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head()
         self._text(data, len(data) if data.strip() else 0)
 
 

@@ -107,3 +107,20 @@ def test_edges(spark, trees):
     got = h.page_texts(df.withColumn("text", df["url"])).collect()
     assert len(got) == 4 and {(r["text"], r["n_chars"]) for r in got} == {("", 0)}
     assert h.page_texts(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_head_without_end_tag():
+    def words(html):
+        return " ".join("".join(c for c in n.children if isinstance(c, str)) for n in dom.parse(html)).split()
+
+    page = "<div><p>One two.</p>three</div>"
+    heads = ["<head><title>T</title></head><body>", "<head><title>T</title><body class=a>", "<html><head><title>T</title>", "<head><meta name=a><script>x()</script>", "<head><noscript><style>p</style></noscript><body>"]
+    for head in heads:
+        assert sorted(words(head + page)) == ["One", "three", "two."]
+    assert words("<head><title>T</title> Words <b>here</b>") == ["Words", "here"]
+    assert words("<head><template><p>no</p></template><title>T</title><body>yes") == ["yes"]
+
+
+def test_whole_attribute_values():
+    kind = list(dom.WORDS).index("sidebar")
+    assert dom.attribute_kinds([("class", "x " * 300 + "sidebar")])[kind] == 1
