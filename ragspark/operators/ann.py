@@ -193,8 +193,13 @@ def pq_build(vectors: DataFrame, m: int, bits: int = 8, sample_rows: int = 65_53
     return Pq(books, vectors.mapInPandas(pack, f"id {id_type}, codes binary"))
 
 
-def pq_search(queries: DataFrame, pq: Pq, k: int = 10) -> DataFrame:
-    """L2 search by table look-up: distances of a query's sub-vectors to all codebook entries, summed by code."""
+def pq_search(queries: DataFrame, pq: Pq, k: int = 10, rescore: DataFrame | None = None, widen: int = 4) -> DataFrame:
+    """L2 search by table look-up: distances of a query's sub-vectors to all codebook entries, summed by code.
+
+    With rescore(id, vector) the best widen * k are scored again by the true vectors.
+    """
+    if rescore is not None:
+        return rescored(queries, pq_search(queries, pq, widen * k), rescore, k, "L2")
     rows = queries.where("vector is not null").select("qid", "vector").collect()  # one block of queries
     qids, matrix = np.array([r["qid"] for r in rows]), np.array([r["vector"] for r in rows], float)
     tables = np.stack([scores("L2", p, b) for p, b in zip(np.split(matrix, len(pq.codebooks), axis=1), pq.codebooks)], axis=1)

@@ -61,7 +61,7 @@ def e3_ivf_build(spark, sf_dir):
 @query()
 def e4_ivf_search(spark, sf_dir):
     index = ann.ivf_build(_vectors(spark, sf_dir), n_lists=16, max_iter=10)
-    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe=8, metric="IP")
+    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe=12, metric="IP")
 
 
 @query()
@@ -72,7 +72,8 @@ def e5_sq8_search(spark, sf_dir):
 
 @query()
 def e6_pq_search(spark, sf_dir):
-    return ann.pq_search(_queries(spark, sf_dir), ann.pq_build(_vectors(spark, sf_dir), m=16), 10)
+    vectors = _vectors(spark, sf_dir)
+    return ann.pq_search(_queries(spark, sf_dir), ann.pq_build(vectors, m=16), 10, rescore=vectors, widen=8)
 
 
 def _hits(spark, sf_dir):

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -136,3 +138,14 @@ def test_metrics(spark):
     assert got[1]["context_recall"] == 1 and got[1]["context_precision"] == pytest.approx(0.5) and got[2]["context_precision"] == 0
     summary = {r["metric"]: r["mean"] for r in evaluation.eval_summary(spark.createDataFrame([(1.0, None), (2.0, 4.0)], "a double, b double"), ["a", "b"]).collect()}
     assert summary == {"a": 1.5, "b": 4.0}
+
+
+def test_registered_indexes_reach_their_recall(spark):
+    from ragspark.plans import search_queries as plans
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the given tables")
+    for found, metric in ((plans.e4_ivf_search, "IP"), (plans.e6_pq_search, "L2")):
+        exact = search.knn_exact(plans._queries(spark, sf), plans._vectors(spark, sf), 10, metric)
+        assert search.recall_at_k(found(spark, sf), exact).agg({"recall": "avg"}).first()[0] >= 0.9
