@@ -20,8 +20,9 @@ PATTERNS = {
     "access": ("AKIA[A-Z0-9]+", 0, 18),
     "hex": ("[0-9a-f]+", 0, 16),
 }
-#: a candidate that this many owners or more hold is widely copied
+#: a candidate that this many owners, or this many repositories, hold is widely copied
 WIDE_OWNERS = 3
+WIDE_REPOS = 50
 #: what a live-looking secret has: distinct characters, a digit, a letter, and none of these words
 LIVE_CHARACTERS = 8
 PLACEHOLDERS = "example|sample|changeme|placeholder|dummy|your[_-]|xxxx|1234567|abcdef"
@@ -73,35 +74,51 @@ def looks_live(value: Column) -> Column:
 
 
 def ownership(spans: DataFrame, rows: DataFrame) -> DataFrame:
-    """(value_hash, n_repos, n_owners) of each candidate over the whole corpus.
+    """(value_hash, n_repos, n_owners) of each candidate over the whole corpus; value_hash has 128 bits.
 
     rows(key, repo, owner): which repository and owner each text belongs to. Exact distinct counts, summed
     up per task before the shuffle; null repositories and owners don't count.
     """
     # written, so that neither side is an aggregate and Spark can split the rows of a text with many copies
-    held = written(spans.select("key", F.xxhash64("value").alias("value_hash")).distinct()).join(rows, "key")
+    held = written(spans.select("key", _value_hash().alias("value_hash")).distinct()).join(rows, "key")
     return held.groupBy("value_hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
-def classified_spans(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Base spans of each distinct text with n_repos, n_owners and class.
+def _value_hash() -> Column:
+    return F.unhex(F.md5("value"))
 
-    class: `example` where WIDE_OWNERS owners or more hold the secret, else `live` where it looks live, else
-    `weak`. In a table of documents each document stands for a repository and its source for the owner.
-    """
+
+def _keyed(docs: DataFrame, repo_col: str, owner_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text_key(text).alias("key"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), text.alias("text"))
-    spans = written(candidate_spans(rows.select("key", "text")))
-    owned = ownership(spans, rows.where(F.col("text").rlike(ANY)).select("key", "repo", "owner"))
-    kind = F.when(F.col("n_owners") >= WIDE_OWNERS, "example").when(looks_live(F.col("value")), "live").otherwise("weak")
-    return spans.withColumn("value_hash", F.xxhash64("value")).join(owned, "value_hash").withColumn("class", kind)
+    return docs.select(text_key(text).alias("key"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), text.alias("text"))
+
+
+def classified_spans(
+    docs: DataFrame, corpus: DataFrame | None = None, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text"
+) -> DataFrame:
+    """Base spans of each distinct text of docs with n_repos, n_owners and class.
+
+    Ownership is counted over corpus, or docs where none is given; where docs are what a filter or a dedup left,
+    corpus should be what they came from, as a secret whose copies are gone looks owned by few. class:
+    `example` where WIDE_OWNERS owners or WIDE_REPOS repositories hold the secret, else `live` where it looks
+    live, else `weak`. In a table of documents each document stands for a repository and its source for the owner.
+    """
+    spans = written(candidate_spans(_keyed(docs, repo_col, owner_col, text_col).select("key", "text")))
+    rows = _keyed(docs if corpus is None else corpus, repo_col, owner_col, text_col).where(F.col("text").rlike(ANY))
+    every = spans if corpus is None else written(candidate_spans(rows.select("key", "text")))
+    # written on both sides, so that Spark can split a frequent secret
+    owned = written(ownership(every, rows.select("key", "repo", "owner")))
+    wide = (F.col("n_owners") >= WIDE_OWNERS) | (F.col("n_repos") >= WIDE_REPOS)
+    kind = F.when(wide, "example").when(looks_live(F.col("value")), "live").otherwise("weak")
+    found = spans.withColumn("value_hash", _value_hash()).join(owned, "value_hash", "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_repos", "n_owners")}).withColumn("class", kind)
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: (doc_id, n_assign, n_access, n_hex, base_sha256, spans).
 
     spans are kind:start:end by start, then kind; to the base kinds come `live` spans over the secret itself
-    where only few owners hold it and it looks live, after the base kinds of the same start. Null and empty
+    where only few owners and repositories hold it and it looks live, after the base kinds of the same start. Null and empty
     texts have none. Repeated rows and null ids are returned as they come.
     """
     live = F.expr("filter(array(named_struct('start', value_start, 'k', 3, 'end', end)), x -> class = 'live')")
@@ -128,13 +145,13 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, corpus: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
     """documents with every live secret in a text replaced by mark, longer secrets first; n_chars follows.
 
-    Widely copied examples and weak candidates stay; no row is dropped.
+    corpus: the documents over which ownership is counted (docs where none is given). Widely copied examples and weak candidates stay; no row is dropped.
     """
     key, values = unused(docs, "_key"), unused(docs, "_values")
-    held = classified_spans(docs).where("class = 'live'").groupBy(F.col("key").alias(key)).agg(F.collect_set("value").alias(values))
+    held = classified_spans(docs, corpus).where("class = 'live'").groupBy(F.col("key").alias(key)).agg(F.collect_set("value").alias(values))
     held = written(held)
     longer = "case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end"
     ordered = F.expr(f"array_sort({values}, (a, b) -> {longer})")
@@ -163,11 +180,11 @@ spans as (
   select doc_id, kind, k, cast(e - length(found) as bigint) as s, cast(e as bigint) as e, cast(e - length(val) as bigint) as vs, val from placed
   where length(val) >= case kind {" ".join(f"when '{k}' then {v[2]}" for k, v in PATTERNS.items())} end),
 owned as (
-  select val, count(distinct source) as n_owners from spans join documents using (doc_id) group by val),
+  select val, count(distinct source) as n_owners, count(distinct doc_id) as n_repos from spans join documents using (doc_id) group by val),
 every as (
   select doc_id, kind, k, s, e from spans
   union select doc_id, 'live', 3, vs, e from spans join owned using (val)
-  where n_owners < {WIDE_OWNERS} and len(list_distinct(string_split(val, ''))) >= {LIVE_CHARACTERS}
+  where n_owners < {WIDE_OWNERS} and n_repos < {WIDE_REPOS} and len(list_distinct(string_split(val, ''))) >= {LIVE_CHARACTERS}
     and regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]') and not regexp_matches(lower(val), '{PLACEHOLDERS}')),
 said as (
   select doc_id, count(*) filter (k = 0) as a, count(*) filter (k = 1) as b, count(*) filter (k = 2) as c,

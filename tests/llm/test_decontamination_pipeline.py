@@ -45,6 +45,32 @@ def test_inconsistent_slots(spark):
     assert set(got) == {(1, 1), (3, 1)}
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    rng = random.Random(9)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    other = lambda name, a, b, c: ITEM.replace("Anna", name).replace("3 kg", f"{a} kg").replace("12 dollars", f"{b} dollars").replace("2 kg", f"{c} kg")
+    one, two, three = other("Berta", 7, 99, 5), other("Carl", 8, 45, 6), other("Dora", 41, 77, 13)
+    docs = [(1, one), (2, f"{one} {two}"), (3, f"{one} {noise(30)} {two} {noise(3)} {three}"), (4, f"{ITEM} {one}"), (5, f"{noise(20)} {one} {ITEM} {two}")]
+    docs += [(6, other("Berta", 7, 7, 7))]  # three values of the item on one of the text
+    got = leaks(spark, docs, [(10, ITEM)])
+    assert set(got) == {(i, 10) for i in range(1, 6)}
+    assert all(r["consistency"] == 1.0 and r["coverage"] == 1.0 for r in got.values())
+
+
+def test_values_of_more_words_shift_an_occurrence(spark):
+    longer = ITEM.replace("3 kg", "3 500 kg").replace("12 dollars", "1 000 250 dollars")
+    assert set(leaks(spark, [(1, longer)], [(1, ITEM)])) == {(1, 1)}
+
+
+def test_excerpts_and_items_without_template(spark):
+    rng = random.Random(10)
+    long = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200)).split()
+    item, part, less = " ".join(long), " ".join(long[50:77]), " ".join(long[50:76])
+    numbers = "1 2 3 5 8 13 21 34 55 89 144"
+    docs = [(1, part), (2, less), (3, f"so it goes {numbers} and on"), (4, "1 2 3 4 5 6 7 8 9 10 11"), (5, item)]
+    assert set(leaks(spark, docs, [(1, item), (2, numbers)])) == {(1, 1), (5, 1), (3, 2)}
+
+
 def test_empty_tables(spark):
     assert leaks(spark, [], [(1, ITEM)]) == {} and leaks(spark, [(1, ITEM)], []) == {}
 

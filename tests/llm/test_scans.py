@@ -95,3 +95,15 @@ def test_licenses_edges(spark):
     df = spark.createDataFrame([(None, LICENSED[2], None, None, None)] * 3, DOCS)
     got = licenses.license_scan(df).collect()
     assert len(got) == 3 and {r["labels"] for r in got} == {"apache-2.0"}
+
+
+def test_ownership_over_repositories_and_the_whole_corpus(spark):
+    own, copied = "1eb9c654e721b4f812088970e66a6345cee33dd6", "9f3b7c2d1e8a4f60b5c7d9e1f2a3b4c5"
+    docs = [(i, f"n {i} secret: {copied}", "en", f"s{i % 2}", 1) for i in range(secrets.WIDE_REPOS)] + [(900, f"token={own}", "en", "s0", 1)]
+    df = spark.createDataFrame(docs, DOCS)
+    kinds = {r["value"]: (r["class"], r["n_repos"], r["n_owners"]) for r in secrets.classified_spans(df).where("kind = 'assign'").collect()}
+    assert kinds == {copied: ("example", secrets.WIDE_REPOS, 2), own: ("live", 1, 1)}
+    left = df.where("doc_id in (0, 900)")  # what a dedup may leave
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted(left, df).collect()}
+    assert copied in texts[0] and own not in texts[900]
+    assert copied not in {r["doc_id"]: r["text"] for r in secrets.redacted(left).collect()}[0]
