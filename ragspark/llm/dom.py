@@ -11,7 +11,7 @@ import numpy as np
 
 # Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template head title svg math iframe object canvas select option textarea button audio video".split())
+HIDDEN = set("script style template head title iframe select option textarea button".split())
 #: elements that may stand in a head; any other one ends it, as text does
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCKS = set(

@@ -20,6 +20,8 @@ from ragspark.llm.tables import first_by_hash
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 200_000
 COMPOSED = 4
+#: lines in a row of a text that a composed page may hold
+COMPOSED_LINES = 120
 #: what a node costs whose children are decided apart
 SPLIT = 0.4
 
@@ -86,6 +88,8 @@ def _boilerplate(rng: random.Random, kind: str, texts: list[str]) -> str:
 def composed_page(rng: random.Random, texts: list[str]) -> str:
     """A page around one of the texts, of random layout; elements are marked as main text or not."""
     lines = [x for x in rng.choice(texts).split("\n") if x.strip()] or ["a"]
+    start = rng.randrange(max(1, len(lines) - COMPOSED_LINES + 1))
+    lines = lines[start : start + COMPOSED_LINES]
     blocks = []
     if rng.random() < 0.8:
         blocks.append(f"<h1>{_words(rng, texts, 2, 9)}</h1>")
@@ -145,7 +149,7 @@ def train(pages: DataFrame) -> Trees:
             y.append(_labels(order, {articles[0].number: "1"}))
         # a page without one lends its words only
         found = "\n".join(kept_blocks(order, articles[0].number if len(articles) == 1 else 0))
-        texts.append(found[:20_000])
+        texts.append(found)
     texts = [t for t in texts if t.strip()] or ["This page holds a few words of text, and no more than that."]
     rng = random.Random(7)
     for _ in range(COMPOSED * SAMPLE_PAGES):

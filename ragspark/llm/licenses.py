@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,25 +12,84 @@ from ragspark.llm.tables import ascii_lower, text_key, written
 # What stands between words, and the base phrases with their labels.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: notices by label; of a bounded, fixed size
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "mit": "released under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "gpl-notice": "free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc-by-4.0-notice": "this work is licensed under a creative commons attribution 4 0 international license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "warranty": "provided as is without warranty of any kind express or implied",
-    "all-rights-reserved": "copyright all rights reserved",
+# Public license texts and the notices that licenses ask for, by label.
+LICENSES = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
+        do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+        SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+        USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+        HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+        FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+        EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software
+        must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as
+        such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source
+        distribution.""",
+    "bsl-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+        prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+        following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+        following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software,
+        unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language
+        processor.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
+        and by any means.""",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
+        to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
+        License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "lgpl-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This
+        library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "agpl-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+        program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "cc-by-4.0": """This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit
+        http://creativecommons.org/licenses/by/4.0/""",
+    "cc-by-sa-4.0": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this
+        license, visit http://creativecommons.org/licenses/by-sa/4.0/""",
+    "cc-by-nc-4.0": """This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this
+        license, visit http://creativecommons.org/licenses/by-nc/4.0/""",
 }
+#: their words, by label; of a bounded, fixed size
+TEMPLATES = {label: [w for w in re.split("[^a-z0-9]+", text.lower()) if w] for label, text in LICENSES.items()}
 #: share of a template's words that a block must hold
 CONTAINMENT = 0.8
-#: blocks are all windows of this many words that start at multiples of half of it
-BLOCK = 32
-STEP = 16
+#: a template's blocks are windows of twice so many words as start at multiples of it: the least of these that
+#: the template's words fit in, so that an occurrence of as many words lies in one block
+STEPS = (32, 64, 128, 256)
 
 
 def words_of(text: Column) -> Column:
@@ -36,51 +97,58 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def token_order(texts: DataFrame) -> DataFrame:
-    """(token, rank): the templates' words by how many texts of the corpus hold them, the rarest first."""
-    vocabulary = F.array(*map(F.lit, sorted({w for v in TEMPLATES.values() for w in v.split()})))
-    held = texts.select(F.explode(F.array_intersect("words", vocabulary)).alias("token")).groupBy("token").count()
-    every = texts.sparkSession.createDataFrame([(w,) for w in sorted({w for v in TEMPLATES.values() for w in v.split()})], "token string")
-    counts = [(r["token"], r["n"]) for r in every.join(held, "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("n")).collect()]
-    ordered = [(w, i) for i, (w, _) in enumerate(sorted(counts, key=lambda x: (x[1], x[0])))]  # as long as the templates
-    return texts.sparkSession.createDataFrame(ordered, "token string, rank int")
+def step_of(label: str) -> int:
+    return next(x for x in STEPS if len(TEMPLATES[label]) <= x)
+
+
+def vocabulary() -> list[str]:
+    return sorted({w for words in TEMPLATES.values() for w in words})
 
 
-def template_blocks(texts: DataFrame, order: DataFrame) -> DataFrame:
-    """texts(key, words) -> (key, block, label, containment) for every block that meets a template's threshold.
+def token_order(texts: DataFrame) -> dict[str, int]:
+    """Rank of each of the templates' words by how many texts of the corpus hold it, the rarest first."""
+    held = texts.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary())))).alias("token")).groupBy("token").count()
+    counts = {r["token"]: r["count"] for r in held.collect()}  # as long as the templates
+    return {w: i for i, w in enumerate(sorted(vocabulary(), key=lambda w: (counts.get(w, 0), w)))}
+
+
+def template_blocks(texts: DataFrame, rank: dict[str, int]) -> DataFrame:
+    """texts(key, words) -> (key, step, block, label, containment) for every block that meets a template's threshold.
 
     Exact: a block that shares `need` of a template's n words shares one of its n - need + 1 rarest (prefix
     filter). Blocks with fewer known words than `need` drop out (length filter), and so do those whose words
-    from the shared one on are too few (positional filter). What remains is verified.
+    from the shared one on are too few (positional filter). What remains is verified. A template is met by
+    the blocks of its own length only.
     """
-    rank = {r["token"]: r["rank"] for r in order.collect()}  # as long as the templates
-    index = []
-    for label, text in TEMPLATES.items():
-        own = sorted({rank[w] for w in text.split()})
+    index, least = [], {}
+    for label, words in TEMPLATES.items():
+        own, step = sorted({rank[w] for w in words}), step_of(label)
         need = -int(-len(own) * CONTAINMENT // 1)
-        index += [(label, own, len(own), need, r, i) for i, r in enumerate(own[: len(own) - need + 1])]
-    spark = texts.sparkSession
-    prefixes = spark.createDataFrame(index, "label string, own array<int>, n int, need int, rank int, at int")
-    rarest = F.array(*map(F.lit, sorted({w for w, r in rank.items() if any(r == x[4] for x in index)})))
-    ranks = F.create_map(*(F.lit(x) for pair in sorted(rank.items()) for x in pair))
-    hit = texts.where(F.arrays_overlap("words", rarest)).dropDuplicates(["key"])
-    known = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("i"), F.element_at(ranks, w).alias("rank"))), lambda x: x["rank"].isNotNull()
-    )
-    place = hit.select("key", F.explode(known).alias("x")).select("key", F.col("x.rank").alias("rank"), (F.col("x.i") / STEP).cast("int").alias("b"))
+        least[step] = min(need, least.get(step, need))
+        index += [(step, label, own, len(own), need, r, i) for i, r in enumerate(own[: len(own) - need + 1])]
+    prefixes = texts.sparkSession.createDataFrame(index, "step int, label string, own array<int>, n int, need int, rank int, at int")
+    rarest = F.array(*map(F.lit, sorted({w for w, r in rank.items() if any(r == x[5] for x in index)})))
+    ranks = texts.sparkSession.createDataFrame(sorted(rank.items()), "token string, rank int")
+    # a text with fewer of the templates' words than any of them needs has no block
+    enough = F.size(F.array_intersect("words", F.array(*map(F.lit, vocabulary())))) >= min(least.values())
+    place = texts.where(F.arrays_overlap("words", rarest) & enough).select("key", F.posexplode("words").alias("i", "token")).join(F.broadcast(ranks), "token")
+    # a word at step's block b is in the windows b - 1 and b
+    steps = F.array(*(F.struct(F.lit(x).alias("step"), (F.col("i") / x).cast("int").alias("b")) for x in sorted(least)))
+    place = place.select("key", "rank", F.explode(steps).alias("s")).select("key", "rank", "s.step", "s.b")
     blocks = (
-        place.select("key", "rank", F.explode(F.array("b", F.col("b") - 1)).alias("block"))
+        place.select("key", "rank", "step", F.explode(F.array("b", F.col("b") - 1)).alias("block"))
         .where("block >= 0")
-        .groupBy("key", "block")
+        .groupBy("key", "step", "block")
         .agg(F.array_sort(F.collect_set("rank")).alias("held"))  # bounded by the templates' words
+        .where(F.size("held") >= F.coalesce(*(F.when(F.col("step") == k, v) for k, v in least.items())))
     )
     met = (
-        blocks.select("key", "block", "held", F.posexplode("held").alias("pos", "rank"))
-        .join(F.broadcast(prefixes), "rank")
+        blocks.select("key", "step", "block", "held", F.posexplode("held").alias("pos", "rank"))
+        .join(F.broadcast(prefixes), ["step", "rank"])
         .where("size(held) >= need and least(n - at, size(held) - pos) + least(at, pos) >= need")
     )
     shared = F.size(F.array_intersect("held", "own"))
-    return met.where(shared >= F.col("need")).select("key", "block", "label", (shared / F.col("n")).alias("containment")).distinct()
+    return met.where(shared >= F.col("need")).select("key", "step", "block", "label", (shared / F.col("n")).alias("containment")).distinct()
 
 
 def _phrases(joined: Column) -> dict[str, Column]:
@@ -126,7 +194,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{k}', ['{"', '".join(sorted(set(v.split())))}'])" for k, v in TEMPLATES.items())
+    values = ", ".join(f"({step_of(k)}, '{k}', ['{"', '".join(sorted(set(v)))}'])" for k, v in TEMPLATES.items())
     count = " union all ".join(
         f"select doc_id, '{label}' as label, unnest(range(1, len(w) + 1)) as i, w, {len(p.split())} as n, ['{"', '".join(p.split())}'] as p from words"
         for p, label in PHRASES.items()
@@ -139,12 +207,12 @@ places as (select doc_id, label, i - 1 as i from ({count}) where w[i:i + n - 1]
 base as (
   select doc_id, count(*) as n, min(i) as a, max(i) as b, list(distinct label) as labels from places group by doc_id),
 blocks as (
-  select doc_id, list_distinct(w[b * {STEP} + 1:b * {STEP} + {BLOCK}]) as held
-  from (select doc_id, w, unnest(range(0, len(w) // {STEP} + 1)) as b from words)),
+  select doc_id, step, list_distinct(w[b * step + 1:(b + 2) * step]) as held from (
+    select doc_id, w, step, unnest(range(0, len(w) // step + 1)) as b from words, (values {", ".join(f"({x})" for x in STEPS)}) t(step))),
 met as (
   select doc_id, label, len(list_intersect(held, tokens)) / len(tokens) as c
-  from blocks, (values {values}) as t(label, tokens)
-  where len(list_intersect(held, tokens)) >= ceil(len(tokens) * {CONTAINMENT})),
+  from blocks join (values {values}) as t(step, label, tokens) using (step)
+  where len(held) >= ceil(len(tokens) * {CONTAINMENT}) and len(list_intersect(held, tokens)) >= ceil(len(tokens) * {CONTAINMENT})),
 best as (select doc_id, list(distinct label) as labels, max(c) as c from met group by doc_id)
 select w.doc_id, len(w) as n_words, coalesce(n, 0) as n_base, a as first_word, b as last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,

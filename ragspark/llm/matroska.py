@@ -21,7 +21,9 @@ DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83
 CODEC_ID, DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CONTENT_ENCODINGS, CONTENT_ENCODING, COMPRESSION, COMPRESSION_ALGORITHM, COMPRESSION_SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+HEADER_STRIPPING = 3
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: what may stand in a cluster of unknown size ends where one of these begins
 TOP_LEVEL = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
@@ -129,6 +131,7 @@ class Media:
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # time in ns, track, the cluster's offset
     clusters: list[tuple[int, int]] = field(default_factory=list)  # offset, time in ns
     duration_ns: int = 0
+    scale: int = 1_000_000  # ns a unit of time
     track: list[int] = field(default_factory=list)
     time: list[int] = field(default_factory=list)
     keyframe: list[bool] = field(default_factory=list)
@@ -195,7 +198,8 @@ def _lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[int, list[
     return at, [*sizes, last]
 
 
-def _block(out: Media, data: bytes, a: int, b: int, cluster_time: int, scale: int, simple: bool) -> None:
+def _block(out: Media, data: bytes, a: int, b: int, cluster_time: int, scale: int, key: bool | None = None) -> None:
+    """key: whether its packets are key frames, where the block doesn't say so itself."""
     track, at, _ = _vint(data, a)
     relative, flags = struct.unpack_from(">hB", data, at)
     at, sizes = _lace_sizes(data, at + 3, b, flags >> 1 & 3)
@@ -203,7 +207,7 @@ def _block(out: Media, data: bytes, a: int, b: int, cluster_time: int, scale: in
     for k, size in enumerate(sizes):
         out.track.append(track)
         out.time.append(time + k * step)
-        out.keyframe.append(bool(flags & 0x80) or not simple)
+        out.keyframe.append(bool(flags & 0x80) if key is None else key)
         out.cluster.append(len(out.clusters) - 1)
         out.offset.append(at)
         out.size.append(size)
@@ -223,15 +227,31 @@ def _cluster(out: Media, data: bytes, a: int, b: int, scale: int) -> int:
             time = _number(data, start, stop)
             out.clusters[-1] = (out.clusters[-1][0], time * scale)
         elif number == SIMPLE_BLOCK:
-            _block(out, data, start, stop, time, scale, True)
+            _block(out, data, start, stop, time, scale)
         elif number == BLOCK_GROUP:
-            for inner, s, e in elements(data, start, stop):
+            group = [(inner, s, e) for inner, s, e in elements(data, start, stop)]
+            key = all(inner != REFERENCE_BLOCK for inner, _, _ in group)
+            for inner, s, e in group:
                 if inner == BLOCK:
-                    _block(out, data, s, e, time, scale, False)
+                    _block(out, data, s, e, time, scale, key)
         at = stop
     return b
 
 
+def _encoding(data: bytes, a: int, b: int) -> tuple[bytes, bool]:
+    """(bytes that every packet of a track begins with but doesn't store, whether that is all there is to undo)."""
+    head, known = b"", True
+    for n, s, e in elements(data, a, b):
+        if n == CONTENT_ENCODING:
+            parts = {m: (x, y) for m, x, y in elements(data, s, e)}
+            inner = {m: (x, y) for m, x, y in elements(data, *parts[COMPRESSION])} if COMPRESSION in parts else {}
+            algorithm = _number(data, *inner.get(COMPRESSION_ALGORITHM, (0, 0)))
+            known &= ENCRYPTION not in parts and algorithm == HEADER_STRIPPING
+            x, y = inner.get(COMPRESSION_SETTINGS, (0, 0))
+            head = data[x:y] + head
+    return head, known
+
+
 def demux(data: bytes) -> Media:
     """Parse a Matroska file: tracks, clusters, packets with times and byte ranges, cues.
 
@@ -250,18 +270,20 @@ def demux(data: bytes) -> Media:
             if number == INFO:
                 for n, s, e in elements(data, start, stop):
                     if n == TIMESTAMP_SCALE:
-                        scale = _number(data, s, e)
+                        scale = out.scale = _number(data, s, e)
                     elif n == DURATION:
                         out.duration_ns = round(_float(data, s, e) * scale)
             elif number == TRACKS:
                 for n, s, e in elements(data, start, stop):
                     if n == TRACK_ENTRY:
-                        entry = {"default_duration": 0, "codec": "", "type": 0}
+                        entry = {"default_duration": 0, "codec": "", "type": 0, "head": b"", "plain": True}
                         for m, a, b in elements(data, s, e):
                             if m == TRACK_NUMBER:
                                 out.tracks[_number(data, a, b)] = entry
                             elif m == CODEC_ID:
                                 entry["codec"] = data[a:b].rstrip(b"\0").decode("ascii", "replace")
+                            elif m == CONTENT_ENCODINGS:
+                                entry["head"], entry["plain"] = _encoding(data, a, b)
                             elif m in (DEFAULT_DURATION, TRACK_TYPE):
                                 entry["default_duration" if m == DEFAULT_DURATION else "type"] = _number(data, a, b)
             elif number == CLUSTER:
@@ -283,9 +305,30 @@ def demux(data: bytes) -> Media:
     return out
 
 
+def seek(data: bytes, media: Media, time_ns: int, track: int = 1) -> Media:
+    """The packets of the cluster to which the last cue at or before a time leads (none without such a cue)."""
+    out = Media(tracks=media.tracks, scale=media.scale)
+    place = max((c for c in media.cues if c[1] == track and c[0] <= time_ns), default=None)
+    if place is None:
+        return out
+    number, start, stop = next(elements(data, place[2], len(data)))
+    if number != CLUSTER:
+        raise ValueError(f"a cue leads to byte {place[2]}, where no cluster is")
+    out.clusters.append((place[2], 0))
+    _cluster(out, data, start, len(data) if stop is None else stop, media.scale)
+    return out
+
+
 def samples(data: bytes, media: Media, track: int = 1) -> bytes:
-    """A track's packets, joined in the order of the file."""
-    return b"".join(data[o : o + n] for t, o, n in zip(media.track, media.offset, media.size) if t == track)
+    """A track's packets, joined in the order of the file; stripped headers are put back.
+
+    Compressed or encrypted packets raise ValueError.
+    """
+    entry = media.tracks.get(track, {})
+    if not entry.get("plain", True):
+        raise ValueError(f"track {track} is compressed or encrypted")
+    head = entry.get("head", b"")
+    return b"".join(head + data[o : o + n] for t, o, n in zip(media.track, media.offset, media.size) if t == track)
 
 
 # ---- on tables
@@ -304,7 +347,10 @@ def _muxed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_media(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
-    """docs with a binary column: each whole text (null: empty) as a Matroska file. Other columns stay."""
+    """docs with a binary column: each whole text (null: empty) as a Matroska file.
+
+    A column that is called `out` already is replaced; others stay.
+    """
     return docs.withColumn(out, _muxed(F.col(text_col)))
 
 
@@ -348,10 +394,16 @@ DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byte
 def _digest(data: bytes) -> tuple:
     media = demux(data)
     payload = samples(data, media)
+    # the packets that the cues find in the middle must be those of the table
+    middle = seek(data, media, media.duration_ns // 2)
+    first = media.offset.index(middle.offset[0])
+    if (middle.offset, middle.size) != (media.offset[first : first + len(middle.size)], media.size[first : first + len(middle.size)]):
+        raise ValueError("cues and clusters disagree")
     values = np.frombuffer(payload, np.uint8)
     crossings = int(np.count_nonzero(np.diff((values >= 128).astype(np.int8))))
     feature = (
         f"packets={len(media.size)};clusters={len(media.clusters)};cues={len(media.cues)};ms={media.duration_ns // 1_000_000}"
+        f";seek={middle.time[0] // 1_000_000}@{middle.offset[0]}"
         f";mean={values.mean():.3f};rms={np.sqrt(np.mean(np.square(values.astype(np.float64)))):.3f};crossings={crossings}"
     )
     tail = zlib.crc32(payload[-16:])

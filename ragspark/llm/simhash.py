@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.llm.components import connected_components
-from ragspark.llm.tables import unused, written
+from ragspark.llm.tables import written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -154,8 +154,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "fp"))
     fps = written(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first")))
     comps = link(fps.select("fp", "n_docs"))
-    per_fp = fps.join(comps, "fp")
-    least = per_fp.groupBy("comp").agg(F.min("first").alias("component_id"))
+    # both are written, so that neither side of the join is an aggregate and Spark can split a large component
+    per_fp = written(fps.join(comps, "fp").select("fp", "first", "comp"))
+    least = written(per_fp.groupBy("comp").agg(F.min("first").alias("component_id")))
     found = written(per_fp.join(least, "comp").select("fp", "component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(found, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
@@ -164,12 +165,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def deduplicated(docs: DataFrame) -> DataFrame:
     """documents without near duplicates: of each component the row with the smallest doc_id stays.
 
-    Of rows that repeat with the same doc_id one stays; rows without a doc_id stay.
+    Of rows that repeat with the same doc_id the least stays, by text and then by the row as JSON; rows without
+    a doc_id stay. Other columns may be of any type.
     """
     groups = simhash_groups(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
-    # a repeated doc_id: one row, the least by the other columns
-    name = unused(docs, "_rank")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))
-    return kept.withColumn(name, rank).where(F.col(name) == 1).drop(name).unionByName(docs.where("doc_id is null"))
+    repeated = written(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    least = F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.to_json(row))).alias("r")
+    several = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least).select(*(F.col("r")[c].alias(c) for c in docs.columns))
+    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(several).unionByName(docs.where("doc_id is null"))

@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragspark.storage import shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder and read again.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation, and the next plan sees true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ragspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def removed(df: DataFrame) -> None:
     """Delete the files of a frame made by written() that nothing reads any more."""
     jvm = df.sparkSession._jvm
@@ -64,7 +39,7 @@ def first_by_hash(df: DataFrame, k: int, *keys: str) -> DataFrame:
         share = 1.5 * k / n + 100 / n
         near = df.where(h < F.lit(int(-(2**63) + min(share, 1.0) * (2**64 - 1))))
         some = near if near.count() >= k else df
-    return some.withColumn("_hash", h).orderBy("_hash", *keys).limit(k).drop("_hash")
+    return some.orderBy(h, *keys).limit(k)
 
 
 def unused(df: DataFrame, name: str) -> str:

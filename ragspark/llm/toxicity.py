@@ -88,6 +88,19 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == HELD_OUT, F.lit(False))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labelled rows that training may use."""
+    known = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+
+
+def prior_shift(labels: DataFrame, sample_rows: dict[int, int] | None = None) -> float:
+    """Log odds of all labelled rows less those of the sample; zero where the sample is all of them."""
+    n = {r["y"]: r["count"] for r in known_labels(labels).groupBy("y").count().collect()}
+    share = {y: min(1.0, k / max(n.get(y, 0), 1)) for y, k in (sample_rows or SAMPLE_ROWS).items()}
+    return float(np.log(share[0] / share[1]))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, int] | None = None) -> DataFrame:
     """(text, y) of at most sample_rows[y] labelled documents of each class, the first by a hash of the id.
 
@@ -95,8 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: dict[int, i
     if one of them says so.
     """
     rows = sample_rows or SAMPLE_ROWS
-    known = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    known = known_labels(labels)
     parts = [first_by_hash(known.where(F.col("y") == y), n, "doc_id") for y, n in rows.items()]
     chosen = parts[0].unionByName(parts[1])
     # the chosen ids are bounded by sample_rows, so they go to all executors and the texts don't move
@@ -109,14 +121,15 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
 
     Document frequencies of n-grams by class are counted on the executors; the `features` n-grams with the
     largest chi-squared are kept, scaled by their log-count ratios, and a logistic regression is fitted
-    to the sample's rows. Without labels of both classes all scores are the share of toxic rows (a half
+    to the sample's rows. Where the bounds take another share of one class than of the other, the bias is moved
+    to the odds of all labelled rows, so that scores mean the same at every size. Without labels of both classes all scores are the share of toxic rows (a half
     without any label).
     """
     sample = written(labelled_sample(docs, labels, sample_rows))
     size = len(LEVELS) << BUCKET_BITS
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, size), np.uint16)  # no class has as many rows as that holds
+        counts = np.zeros((2, size), np.uint32)
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"]):
                 counts[y][gram_features(text)] += 1
@@ -155,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     removed(sample)
     rows = Rows.of([np.asarray(x, np.int64) for x in got["at"]], len(kept), ratio)
     w, bias = fit_logistic(rows, got["y"].to_numpy(float), l2=1e-3)
-    return ToxicityModel(kept, w * ratio, bias)
+    return ToxicityModel(kept, w * ratio, bias + prior_shift(labels, sample_rows))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:

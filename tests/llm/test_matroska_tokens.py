@@ -126,3 +126,28 @@ def test_unigram_model():
     import numpy as np
 
     assert [np.frombuffer(x, "<i4").tolist() for x in ids] == [codec.peer.encode(t) for t in texts] and all(same)
+
+
+def test_key_frames_of_groups_and_stripped_headers():
+    block = lambda n, body: b"\x81" + struct.pack(">hB", n, 0) + body
+    stripping = m._element(m.COMPRESSION, m._unsigned(m.COMPRESSION_ALGORITHM, 3) + m._element(m.COMPRESSION_SETTINGS, b"ab"))
+    entry = lambda c: m._element(m.TRACKS, m._element(m.TRACK_ENTRY, m._unsigned(m.TRACK_NUMBER, 1) + m._element(m.CONTENT_ENCODINGS, m._element(m.CONTENT_ENCODING, c))))
+    group = lambda body, more=b"": m._element(m.BLOCK_GROUP, m._element(m.BLOCK, body) + more)
+    cluster = m._element(m.CLUSTER, m._unsigned(m.TIMESTAMP, 0) + group(block(0, b"xx")) + group(block(1, b"yy"), m._element(m.REFERENCE_BLOCK, b"\xff")))
+    data = m._element(m.SEGMENT, entry(stripping) + cluster)
+    media = m.demux(data)
+    assert media.keyframe == [True, False] and m.samples(data, media) == b"abxxabyy"
+    data = m._element(m.SEGMENT, entry(m._element(m.COMPRESSION, m._unsigned(m.COMPRESSION_ALGORITHM, 0))) + cluster)
+    with pytest.raises(ValueError):
+        m.samples(data, m.demux(data))
+
+
+def test_seek_by_cues():
+    payload = bytes(range(192)) * 400
+    data = m.mux(payload)
+    media = m.demux(data)
+    for time, _, offset in media.cues:
+        found = m.seek(data, media, time)
+        k = media.offset.index(found.offset[0])
+        assert found.clusters[0][0] == offset and found.time == media.time[k : k + len(found.time)]
+    assert m.seek(data, media, -1).offset == []

@@ -94,3 +94,11 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)]
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
+
+
+def test_repeated_ids_with_columns_of_any_type(spark):
+    df = spark.createDataFrame([(1, "b c d", {"x": 1}), (1, "a b c", {"x": 2}), (1, "a b c", {"x": 1}), (2, "other words here", None), (None, "q", None), (None, "q", None)],
+                               "doc_id long, text string, m map<string,int>")
+    from ragspark.llm.simhash import deduplicated
+
+    assert sorted((r["doc_id"] or 0, r["text"], (r["m"] or {}).get("x")) for r in deduplicated(df).collect()) == [(0, "q", None), (0, "q", None), (1, "a b c", 1), (2, "other words here", None)]
