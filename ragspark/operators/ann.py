@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.operators.search import knn_exact, ranked, scores, top_of
+from ragspark.operators.search import by_blocks, knn_exact, ranked, scores, tiles, top_of
 from ragspark.storage import written
 
 
@@ -46,6 +46,9 @@ def ivf_build(
     path the rows are written there, partitioned by list, so that a search reads only the lists it probes.
     """
     vectors = vectors.where("vector is not null").select("id", "vector")
+    if vectors.isEmpty():  # no lists, and nothing to find
+        rows = vectors.select("id", F.col("vector").cast("array<float>"), F.lit(0).alias("list_id"), F.lit(0).alias("bucket"))
+        return IvfIndex(np.zeros((0, 0)), rows, buckets, path)
     centroids = _centroids(vectors, n_lists, max_iter, n_lists * sample_rate, seed)
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
     id_type = vectors.schema["id"].dataType.simpleString()
@@ -74,7 +77,7 @@ def ivf_search(queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = 1
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
+            if len(batch) and nprobe:
                 q = np.stack(batch["vector"].to_numpy()).astype(np.float64)
                 i, j = top_of(np.arange(len(shared.value)), scores("L2", q, shared.value), nprobe, "L2")
                 yield pd.DataFrame({"qid": batch["qid"].to_numpy()[i], "q": list(q[i]), "list_id": j.astype(np.int32)})
@@ -161,11 +164,17 @@ class Pq:
 
 
 def pq_build(vectors: DataFrame, m: int, bits: int = 8, sample_rows: int = 65_536, seed: int = 42, max_iter: int = 20) -> Pq:
-    """m codebooks of 2^bits entries (no more than sampled vectors), each trained on a sample's sub-vectors."""
+    """m codebooks of 2^bits entries (no more than sampled vectors), each trained on a sample's sub-vectors.
+
+    An empty table gives an index without codes, which finds nothing.
+    """
     vectors = vectors.where("vector is not null").select("id", "vector")
     sample = np.array(
         [r["vector"] for r in vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).collect()], float
     )  # bounded by sample_rows
+    id_type = vectors.schema["id"].dataType.simpleString()
+    if not len(sample):
+        return Pq(np.zeros((m, 2**bits, 0)), vectors.select("id", F.lit(b"").alias("codes")))
     if sample.shape[1] % m or bits > 8:
         raise ValueError("m must divide the dimension, and codes have 8 bits at most")
     rng = np.random.default_rng(seed)
@@ -181,7 +190,6 @@ def pq_build(vectors: DataFrame, m: int, bits: int = 8, sample_rows: int = 65_53
             book = np.where(n > 0, sums / np.maximum(n, 1), book)
         books.append(np.concatenate([book, np.repeat(book[-1:], 2**bits - entries, axis=0)]))
     books = np.stack(books)
-    id_type = vectors.schema["id"].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,20 +208,26 @@ def pq_search(queries: DataFrame, pq: Pq, k: int = 10, rescore: DataFrame | None
     """
     if rescore is not None:
         return rescored(queries, pq_search(queries, pq, widen * k), rescore, k, "L2")
-    rows = queries.where("vector is not null").select("qid", "vector").collect()  # one block of queries
-    qids, matrix = np.array([r["qid"] for r in rows]), np.array([r["vector"] for r in rows], float)
-    tables = np.stack([scores("L2", p, b) for p, b in zip(np.split(matrix, len(pq.codebooks), axis=1), pq.codebooks)], axis=1)
-    shared = queries.sparkSession.sparkContext.broadcast((qids, tables))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, tables = shared.value
-        for batch in batches:
-            if len(batch):
-                codes = np.stack([np.frombuffer(b, np.uint8) for b in batch["codes"]])
-                found = sum(tables[:, i, codes[:, i]] for i in range(codes.shape[1]))
-                ids = batch["id"].to_numpy()
-                i, j = top_of(ids, found, k, "L2")
-                yield pd.DataFrame({"qid": qids[i], "id": ids[j], "score": found[i, j]})
-
     types = f"qid {queries.schema['qid'].dataType.simpleString()}, id {pq.codes.schema['id'].dataType.simpleString()}, score double"
-    return ranked(pq.codes.mapInPandas(scan, types), k, "L2").select("qid", "rank", "id", "score")
+    dim = len(pq.codebooks) * pq.codebooks.shape[2]
+    asked = queries.where(F.size("vector") == dim).select("qid", "vector")
+
+    def search(block: DataFrame) -> DataFrame:
+        rows = block.collect()  # one block: its tables take QUERY_BYTES at most
+        qids, matrix = np.array([r["qid"] for r in rows]), np.array([r["vector"] for r in rows], float).reshape(len(rows), dim)
+        tables = np.stack([scores("L2", p, b) for p, b in zip(np.split(matrix, len(pq.codebooks), axis=1), pq.codebooks)], axis=1)
+        shared = queries.sparkSession.sparkContext.broadcast((qids, tables))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, tables = shared.value
+            for batch in batches:
+                if len(batch):
+                    ids, codes = batch["id"].to_numpy(), np.stack([np.frombuffer(b, np.uint8) for b in batch["codes"]])
+                    for part in tiles(len(qids), len(ids)):
+                        found = sum(tables[part, i, codes[:, i]] for i in range(codes.shape[1]))
+                        i, j = top_of(ids, found, k, "L2")
+                        yield pd.DataFrame({"qid": qids[part][i], "id": ids[j], "score": found[i, j]})
+
+        return pq.codes.mapInPandas(scan, types)
+
+    return ranked(by_blocks(asked, 8 * pq.codebooks.shape[0] * pq.codebooks.shape[1], search), k, "L2").select("qid", "rank", "id", "score")

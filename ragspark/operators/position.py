@@ -14,18 +14,26 @@ def with_position(df: DataFrame, order_by: str | list[str], start: int = 0, name
     """df with consecutive positions from `start`, in the order of order_by.
 
     Range partitions are sorted and numbered on their own; only the partitions' row counts reach the driver.
-    Rows that tie in order_by follow each other in any order.
+    Rows that tie in order_by follow each other in any order: name an id last where that matters, and where one
+    value is frequent, as ties stay in one partition. A column called `name` already is replaced.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    ranged = written(ranged)
-    part = F.shiftright("_place", 33)
-    sizes = dict(ranged.groupBy(part.alias("p")).count().collect())
+    place, part = _unused(df, "_place"), _unused(df, "_part")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    ranged = written(ranged).withColumn(part, F.shiftright(place, 33))
+    sizes = dict(ranged.groupBy(part).count().collect())
     offsets, total = [], start
     for p in sorted(sizes):
-        offsets += [F.lit(p), F.lit(total)]
+        offsets.append((p, total))
         total += sizes[p]
-    if not offsets:
-        return ranged.withColumn(name, F.lit(0).cast("long")).drop("_place")
-    offset = F.element_at(F.create_map(*offsets), part)
-    return ranged.withColumn(name, (offset + F.col("_place").bitwiseAND(F.lit(_IN_PARTITION))).cast("long")).drop("_place")
+    first = _unused(df, "_first")
+    found = ranged.join(F.broadcast(df.sparkSession.createDataFrame(offsets, f"{part} long, {first} long")), part)  # a row a partition
+    at = F.col(first) + F.col(place).bitwiseAND(F.lit(_IN_PARTITION))
+    return found.withColumn(name, at.cast("long")).select(*(c for c in df.columns if c.lower() != name.lower()), name)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

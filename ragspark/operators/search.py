@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.vectors import best_first, similarity
 from ragspark.operators.position import with_position
+from ragspark.storage import written
 
 #: bytes of a query matrix that goes to all executors; more queries are searched block by block
 QUERY_BYTES = 64 << 20
+#: scores that a task holds at once
+SCORE_CELLS = 4 << 20
 
 
 def scores(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -55,45 +58,72 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     """queries(qid, vector), vectors(id, vector) -> (qid, rank, id, score): each query's k nearest, ties by id.
 
     The query matrix goes to every task, which keeps the k best of each batch; only these are shuffled. More
-    queries than QUERY_BYTES hold are searched in blocks. Vectors of another dimension, null ones, and ones
-    with values that aren't numbers are left out.
+    queries than QUERY_BYTES hold are searched in blocks, one after the other. Vectors of another dimension
+    than the first query's, null ones, and ones with values that aren't numbers are left out.
     """
     similarity(metric, F.lit(None), F.lit(None))
-    asked = queries.where("vector is not null").select("qid", "vector")
-    first = asked.select(F.size("vector").alias("d")).first()
-    dim, n = (first["d"], asked.count()) if first else (0, 0)
-    per_block = max(1, QUERY_BYTES // (8 * max(dim, 1)))
-    blocks = [asked]
-    if n > per_block:
-        placed = with_position(asked, "qid", name="_pos")
-        blocks = [placed.where(F.floor(F.col("_pos") / per_block) == b).drop("_pos") for b in range(-(-n // per_block))]
+    asked, dim = _asked(queries)
+    types = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     usable = vectors.where(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("id", "vector")
-    hits = None
-    for block in blocks:
+
+    def search(block: DataFrame) -> DataFrame:
         rows = block.collect()  # one block: at most QUERY_BYTES of numbers
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in rows]), _matrix(rows, dim)))
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, matrix = shared.value
             for batch in batches:
-                if len(batch) and len(qids):
-                    ids = batch["id"].to_numpy()
-                    found = scores(metric, matrix, np.stack(batch["vector"].to_numpy()).astype(np.float64))
-                    i, j = top_of(ids, found, k, metric)
-                    yield pd.DataFrame({"qid": qids[i], "id": ids[j], "score": found[i, j]})
+                if len(batch):
+                    ids, rows = batch["id"].to_numpy(), np.stack(batch["vector"].to_numpy()).astype(np.float64)
+                    for part in tiles(len(qids), len(ids)):
+                        found = scores(metric, matrix[part], rows)
+                        i, j = top_of(ids, found, k, metric)
+                        yield pd.DataFrame({"qid": qids[part][i], "id": ids[j], "score": found[i, j]})
+
+        return usable.mapInPandas(scan, types)
+
+    return ranked(by_blocks(asked, 8 * dim, search), k, metric).select("qid", "rank", "id", "score")
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, int]:
+    """Queries with a vector, and their dimension (that of the first; 0 without any)."""
+    asked = queries.where("vector is not null").select("qid", "vector")
+    first = asked.select(F.size("vector").alias("d")).first()
+    dim = first["d"] if first else 0
+    return asked.where(F.size("vector") == dim), dim
+
+
+def tiles(n_queries: int, n_rows: int) -> Iterator[slice]:
+    """Slices of the queries for which a matrix of scores over so many rows has SCORE_CELLS cells at most."""
+    step = max(1, SCORE_CELLS // max(n_rows, 1))
+    return (slice(a, a + step) for a in range(0, n_queries, step))
+
 
-        part = usable.mapInPandas(scan, f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double")
-        hits = part if hits is None else hits.unionByName(part)
-    return ranked(hits, k, metric).select("qid", "rank", "id", "score")
+def by_blocks(asked: DataFrame, bytes_per_query: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Hits of search over blocks of the queries (qid, vector) of QUERY_BYTES at most.
+
+    Of several blocks each one's hits are written before the next is searched.
+    """
+    n, per_block = asked.count(), max(1, QUERY_BYTES // max(bytes_per_query, 1))
+    if n <= per_block:
+        return search(asked)
+    placed, out = with_position(asked, "qid", name="_pos"), None
+    for b in range(-(-n // per_block)):
+        hits = written(search(placed.where(F.floor(F.col("_pos") / per_block) == b).drop("_pos")))
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def knn_exact_sql(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "L2") -> DataFrame:
-    """knn_exact by built-in functions alone; a nested loop, so for small inputs and as a check."""
-    q = queries.where("vector is not null").select("qid", F.col("vector").alias("q"))
-    v = vectors.where("vector is not null").select("id", "vector")
-    pairs = v.join(q, F.size("q") == F.size("vector"))
-    found = pairs.select("qid", "id", similarity(metric, "q", "vector").alias("score")).where("not isnan(score)")
-    return ranked(found, k, metric).select("qid", "rank", "id", "score")
+    """knn_exact by built-in functions alone: each block of queries goes to all executors and meets every row there."""
+    asked, dim = _asked(queries)
+    v = vectors.where(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("id", "vector")
+
+    def search(block: DataFrame) -> DataFrame:
+        pairs = v.join(F.broadcast(block.withColumnRenamed("vector", "q")))
+        return pairs.select("qid", "id", similarity(metric, "q", "vector").alias("score")).where("not isnan(score)")
+
+    return ranked(by_blocks(asked, 8 * dim, search), k, metric).select("qid", "rank", "id", "score")
 
 
 def format_contexts(hits: DataFrame) -> DataFrame:

@@ -230,39 +230,17 @@ def i11_proc_long(spark, sf_dir):
     return telemetry.proc_long(rows).select("run_id", "ts_ns", "proc", "utime", "read_bytes")
 
 
-@query(f"select run_id, ts_ns, p::int as disk, round(value * 100)::bigint * (p + 1) as sectors_read from {_EVENTS}, range(2) r(p)")
+@query(f"""select run_id, ts_ns, p::int as disk, round(value * 100)::bigint * (p + 1) as sectors_read, round(value * 100)::bigint as sectors_written
+    from {_EVENTS}, range(2) r(p)""")
 def a8_read_metric_frames(spark, sf_dir):
-    """Events written as frame files, one a run, and read back."""
+    """Events written as frame files, in a folder a run, and read back."""
     path = scratch(spark)
-
-    def pack(rows):
-        import pandas as pd
-
-        out = []
-        for (run,), group in rows.groupby(["run_id"]):
-            samples = [
-                {"ts_ns": int(t), "disk_metrics": [{"sectors_read": int(v) * n, "sectors_written": int(v)} for n in (1, 2)]}
-                for t, v in zip(group["ts_ns"], group["v"])
-            ]
-            out.append((run, b"".join(frames.frame(samples[k : k + 500], "disk") for k in range(0, len(samples), 500))))
-        return pd.DataFrame(out, columns=["run_id", "content"])
-
-    rows = _events(spark, sf_dir).select("run_id", "ts_ns", F.round(F.col("value") * 100).cast("long").alias("v"))
-    packed = rows.groupBy("run_id").applyInPandas(pack, "run_id long, content binary")
-
-    def unpack(batches):
-        import pandas as pd
-
-        layout = frames.LAYOUTS["disk"]
-        for batch in batches:
-            for run, content in zip(batch["run_id"], batch["content"]):
-                for message in frames.frames(content):
-                    for s in frames.decode(message, {frames.SAMPLES: ("samples", [layout])})["samples"]:
-                        n = len(s["disk_metrics"])
-                        yield pd.DataFrame({"run_id": [run] * n, "ts_ns": [s["ts_ns"]] * n, "disk": range(n), "sectors_read": [d["sectors_read"] for d in s["disk_metrics"]]})
-
-    packed.write.parquet(path)
-    return spark.read.parquet(path).mapInPandas(unpack, "run_id long, ts_ns long, disk int, sectors_read long")
+    cents = F.round(F.col("value") * 100).cast("long")
+    disk = lambda n: F.struct((cents * n).alias("sectors_read"), cents.alias("sectors_written"))
+    rows = _events(spark, sf_dir).select("run_id", "ts_ns", F.array(disk(1), disk(2)).alias("disk_metrics"))
+    frames.write_metric_frames(rows, path, "disk")
+    found = frames.disk_long(frames.read_metric_frames(spark, f"{path}/*/*.bin", "disk"))
+    return found.select(F.col("run_id").cast("long").alias("run_id"), "ts_ns", "disk", "sectors_read", "sectors_written")
 
 
 @query(f"select 'run=' || run_id as run_id, tag, ts_ns from {_EVENTS}")

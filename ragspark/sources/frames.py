@@ -1,7 +1,6 @@
 """Metric files: length-prefixed protobuf messages, read into rows.
 
-A file is a sequence of frames, each an 8-byte little-endian length and a message. The message layouts
-below are this reader's own description of the five kinds.
+A file is a sequence of frames, each an 8-byte little-endian length and a message.
 """
 
 from __future__ import annotations
@@ -10,25 +9,60 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: field number -> (name, kind), kind being u (unsigned), d (double), D (doubles), or a layout; [..] repeats
-_CPU = {i + 1: (n, "u") for i, n in enumerate("user nice system idle iowait irq softirq steal guest guest_nice".split())}
-_DISK = {i + 1: (n, "u") for i, n in enumerate("reads_completed reads_merged sectors_read read_ms writes_completed writes_merged sectors_written write_ms".split())}
+# The messages' fields, as (number, name) in the order of the format; sub-messages by their number.
+#: field number -> (name, kind), kind being u (unsigned), i (signed), d (double), D (doubles), or a layout; [..] repeats
+
+
+def _numbers(names: str, first: int = 1, kind: str = "u") -> dict:
+    return {first + k: (name, kind) for k, name in enumerate(names.split())}
+
+
+_CPU = _numbers("user nice system idle iowait irq softirq steal guest guest_nice")
+_KERNEL_MISC = _numbers("intr ctxt processes procs_running procs_blocked")
+_SOFT_IRQ = _numbers("total hi timer net_tx net_rx block irq_poll tasklet sched hrtimer rcu")
+_DISK = _numbers(
+    "reads_completed reads_merged sectors_read time_spent_reading writes_completed writes_merged sectors_written time_spent_writing "
+    "io_in_progress time_spent_io weighted_time_spent_io discard_completed discard_merged discard_sectors time_spent_discarding "
+    "flush_completed time_spent_flushing",
+    first=4,
+)
 _MEM = {
-    1: ("basic", {1: ("mem_total", "u"), 2: ("mem_free", "u"), 3: ("mem_available", "u")}),
-    2: ("kernel_cache", {1: ("buffers", "u"), 2: ("cached", "u"), 3: ("swap_cached", "u")}),
-}
-_GPU = {1: ("nvml", "D"), 2: ("gpm", "D"), 3: ("procs", [{1: ("pid", "u"), 2: ("used_gpu_memory", "u")}])}
+    1: ("basic", _numbers("mem_total mem_free mem_available")),
+    2: ("kernel_cache", _numbers("buffers cached swap_cached")),
+    3: ("active_inactive", _numbers("active inactive active_anon inactive_anon active_file inactive_file")),
+    4: ("non_evictable", _numbers("unevictable mlocked")),
+    5: ("swap", _numbers("swap_total swap_free zswap_total zswapped")),
+    6: ("dirty_writeback", _numbers("dirty writeback")),
+    7: ("type", _numbers("anon_pages mapped shmem")),
+    8: ("kernel", _numbers("kernel_reclaimable slab slab_reclaimable slab_unreclaimable kernel_stack page_tables")),
+    9: ("tmp_buffer", _numbers("nfs_unstable bounce writeback_tmp")),
+    10: ("virtual", _numbers("commit_limit committed_as vmalloc_total vmalloc_used vmalloc_chunk")),
+    11: ("huge_page", _numbers(
+        "anon_huge_pages shmem_huge_pages shmem_pmd_mapped file_huge_pages file_pmd_mapped hugepages_total hugepages_free hugepages_rsvd "
+        "hugepages_surp hugepages_size huge_tlb"
+    )),
+    12: ("direct_map", _numbers("direct_map_4k direct_map_2m direct_map_4m direct_map_1g")),
+    13: ("misc", _numbers("percpu hardware_corrupted")),
+}
+_GPU = {1: ("nvml", "D"), 2: ("gpm", "D"), 3: ("procs", [_numbers("pid used_gpu_memory")])}
+_STAT = {
+    3: ("state", "u"), **_numbers("minflt cminflt majflt cmajflt utime stime", 10), **_numbers("cutime cstime priority nice", 16, "i"),
+    20: ("num_threads", "u"), 23: ("vsize", "u"),
+}
 _PROC = {
-    1: ("stat", {1: ("utime", "u"), 2: ("stime", "u")}),
-    2: ("statm", {1: ("resident", "u")}),
-    3: ("io", {1: ("read_bytes", "u"), 2: ("write_bytes", "u")}),
+    1: ("stat", _STAT),
+    2: ("statm", _numbers("size resident share text lib data dt")),
+    3: ("io", _numbers("rchar wchar syscr syscw read_bytes write_bytes cancelled_write_bytes")),
 }
 LAYOUTS = {
-    "cpu": {1: ("ts_ns", "u"), 2: ("core_stats", [_CPU])},
+    "cpu": {1: ("ts_ns", "u"), 2: ("core_stats", [_CPU]), 3: ("kernel_misc", _KERNEL_MISC), 4: ("soft_irq", _SOFT_IRQ)},
     "disk": {1: ("ts_ns", "u"), 2: ("disk_metrics", [_DISK])},
     "mem": {1: ("ts_ns", "u"), 2: ("meminfo", _MEM)},
     "gpu": {1: ("ts_ns", "u"), 2: ("per_gpu", [_GPU])},
@@ -70,13 +104,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
 
 def decode(data: bytes, layout: dict) -> dict:
     """A message as a dict by its layout; missing numbers are 0, missing groups None, unknown fields skipped."""
-    out: dict = {name: 0 if kind == "u" else 0.0 if kind == "d" else [] if kind == "D" or isinstance(kind, list) else None for name, kind in layout.values()}
+    out: dict = {name: 0 if kind in ("u", "i") else 0.0 if kind == "d" else [] if kind == "D" or isinstance(kind, list) else None for name, kind in layout.values()}
     for number, wire, value in _fields(data):
         if number not in layout:
             continue
         name, kind = layout[number]
         if kind == "u":
             out[name] = value if wire == 0 else int.from_bytes(value, "little")
+        elif kind == "i":
+            out[name] = value - (value >> 63 << 64)
         elif kind == "d":
             out[name] = struct.unpack("<d", value)[0]
         elif kind == "D":
@@ -103,8 +139,8 @@ def encode(value: dict, layout: dict) -> bytes:
         v = value.get(name)
         if v is None:
             continue
-        if kind == "u":
-            out += varint(number << 3) + varint(v)
+        if kind in ("u", "i"):
+            out += varint(number << 3) + varint(v & (1 << 64) - 1)
             continue
         if kind == "d":
             out += varint(number << 3 | 1) + struct.pack("<d", v)
@@ -135,7 +171,7 @@ def frames(data: bytes) -> Iterator[bytes]:
 
 def _type(layout: dict) -> T.StructType:
     def of(kind):
-        if kind == "u":
+        if kind in ("u", "i"):
             return T.LongType()
         if kind == "d":
             return T.DoubleType()
@@ -146,6 +182,39 @@ def _type(layout: dict) -> T.StructType:
     return T.StructType([T.StructField(name, of(kind)) for name, kind in layout.values()])
 
 
+def _files_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and plain path of a path or URI."""
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def write_metric_frames(samples: DataFrame, path: str, kind: str, per_frame: int = 500) -> int:
+    """Write samples(run_id, and the kind's columns) as files path/run_id/*.bin; returns how many.
+
+    Each task writes a file a run and Arrow batch, so that no run is one task's work and files are small. A task
+    that runs again writes the same names.
+    """
+    layout = LAYOUTS[kind]
+    names = [name for name, _ in layout.values() if name in samples.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _files_at(path)
+        n = 0
+        for batch in batches:
+            runs: dict[str, list[dict]] = {}
+            for row in batch.to_pylist():
+                runs.setdefault(row["run_id"], []).append(row)
+            for run_id, rows in runs.items():
+                store.create_dir(f"{root}/{run_id}", recursive=True)
+                with store.open_output_stream(f"{root}/{run_id}/{TaskContext.get().partitionId():06d}-{n:06d}.bin") as out:
+                    for k in range(0, len(rows), per_frame):
+                        out.write(frame(rows[k : k + per_frame], kind))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = samples.select(F.col("run_id").cast("string"), *names)
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_metric_frames(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Samples of a kind (cpu, disk, mem, gpu, proc) with run_id, the file's folder; a cut-off file raises.
 

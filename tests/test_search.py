@@ -59,6 +59,25 @@ def test_ivf(data):
     assert index.rows.count() == 300
 
 
+def test_empty_indexes(data, spark):
+    _, vectors, queries = data
+    none = vectors.where("false")
+    assert ann.ivf_search(queries, ann.ivf_build(none), 3).count() == 0
+    assert ann.pq_search(queries, ann.pq_build(none, m=4), 3).count() == 0
+    assert ann.pq_search(queries.where("false"), ann.pq_build(vectors, m=4, bits=4), 3).count() == 0
+
+
+def test_query_blocks_and_tiles(data, monkeypatch):
+    _, vectors, queries = data
+    whole = [rows(f(queries, vectors, 4)) for f in (search.knn_exact, search.knn_exact_sql)]
+    pq = ann.pq_build(vectors, m=4, bits=4)
+    found = rows(ann.pq_search(queries, pq, 4))
+    monkeypatch.setattr(search, "QUERY_BYTES", 3 * 64)
+    monkeypatch.setattr(search, "SCORE_CELLS", 10)
+    assert [rows(f(queries, vectors, 4)) for f in (search.knn_exact, search.knn_exact_sql)] == whole
+    assert rows(ann.pq_search(queries, pq, 4)) == found
+
+
 def test_ivf_on_disk(data, tmp_path):
     _, vectors, queries = data
     index = ann.ivf_build(vectors, n_lists=4, max_iter=5, path=str(tmp_path / "ivf"))

@@ -70,6 +70,31 @@ def test_frames(spark, tmp_path, kind):
         assert got[0]["per_gpu"][0]["nvml"] == [1.5, -2.0]
 
 
+def test_bytes_of_the_format():
+    """Messages put down by hand: a key is field number * 8 + wire type."""
+    disk = bytes([0x20, 11, 0x30, 0x89, 0x06, 0x50, 0xF8, 0x06, 0xA0, 0x01, 5])  # fields 4, 6, 10 and 20
+    got = frames.decode(bytes([0x08, 7, 0x12, len(disk)]) + disk, frames.LAYOUTS["disk"])
+    assert got["ts_ns"] == 7 and {k: v for k, v in got["disk_metrics"][0].items() if v} == {
+        "reads_completed": 11, "sectors_read": 777, "sectors_written": 888, "time_spent_flushing": 5,
+    }
+    stat = bytes([0x70, 0xF4, 0x03, 0x78, 0xD8, 0x04, 0x98, 0x01]) + b"\xff" * 9 + b"\x01"  # 14, 15 and 19, which is -1
+    proc = bytes([0x0A, len(stat)]) + stat + bytes([0x12, 4, 0x08, 9, 0x10, 99, 0x1A, 4, 0x08, 1, 0x28, 70])
+    got = frames.decode(bytes([0x12, len(proc)]) + proc, frames.LAYOUTS["proc"])["per_proc"][0]
+    assert (got["stat"]["utime"], got["stat"]["stime"], got["stat"]["nice"]) == (500, 600, -1)
+    assert (got["statm"]["size"], got["statm"]["resident"], got["io"]["rchar"], got["io"]["read_bytes"], got["io"]["write_bytes"]) == (9, 99, 1, 70, 0)
+    mem = frames.decode(bytes([0x12, 4, 0x6A, 2, 0x10, 3]), frames.LAYOUTS["mem"])["meminfo"]
+    assert mem["misc"] == {"percpu": 0, "hardware_corrupted": 3} and mem["swap"] is None
+    cpu = frames.decode(bytes([0x1A, 2, 0x10, 8, 0x22, 2, 0x58, 9]), frames.LAYOUTS["cpu"])
+    assert cpu["kernel_misc"]["ctxt"] == 8 and cpu["soft_irq"]["rcu"] == 9
+
+
+def test_written_frames(spark, tmp_path):
+    rows = spark.createDataFrame([(r, t, [{"sectors_read": t}]) for r in ("a", "b") for t in range(30)], "run_id string, ts_ns long, disk_metrics array<struct<sectors_read:long>>")
+    assert frames.write_metric_frames(rows, str(tmp_path / "out"), "disk", per_frame=7) >= 2
+    got = frames.read_metric_frames(spark, f"{tmp_path}/out/*/*.bin", "disk").selectExpr("run_id", "ts_ns", "disk_metrics[0].sectors_read").collect()
+    assert sorted(map(tuple, got)) == sorted((r, t, t) for r in ("a", "b") for t in range(30))
+
+
 def test_broken_frames():
     data = frames.frame([SAMPLES["cpu"]], "cpu")
     assert struct.unpack_from("<Q", data)[0] == len(data) - 8
