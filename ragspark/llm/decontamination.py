@@ -100,7 +100,9 @@ def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     for form, n in kinds or [(TEMPLATE, WINDOW)]:
         tokens = canonical(F.col("w")) if form == TEMPLATE else F.lower("w")
         texts = words.select("key", F.split("w", " ").alias("raw"), F.split(tokens, " ").alias("tokens"))
-        rows = texts.select("key", "raw", F.posexplode(_windows(F.col("tokens"), form, n)).alias("at", "h"))
+        texts = texts.select("key", "raw", _windows(F.col("tokens"), form, n).alias("hs"))
+        # outer, as Spark would else compute all windows twice, once to leave out texts without any; the join drops nulls
+        rows = texts.select("key", "raw", F.posexplode_outer("hs").alias("at", "h"))
         rows = rows.select(
             "key", F.lit(form).alias("form"), F.lit(n).alias("n"), (F.col("at") + 1).alias("doc_pos"), "h",
             F.slice("raw", F.col("at") + 1, n).alias("theirs"),
