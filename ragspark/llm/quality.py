@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -29,11 +31,26 @@ SHARE = 0.1
 CALIBRATION = 0
 #: buckets of the names of sources and languages
 BUCKETS = 16
+#: buckets of words and word pairs, and folds between which their ratios are told apart in training
+GRAMS = 1 << 16
+FOLDS = 4
+#: texts whose buckets are held in memory at a time
+SLICE = 500
 KEEP = 0.5
 
 
-def text_features(text: str | None) -> list[float]:
-    """Content alone: lengths, characters, repetition, sentences."""
+@cache
+def _kinds() -> np.ndarray:
+    """Per code point: 1 for letters, 2 for digits, 4 for capitals."""
+    chars = map(chr, range(sys.maxunicode + 1))
+    return np.fromiter((c.isalpha() + 2 * c.isdigit() + 4 * c.isupper() for c in chars), np.uint8, sys.maxunicode + 1)
+
+
+def text_features(text: str | None) -> tuple[list[float], np.ndarray]:
+    """Content alone: measures of length, characters, repetition and sentences; and buckets of its words and word pairs.
+
+    Each bucket stands once, in order.
+    """
     text = text or ""
     n = max(len(text), 1)
     words = text.lower().split()
@@ -41,14 +58,19 @@ def text_features(text: str | None) -> list[float]:
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
     pairs = Counter(zip(words, words[1:]))
-    letters = sum(map(str.isalpha, text))
-    return [
-        np.log1p(len(words)), len("".join(words)) / m, letters / n, sum(map(str.isdigit, text)) / n, sum(map(str.isupper, text)) / max(letters, 1),
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], minlength=8)
+    letters, digits, capitals = (int(kinds[[k for k in range(8) if k & bit]].sum()) for bit in (1, 2, 4))
+    measures = [
+        np.log1p(len(words)), sum(map(len, words)) / m, letters / n, digits / n, capitals / max(letters, 1),
         sum(map(text.count, "#*&$%@^~=<>{}[]\\")) / m, text.count("|") / m, text.count("!") / m, sum(map(text.count, ".?;:")) / m, text.count(",") / m,
         len(counts) / m, max(counts.values(), default=0) / m, sum(a == b for a, b in zip(words, words[1:])) / m,
         sum(c for c in pairs.values() if c > 1) / m, 1 - len(set(lines)) / max(len(lines), 1), np.log1p(len(lines)), m / max(len(lines), 1),
-        sum(1 for w in words if len(w) > 20) / m, sum(1 for w in words if re.search(r"\d", w)) / m, float(text.rstrip()[-1:] in ".!?\"'"),
+        sum(c for w, c in counts.items() if len(w) > 20) / m, sum(c for w, c in counts.items() if re.search(r"\d", w)) / m, float(text.rstrip()[-1:] in ".!?\"'"),
     ]
+    known = {w: crc32(w.encode()) for w in counts}
+    h = np.array([known[w] for w in words], np.uint64)
+    pair = ((h[:-1] * np.uint64(0x9E3779B1)) ^ h[1:]) * np.uint64(0x85EBCA6B) >> np.uint64(13)
+    return measures, np.unique(np.concatenate([h, pair]) % np.uint64(GRAMS)).astype(np.int32)
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
@@ -59,19 +81,90 @@ def meta_features(lang: str | None, source: str | None, n_chars: float | None) -
     return [size, float(missing), *(float(at[0] == b) for b in range(BUCKETS)), *(float(at[1] == b) for b in range(BUCKETS))]
 
 
-TEXT_FEATURES, META_FEATURES = len(text_features("")), len(meta_features(None, None, None))
+MEASURES, META_FEATURES = len(text_features("")[0]), len(meta_features(None, None, None))
+
+
+@dataclass
+class Texts:
+    """The text view of some rows: their measures, and the buckets of their words row after row."""
+
+    measures: np.ndarray
+    grams: list[np.ndarray]
+
+    @classmethod
+    def of(cls, found: list[tuple[list[float], np.ndarray]]) -> Texts:
+        return cls(np.array([x for x, _ in found], float).reshape(len(found), MEASURES), [g for _, g in found])
+
+    def __len__(self) -> int:
+        return len(self.grams)
+
+    def __getitem__(self, at: np.ndarray) -> Texts:
+        at = np.flatnonzero(at) if at.dtype == bool else at
+        return Texts(self.measures[at], [self.grams[k] for k in at])
+
+    def __add__(self, more: Texts) -> Texts:
+        return Texts(np.concatenate([self.measures, more.measures]), self.grams + more.grams)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row and bucket of each entry."""
+        lengths = [len(g) for g in self.grams]
+        return np.repeat(np.arange(len(lengths)), lengths), np.concatenate([*self.grams, np.zeros(0, np.int32)])
+
+
+def _ratios(rows: np.ndarray, grams: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each bucket: how much likelier a good row holds it than another, smoothed."""
+    good = np.bincount(grams[y[rows] > 0], minlength=GRAMS) + 1.0
+    rest = np.bincount(grams[y[rows] == 0], minlength=GRAMS) + 1.0
+    return np.log(good / (y.sum() + 2)) - np.log(rest / (len(y) - y.sum() + 2))
+
+
+def _word_columns(rows: np.ndarray, of_entry: np.ndarray, n: int) -> np.ndarray:
+    """Sum, mean and both tails of the rows' log-count ratios."""
+    sums, up, down = (np.bincount(rows, w, n) for w in (of_entry, of_entry > 1, of_entry < -1))
+    m = np.maximum(np.bincount(rows, minlength=n), 1)
+    return np.stack([sums, sums / m, up / m, down / m], axis=1)
+
+
+@dataclass
+class TextModel:
+    """Boosted trees over measures and what the words' log-count ratios say."""
+
+    ratios: np.ndarray
+    trees: Trees
+
+    def probability(self, x: Texts) -> np.ndarray:
+        rows, grams = x.entries()
+        return self.trees.probability(np.concatenate([x.measures, _word_columns(rows, self.ratios[grams], len(x))], axis=1))
+
+
+def fit_view(x: Texts | np.ndarray, y: np.ndarray) -> TextModel | Trees:
+    """Trees; those of the text view see ratios of the other folds' rows, as a row's own label must not tell."""
+    if not isinstance(x, Texts):
+        return fit_trees(x, y, trees=40, depth=3)
+    rows, grams = x.entries()
+    fold, of_entry = np.arange(len(y)) % FOLDS, np.zeros(len(rows))
+    for k in range(FOLDS):
+        others, own = fold[rows] != k, fold[rows] == k
+        number = np.cumsum(fold != k) - 1
+        of_entry[own] = _ratios(number[rows[others]], grams[others], y[fold != k])[grams[own]]
+    columns = np.concatenate([x.measures, _word_columns(rows, of_entry, len(y))], axis=1)
+    return TextModel(_ratios(rows, grams, y), fit_trees(columns, y, trees=40, depth=3))
+
+
+def _with(x: Texts | np.ndarray, more: Texts | np.ndarray) -> Texts | np.ndarray:
+    return x + more if isinstance(x, Texts) else np.concatenate([x, more])
 
 
 @dataclass
 class View:
     """A classifier over one view with its calibration: a slope and offset on the log odds."""
 
-    trees: Trees
+    model: TextModel | Trees
     slope: float = 1.0
     offset: float = 0.0
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        p = np.clip(self.trees.probability(x), 1e-6, 1 - 1e-6)
+    def logit(self, x: Texts | np.ndarray) -> np.ndarray:
+        p = np.clip(self.model.probability(x), 1e-6, 1 - 1e-6)
         return self.slope * np.log(p / (1 - p)) + self.offset
 
 
@@ -81,7 +174,7 @@ class QualityModel:
     meta: View | None
     weights: tuple[float, float, float]  # of the text view, the metadata view, and the bias
 
-    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, text: Texts | np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None or self.meta is None:
             flat = np.full(len(text), float(sigmoid(self.weights[2])))
             return flat, flat, flat
@@ -107,7 +200,7 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w / scale, b
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], calibration: np.ndarray) -> QualityModel:
+def co_train(views: list[Texts | np.ndarray], y: np.ndarray, pool: list[Texts | np.ndarray], calibration: np.ndarray) -> QualityModel:
     """Fit both views on labelled rows, let each hand confident rows of the pool to the other, round by round.
 
     The rows of `calibration` are kept out of training; on them each view's log odds are calibrated and the
@@ -120,29 +213,29 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], cal
     x = [v[fit] for v in views]
     labels = [y[fit], y[fit]]
     free = [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]  # rows not yet given to this view
-    trees: list[Trees] = []
+    models: list[TextModel | Trees] = []
     for _ in range(ROUNDS):
-        trees = [fit_trees(v, l, trees=40, depth=3) for v, l in zip(x, labels)]
+        models = [fit_view(v, l) for v, l in zip(x, labels)]
         if not len(pool[0]):
             break
         given = False
         for teacher, pupil in ((0, 1), (1, 0)):
-            p = trees[teacher].probability(pool[teacher])
+            p = models[teacher].probability(pool[teacher])
             most = max(1, int(SHARE * len(p)))
             for label, sure in ((1.0, p), (0.0, 1 - p)):
                 at = np.flatnonzero(free[pupil] & (sure >= CONFIDENT))
                 at = at[np.argsort(-sure[at], kind="stable")[:most]]
                 free[pupil][at] = False
-                x[pupil] = np.concatenate([x[pupil], pool[pupil][at]])
+                x[pupil] = _with(x[pupil], pool[pupil][at])
                 labels[pupil] = np.concatenate([labels[pupil], np.full(len(at), label)])
                 given |= len(at) > 0
         if not given:
             break
     out = []
-    for tree, v in zip(trees, views):
-        view = View(tree)
+    for model, v in zip(models, views):
+        view = View(model)
         w, b = _line(view.logit(v[held])[:, None], y[held])
-        out.append(View(tree, max(float(w[0]), 0.0), b))
+        out.append(View(model, max(float(w[0]), 0.0), b))
     w, b = _line(np.stack([v.logit(x[held]) for v, x in zip(out, views)], axis=1), y[held])
     return QualityModel(out[0], out[1], (max(float(w[0]), 0.0), max(float(w[1]), 0.0), b))
 
@@ -163,14 +256,16 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            found = [text_features(t) for t in b["text"]]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "y": b["y"], "a": [text_features(t) for t in b["text"]],
+                "doc_id": b["doc_id"], "y": b["y"], "a": [x for x, _ in found], "grams": [g for _, g in found],
                 "b": [meta_features(*r) for r in zip(b["lang"], b["source"], b["n_chars"])],
             })
 
-    got = rows.mapInPandas(run, "doc_id long, y double, a array<double>, b array<double>").toPandas()
+    got = rows.mapInPandas(run, "doc_id long, y double, a array<double>, grams array<int>, b array<double>").toPandas()
     got = got.sort_values(["doc_id", "y"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    views = [np.array(got[c].tolist(), float).reshape(len(got), n) for c, n in (("a", TEXT_FEATURES), ("b", META_FEATURES))]
+    texts = Texts.of([(x, np.asarray(g, np.int32)) for x, g in zip(got["a"], got["grams"])])
+    views = [texts, np.array(got["b"].tolist(), float).reshape(len(got), META_FEATURES)]
     known_at = got["y"].notna().to_numpy()
     held = np.array([crc32(str(i).encode()) % 5 == CALIBRATION for i in got["doc_id"]], bool)
     return co_train([v[known_at] for v in views], got["y"].to_numpy()[known_at], [v[~known_at] for v in views], held[known_at])
@@ -182,15 +277,18 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Whole texts are read; null texts count as empty, null metadata as a value of its own. Equal rows get
     equal scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # a few kilobytes
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # GRAMS ratios and few trees, under a megabyte
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")])
 
     @F.pandas_udf(schema)
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for text, lang, source, n_chars in batches:
-            a = np.array([text_features(t) for t in text], float).reshape(len(text), TEXT_FEATURES)
             b = np.array([meta_features(*r) for r in zip(lang, source, n_chars)], float).reshape(len(text), META_FEATURES)
-            yield pd.DataFrame(dict(zip(schema.names, shared.value.scores(a, b))))
+            parts = []
+            for k in range(0, len(text), SLICE):
+                a = Texts.of([text_features(t) for t in text.iloc[k : k + SLICE]])
+                parts.append(np.stack(shared.value.scores(a, b[k : k + SLICE]), axis=1))
+            yield pd.DataFrame(np.concatenate([*parts, np.zeros((0, 3))]), columns=schema.names)
 
     found = docs.select("doc_id", score("text", "lang", "source", "n_chars").alias("s")).select("doc_id", "s.*")
     return found.withColumn("keep", F.col("score") >= KEEP)

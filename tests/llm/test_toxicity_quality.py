@@ -83,6 +83,33 @@ def test_views_label_for_each_other(spark):
     assert ((score > 0.5) == y[~few]).mean() > 0.93
 
 
+def test_quality_from_words_alone(spark):
+    """Good and poor texts of one shape, told apart by their words only; rows of the calibration fold test it."""
+    rng = random.Random(8)
+    good, poor, both = (["".join(rng.choices("abcdefgh", k=6)) for _ in range(150)] for _ in range(3))
+    rows, labels = [], []
+    for i in range(900):
+        text = " ".join(rng.choices(both, k=30) + rng.choices(good if i % 2 else poor, k=10))
+        rows.append((i, text, "en", "s", len(text)))
+        labels.append((i, i % 2, 0))
+    got = quality.quality(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    held = [r for r in got if crc32(str(r["doc_id"]).encode()) % 5 == quality.CALIBRATION]
+    assert sum((r["text_score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in held) >= 0.95 * len(held)
+
+
+def test_text_features():
+    """Measures and buckets against plain counting; very long, empty and null texts."""
+    for text in ("", None, "Ab 12 été Ünï x x x\n\nx x", "word " * 300_000, "𝔘𝔫 ٣ ß"):
+        found, grams = quality.text_features(text)
+        text = text or ""
+        letters = sum(map(str.isalpha, text))
+        want = [letters / max(len(text), 1), sum(map(str.isdigit, text)) / max(len(text), 1), sum(map(str.isupper, text)) / max(letters, 1)]
+        assert found[2:5] == want and len(found) == quality.MEASURES
+        words = text.lower().split()
+        assert len(grams) <= len(set(words)) + len(set(zip(words, words[1:]))) and list(grams) == sorted(set(grams))
+        assert {crc32(w.encode()) % quality.GRAMS for w in words} <= set(grams.tolist())
+
+
 def test_schema_is_fixed(spark):
     docs, labels = corpus(spark, 60)
     assert toxicity.toxicity(docs, labels).schema == T.StructType(
