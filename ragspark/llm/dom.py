@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
+from zlib import crc32
 
 import numpy as np
 
@@ -41,6 +43,10 @@ WORDS = {
 }
 KINDS = {w: k for k, ws in enumerate(WORDS.values()) for w in ws.split()}
 BAD_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "search"}
+# Attributes that name what an element is for.
+NAMING = {"class", "id", "role", "itemprop", "aria-label", "data-role"}
+#: buckets of the words in them
+TOKENS = 1 << 12
 MARK = "data-y"  # of training pages; never a feature
 
 
@@ -50,6 +56,7 @@ class Node:
     parent: Node | None
     depth: int
     kinds: np.ndarray
+    tokens: tuple[int, ...] = ()
     mark: str | None = None
     children: list = field(default_factory=list)  # nodes, and strings of the node's own text
     number: int = 0
@@ -63,14 +70,26 @@ class Node:
     own: int = 0  # characters that stand in the node itself
 
 
-def attribute_kinds(attrs: list[tuple[str, str | None]]) -> np.ndarray:
-    out = np.zeros(len(WORDS), np.int8)
+def _described(value: str) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Which lists the words of an attribute's value are in, and the words' buckets."""
+    out, words = np.zeros(len(WORDS), np.int8), re.findall(r"[^\W\d_]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", value).lower())
+    for w in words:
+        if w in KINDS:
+            out[KINDS[w]] = 1
+    return out, tuple(sorted({crc32(w.encode("utf-8", "replace")) % TOKENS for w in words}))
+
+
+_described_short = lru_cache(4096)(_described)  # sites use few names; long values aren't kept
+
+
+def described(attrs: list[tuple[str, str | None]]) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Kinds and buckets of the words in an element's class, id, role and the like, read whole."""
+    kinds, tokens = _NONE, ()
     for name, value in attrs:
-        if value and name in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
-            for w in re.findall("[a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", value).lower()):
-                if w in KINDS:
-                    out[KINDS[w]] = 1
-    return out
+        if value and name in NAMING:
+            more, found = (_described_short if len(value) < 200 else _described)(value)
+            kinds, tokens = (np.maximum(kinds, more), tuple(sorted({*tokens, *found}))) if kinds is not _NONE else (more, found)
+    return kinds, tokens
 
 
 _NONE = np.zeros(len(WORDS), np.int8)
@@ -126,7 +145,7 @@ class _Builder(HTMLParser):
                 if self.open[k][0] in BLOCKS or self.open[k][0] in ("td", "th"):
                     break
             parent = self.node
-            node = Node(tag, parent, parent.depth + 1, attribute_kinds(attrs) if attrs else _NONE)
+            node = Node(tag, parent, parent.depth + 1, *(described(attrs) if attrs else (_NONE, ())))
             if attrs:
                 node.mark = dict(attrs).get(MARK)
             if not self.hidden:
@@ -199,11 +218,20 @@ def parse(html: str | None) -> list[Node]:
     return order
 
 
-def features(order: list[Node]) -> np.ndarray:
-    """A row for each node: subtree density, tags, attribute words of it and what it is in, depth, place, siblings."""
+@lru_cache(512)
+def _tag_columns(tag: str) -> tuple[bool, ...]:
+    return (tag in HEADINGS, *(tag == t for t in SECTIONS))
+
+
+def features(order: list[Node], ratios: np.ndarray) -> np.ndarray:
+    """A row for each node: subtree density, tags, attribute words of it and what it is in, depth, place, siblings.
+
+    `ratios` holds for each bucket of attribute words how much likelier main text has it.
+    """
     root, rows, above, seen = order[0], [], {}, 0
     total, links = max(root.chars, 1), max(root.links, 1)
     known: dict[int, tuple] = {}
+    top = (_NONE, 0, 0, 0, 0.0, 0.0, 0.0)
 
     def siblings(parent: Node) -> tuple:
         if id(parent) not in known or not parent.tag:
@@ -213,9 +241,14 @@ def features(order: list[Node]) -> np.ndarray:
         return known[id(parent)]
 
     for node in order:
-        up = above.get(id(node.parent), (np.zeros(len(WORDS), np.int8), 0, 0, 0))
-        kinds, bad, article, heads = up
-        inside = (np.maximum(kinds, node.kinds), bad + (node.tag in BAD_TAGS), article + (node.tag in ("article", "main")), heads + (node.tag == "header"))
+        kinds, bad, article, heads, said, least, most_said = above.get(id(node.parent), top)
+        own = [float(ratios[t]) for t in node.tokens]
+        told, low, high = sum(own), min(own, default=0.0), max(own, default=0.0)
+        inside = (
+            np.maximum(kinds, node.kinds) if node.kinds is not _NONE else kinds,
+            bad + (node.tag in BAD_TAGS), article + (node.tag in ("article", "main")), heads + (node.tag == "header"),
+            said + told, min(least, low), max(most_said, high),
+        )
         above[id(node)] = inside
         n, tags, text_siblings, linked, most = siblings(node.parent or Node("", None, 0, _NONE, children=[node]))
         same = tags[node.tag]
@@ -224,7 +257,7 @@ def features(order: list[Node]) -> np.ndarray:
             node.links / max(node.words, 1), node.links / links, np.log1p(node.nodes), node.chars / node.nodes, node.own / max(node.chars, 1),
             node.depth, seen / total, node.number / len(order), n, same / n, node.chars / max(text_siblings, 1),
             linked / max(text_siblings, 1), most / total, np.log1p(node.parent.chars if node.parent else total),
-            inside[1], inside[2], inside[3], node.tag in HEADINGS, *(node.tag == t for t in SECTIONS), *node.kinds, *kinds,
+            *inside[1:4], told, low, high, *inside[4:], *_tag_columns(node.tag), *node.kinds.tolist(), *kinds.tolist(),
         ])
         seen += node.own
     return np.array(rows, np.float32)

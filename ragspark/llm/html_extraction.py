@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as markup
 import random
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ COMPOSED = 4
 COMPOSED_LINES = 120
 #: what a node costs whose children are decided apart
 SPLIT = 0.4
+#: folds of training pages between which the ratios of attribute words are told apart
+FOLDS = 5
 
 # ---- pages for training
 
@@ -131,7 +134,41 @@ def _labels(order: list[dom.Node], mark: dict[int, str | None]) -> np.ndarray:
     return state
 
 
-def train(pages: DataFrame) -> Trees:
+@dataclass
+class PageModel:
+    """Trees over nodes, and the log-count ratio of each bucket of attribute words that they read."""
+
+    ratios: np.ndarray
+    trees: Trees
+
+    def probabilities(self, orders: list[list[dom.Node]]) -> np.ndarray:
+        return self.trees.probability(np.concatenate([dom.features(o, self.ratios) for o in orders]).astype(float))
+
+
+def _counts(order: list[dom.Node], y: np.ndarray) -> np.ndarray:
+    """Nodes of the page without and with main text that hold each bucket."""
+    at = np.array([(int(y[n.number]), t) for n in order for t in n.tokens], np.int64).reshape(-1, 2)
+    return np.bincount(at[:, 0] * dom.TOKENS + at[:, 1], minlength=2 * dom.TOKENS).reshape(2, -1).astype(float)
+
+
+def _ratios(counts: np.ndarray) -> np.ndarray:
+    """Smoothed towards 0, which is what an unknown word says."""
+    n = counts.sum(axis=1, keepdims=True) + 1
+    rates = (counts + n / n.sum()) / n
+    return np.log(rates[1]) - np.log(rates[0])
+
+
+def fit(orders: list[list[dom.Node]], labels: list[np.ndarray]) -> PageModel:
+    """Trees that see, for each page, ratios of the other folds' pages, as a page's own labels must not tell."""
+    counts = np.zeros((FOLDS, 2, dom.TOKENS))
+    for k, (order, y) in enumerate(zip(orders, labels)):
+        counts[k % FOLDS] += _counts(order, y)
+    others = [_ratios(counts.sum(axis=0) - c) for c in counts]
+    x = np.concatenate([dom.features(o, others[k % FOLDS]) for k, o in enumerate(orders)])
+    return PageModel(_ratios(counts.sum(axis=0)), fit_trees(x.astype(float), np.concatenate(labels)))
+
+
+def train(pages: DataFrame) -> PageModel:
     """Fit on a bounded sample of pages, the first SAMPLE_PAGES by a hash of their ids.
 
     A page that has one <article> is labelled by it. The texts of the sample are also composed into new pages
@@ -140,12 +177,12 @@ def train(pages: DataFrame) -> Trees:
     """
     chosen = first_by_hash(pages.where(f"page_id is not null and length(html) between 1 and {SAMPLE_CHARS}").select("page_id"), SAMPLE_PAGES, "page_id")
     rows = pages.where(f"length(html) <= {SAMPLE_CHARS}").select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id")  # at most SAMPLE_PAGES ids
-    x, y, texts = [], [], []
+    parsed, y, texts = [], [], []
     for row in rows.orderBy("page_id", F.md5("html")).limit(SAMPLE_PAGES).collect():
         order = dom.parse(row["html"])
         articles = [n for n in order if n.tag == "article"]
         if len(articles) == 1:
-            x.append(dom.features(order))
+            parsed.append(order)
             y.append(_labels(order, {articles[0].number: "1"}))
         # a page without one lends its words only
         found = "\n".join(kept_blocks(order, articles[0].number if len(articles) == 1 else 0))
@@ -154,9 +191,9 @@ def train(pages: DataFrame) -> Trees:
     rng = random.Random(7)
     for _ in range(COMPOSED * SAMPLE_PAGES):
         order = dom.parse(composed_page(rng, texts))
-        x.append(dom.features(order))
+        parsed.append(order)
         y.append(_labels(order, {n.number: n.mark for n in order if n.mark}))
-    return fit_trees(np.concatenate(x).astype(float), np.concatenate(y))
+    return fit(parsed, y)
 
 
 # ---- decoding
@@ -214,11 +251,11 @@ def decode(order: list[dom.Node], p: np.ndarray) -> list[bool]:
     return out
 
 
-def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
+def main_texts(pages: list[str | None], model: PageModel) -> list[str]:
     orders = [dom.parse(h) for h in pages]
     if not orders:
         return []
-    p = trees.probability(np.concatenate([dom.features(o) for o in orders]).astype(float))
+    p = model.probabilities(orders)
     out, at = [], 0
     for order in orders:
         out.append("\n".join(kept_blocks(order, keep=decode(order, p[at : at + len(order)]))))
@@ -226,13 +263,13 @@ def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
     return out
 
 
-def extracted(pages: DataFrame, html_col: str = "html", out: str = "text", trees: Trees | None = None) -> DataFrame:
+def extracted(pages: DataFrame, html_col: str = "html", out: str = "text", model: PageModel | None = None) -> DataFrame:
     """pages with the main text of each whole page.
 
     Blocks in page order, one line each; white space in a block is one space. Null, empty and text-free
     pages give an empty text. Other columns stay. Equal pages give equal texts.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(trees or train(pages))  # a few kilobytes
+    shared = pages.sparkSession.sparkContext.broadcast(model or train(pages))  # some fifty kilobytes
 
     @F.pandas_udf(T.StringType())
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,4 +1,5 @@
 import random
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -123,4 +124,23 @@ def test_head_without_end_tag():
 
 def test_whole_attribute_values():
     kind = list(dom.WORDS).index("sidebar")
-    assert dom.attribute_kinds([("class", "x " * 300 + "sidebar")])[kind] == 1
+    kinds, tokens = dom.described([("class", "x " * 300 + "sidebar"), ("href", "menu"), ("id", "mainSidebar")])
+    assert kinds[kind] == 1 and kinds[list(dom.WORDS).index("menu")] == 0
+    assert set(tokens) == {crc32(w) % dom.TOKENS for w in (b"x", b"sidebar", b"main")}
+
+
+def test_attribute_words_are_learned():
+    """Names in no list tell main text from the rest where the pages say so; names never seen say nothing."""
+    rng = random.Random(9)
+
+    def page(k, good="flumbert", bad="quorvast"):
+        a, b = (" ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(rng.randint(20, 40))) for _ in range(2))
+        parts = [f"<div class='{good}' data-y=1>{a}</div>", f"<div class='{bad}' data-y=0>{b}</div>"]
+        return a, "".join(parts if k % 2 else parts[::-1])
+
+    orders = [dom.parse(page(k)[1]) for k in range(200)]
+    model = h.fit(orders, [h._labels(o, {n.number: n.mark for n in o if n.mark}) for o in orders])
+    for k in range(20):
+        want, html = page(k)
+        assert h.main_texts([html], model) == [want]
+    assert abs(model.ratios[crc32(b"unseen") % dom.TOKENS]) < 0.1
