@@ -31,7 +31,7 @@ SHARE = 0.1
 CALIBRATION = 0
 #: buckets of the names of sources and languages
 BUCKETS = 16
-#: buckets of words and word pairs, and folds between which their ratios are told apart in training
+#: buckets of words and word pairs (numbers of 16 bits), and folds between which their ratios are told apart in training
 GRAMS = 1 << 16
 FOLDS = 4
 #: texts whose buckets are held in memory at a time
@@ -70,7 +70,7 @@ def text_features(text: str | None) -> tuple[list[float], np.ndarray]:
     known = {w: crc32(w.encode()) for w in counts}
     h = np.array([known[w] for w in words], np.uint64)
     pair = ((h[:-1] * np.uint64(0x9E3779B1)) ^ h[1:]) * np.uint64(0x85EBCA6B) >> np.uint64(13)
-    return measures, np.unique(np.concatenate([h, pair]) % np.uint64(GRAMS)).astype(np.int32)
+    return measures, np.unique(np.concatenate([h, pair]) % np.uint64(GRAMS)).astype(np.uint16)
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
@@ -105,50 +105,48 @@ class Texts:
     def __add__(self, more: Texts) -> Texts:
         return Texts(np.concatenate([self.measures, more.measures]), self.grams + more.grams)
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row and bucket of each entry."""
-        lengths = [len(g) for g in self.grams]
-        return np.repeat(np.arange(len(lengths)), lengths), np.concatenate([*self.grams, np.zeros(0, np.int32)])
 
+def _ratios(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each bucket, from the number of rows of each class that hold it: how much likelier a good row does."""
+    rates = (counts + 1) / (rows + 2)[:, None]
+    return np.log(rates[1]) - np.log(rates[0])
 
-def _ratios(rows: np.ndarray, grams: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log-count ratio of each bucket: how much likelier a good row holds it than another, smoothed."""
-    good = np.bincount(grams[y[rows] > 0], minlength=GRAMS) + 1.0
-    rest = np.bincount(grams[y[rows] == 0], minlength=GRAMS) + 1.0
-    return np.log(good / (y.sum() + 2)) - np.log(rest / (len(y) - y.sum() + 2))
 
-
-def _word_columns(rows: np.ndarray, of_entry: np.ndarray, n: int) -> np.ndarray:
-    """Sum, mean and both tails of the rows' log-count ratios."""
-    sums, up, down = (np.bincount(rows, w, n) for w in (of_entry, of_entry > 1, of_entry < -1))
-    m = np.maximum(np.bincount(rows, minlength=n), 1)
-    return np.stack([sums, sums / m, up / m, down / m], axis=1)
+def _word_columns(grams: list[np.ndarray], ratios: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Sum, mean and both tails of each row's log-count ratios, told by the ratios of the row's fold."""
+    out = np.zeros((len(grams), 4))
+    for k, g in enumerate(grams):
+        told = ratios[fold[k], g]
+        total, m = told.sum(), max(len(g), 1)
+        out[k] = total, total / m, np.count_nonzero(told > 1) / m, np.count_nonzero(told < -1) / m
+    return out
 
 
 @dataclass
 class TextModel:
     """Boosted trees over measures and what the words' log-count ratios say."""
 
-    ratios: np.ndarray
+    ratios: np.ndarray  # one row
     trees: Trees
 
     def probability(self, x: Texts) -> np.ndarray:
-        rows, grams = x.entries()
-        return self.trees.probability(np.concatenate([x.measures, _word_columns(rows, self.ratios[grams], len(x))], axis=1))
+        words = _word_columns(x.grams, self.ratios, np.zeros(len(x), np.int64))
+        return self.trees.probability(np.concatenate([x.measures, words], axis=1))
 
 
 def fit_view(x: Texts | np.ndarray, y: np.ndarray) -> TextModel | Trees:
     """Trees; those of the text view see ratios of the other folds' rows, as a row's own label must not tell."""
     if not isinstance(x, Texts):
         return fit_trees(x, y, trees=40, depth=3)
-    rows, grams = x.entries()
-    fold, of_entry = np.arange(len(y)) % FOLDS, np.zeros(len(rows))
-    for k in range(FOLDS):
-        others, own = fold[rows] != k, fold[rows] == k
-        number = np.cumsum(fold != k) - 1
-        of_entry[own] = _ratios(number[rows[others]], grams[others], y[fold != k])[grams[own]]
-    columns = np.concatenate([x.measures, _word_columns(rows, of_entry, len(y))], axis=1)
-    return TextModel(_ratios(rows, grams, y), fit_trees(columns, y, trees=40, depth=3))
+    fold = np.arange(len(y)) % FOLDS
+    counts, rows = np.zeros((FOLDS, 2, GRAMS)), np.zeros((FOLDS, 2))
+    for f, label, g in zip(fold, y.astype(int), x.grams):
+        counts[f, label, g] += 1  # a row holds a bucket once
+        rows[f, label] += 1
+    all_counts, all_rows = counts.sum(axis=0), rows.sum(axis=0)
+    others = np.stack([_ratios(all_counts - c, all_rows - n) for c, n in zip(counts, rows)])
+    columns = np.concatenate([x.measures, _word_columns(x.grams, others, fold)], axis=1)
+    return TextModel(_ratios(all_counts, all_rows)[None, :], fit_trees(columns, y, trees=40, depth=3))
 
 
 def _with(x: Texts | np.ndarray, more: Texts | np.ndarray) -> Texts | np.ndarray:
@@ -258,13 +256,13 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
         for b in batches:
             found = [text_features(t) for t in b["text"]]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "y": b["y"], "a": [x for x, _ in found], "grams": [g for _, g in found],
+                "doc_id": b["doc_id"], "y": b["y"], "a": [x for x, _ in found], "grams": [g.tobytes() for _, g in found],
                 "b": [meta_features(*r) for r in zip(b["lang"], b["source"], b["n_chars"])],
             })
 
-    got = rows.mapInPandas(run, "doc_id long, y double, a array<double>, grams array<int>, b array<double>").toPandas()
+    got = rows.mapInPandas(run, "doc_id long, y double, a array<double>, grams binary, b array<double>").toPandas()
     got = got.sort_values(["doc_id", "y"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    texts = Texts.of([(x, np.asarray(g, np.int32)) for x, g in zip(got["a"], got["grams"])])
+    texts = Texts.of([(x, np.frombuffer(g, np.uint16)) for x, g in zip(got["a"], got["grams"])])
     views = [texts, np.array(got["b"].tolist(), float).reshape(len(got), META_FEATURES)]
     known_at = got["y"].notna().to_numpy()
     held = np.array([crc32(str(i).encode()) % 5 == CALIBRATION for i in got["doc_id"]], bool)
