@@ -16,7 +16,7 @@ from ragspark.operators.search import format_contexts, knn_exact
 from ragspark.plans.corpus_queries import OPS
 from ragspark.plans.registry import query, table
 from ragspark.sources import frames, logs
-from ragspark.storage import scratch
+from ragspark.storage import scratch, written
 from ragspark.streaming import jobs
 
 _EVENTS = "(select event_id, user_id as run_id, event_type as tag, epoch_us(ts) * 1000 as ts_ns, value from events)"
@@ -326,7 +326,7 @@ def j4_stream_queries(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     items.write.parquet(folder)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    index = encode(docs, "text", lambda: HashingEncoder(64))
+    index = written(encode(docs, "text", lambda: HashingEncoder(64)))  # once, not in each micro-batch
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     run = jobs.stream_queries(stream, index, 3, lambda found, n: found.write.mode("overwrite").parquet(f"{path}/batch={n}"))
     run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
