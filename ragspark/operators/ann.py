@@ -29,12 +29,17 @@ def _centroids(vectors: DataFrame, k: int, max_iter: int, rows: int, seed: int)
 
 @dataclass
 class IvfIndex:
-    """Vectors with their list (id, vector, list_id, bucket) and the lists' centroids."""
+    """Vectors with their list (id, vector, list_id, bucket) and the lists' centroids.
+
+    With a coder the rows hold codes in place of vectors: 8 bits a dimension (Sq8), or product codes of what a
+    vector differs from its list's centroid by (Pq).
+    """
 
     centroids: np.ndarray
     rows: DataFrame
     buckets: int
     path: str | None = None
+    coder: Sq8 | Pq | None = None
 
 
 def ivf_build(
@@ -61,42 +66,101 @@ def ivf_build(
 
     rows = vectors.mapInPandas(assign, f"id {id_type}, vector array<float>, list_id int")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    if path:
-        rows.repartition("list_id", "bucket").write.mode("overwrite").partitionBy("list_id").parquet(path)
-        rows = vectors.sparkSession.read.parquet(path)
-    else:
-        rows = written(rows.repartition("list_id", "bucket"))
-    return IvfIndex(centroids, rows, buckets, path)
+    return IvfIndex(centroids, _stored(rows, path), buckets, path)
 
 
-def ivf_search(queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = 1, metric: str = "L2") -> DataFrame:
-    """(qid, rank, id, score): the k best within the nprobe lists nearest to each query, scored exactly."""
-    shared = queries.sparkSession.sparkContext.broadcast(index.centroids)
-    nprobe = min(nprobe, len(index.centroids))
-    qtype = queries.schema["qid"].dataType.simpleString()
+def _stored(rows: DataFrame, path: str | None) -> DataFrame:
+    """rows dealt by list and bucket, written to path by list, or to the shared folder."""
+    dealt = rows.repartition("list_id", "bucket").sortWithinPartitions("list_id")
+    if not path:
+        return written(dealt)
+    dealt.write.mode("overwrite").partitionBy("list_id").parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) and nprobe:
-                q = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-                i, j = top_of(np.arange(len(shared.value)), scores("L2", q, shared.value), nprobe, "L2")
-                yield pd.DataFrame({"qid": batch["qid"].to_numpy()[i], "q": list(q[i]), "list_id": j.astype(np.int32)})
 
-    probes = queries.where("vector is not null").select("qid", "vector").mapInPandas(probe, f"qid {qtype}, q array<double>, list_id int")
-    probes = probes.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(index.buckets - 1))))
-    pairs = index.rows.join(probes, ["list_id", "bucket"]).select("qid", "q", "id", "vector")
-    id_type = index.rows.schema["id"].dataType.simpleString()
+def ivf_coded(index: IvfIndex, codes: str = "pq", m: int = 8, path: str | None = None) -> IvfIndex:
+    """The index with codes in its lists: "sq8" (a byte a dimension), or "pq" (m bytes a vector)."""
+    if codes not in ("pq", "sq8"):
+        raise ValueError(f"codes {codes}: pq and sq8 are known")
+    if codes == "sq8":
+        sq = sq8_encode(index.rows)
+        return IvfIndex(index.centroids, _stored(sq.codes, path), index.buckets, path, sq)
+    shared = index.rows.sparkSession.sparkContext.broadcast(index.centroids)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def residuals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                q, v = (np.stack(batch[c].to_numpy()).astype(np.float64) for c in ("q", "vector"))
-                found = ((q - v) ** 2).sum(axis=1) if metric == "L2" else (q * v).sum(axis=1)
-                if metric == "COSINE":
-                    found = found / (np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1))
-                yield pd.DataFrame({"qid": batch["qid"], "id": batch["id"], "score": found})
+                off = np.stack(batch["vector"].to_numpy()) - shared.value[batch["list_id"].to_numpy()]
+                yield batch.assign(vector=list(off.astype(np.float32)))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.rows.schema)
+    pq = pq_build(index.rows.mapInPandas(residuals, types), m)
+    return IvfIndex(index.centroids, _stored(pq.codes, path), index.buckets, path, pq)
+
+
+def _probed(queries: np.ndarray, centroids: np.ndarray, nprobe: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, queries): the nprobe lists nearest to each query, ordered by list."""
+    lists, asking = [np.zeros(0, int)], [np.zeros(0, int)]
+    for part in tiles(len(queries), len(centroids)):
+        i, j = top_of(np.arange(len(centroids)), scores("L2", queries[part], centroids), nprobe, "L2")
+        lists.append(j)
+        asking.append(i + part.start)
+    found, by = np.concatenate(lists), np.concatenate(asking)
+    order = np.argsort(found, kind="stable")
+    return found[order], by[order]
+
+
+def ivf_search(
+    queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = 1, metric: str = "L2", rescore: DataFrame | None = None, widen: int = 4
+) -> DataFrame:
+    """(qid, rank, id, score): the k best within the nprobe lists nearest to each query.
+
+    Only probed lists are read; the rows of a list meet the queries that probe it as one matrix. Vectors are
+    scored exactly, codes as what they stand for; product codes know L2 only. With rescore(id, vector) the best
+    widen * k are scored again by the true vectors.
+    """
+    if rescore is not None:
+        return rescored(queries, ivf_search(queries, index, widen * k, nprobe, metric), rescore, k, metric)
+    coder, centroids = index.coder, index.centroids
+    if isinstance(coder, Pq) and metric != "L2":
+        raise ValueError(f"metric {metric}: product codes know L2 only")
+    books = coder.codebooks if isinstance(coder, Pq) else None
+    decode = (coder.low, coder.step) if isinstance(coder, Sq8) else None
+    dim, held = centroids.shape[1], "vector" if coder is None else "codes"
+    types = f"qid {queries.schema['qid'].dataType.simpleString()}, id {index.rows.schema['id'].dataType.simpleString()}, score double"
+    asked = queries.where(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("qid", "vector")
 
-    return ranked(pairs.mapInPandas(score, f"qid {qtype}, id {id_type}, score double"), k, metric).select("qid", "rank", "id", "score")
+    def search(block: DataFrame) -> DataFrame:
+        rows = block.collect()  # one block: at most QUERY_BYTES of numbers
+        qids, matrix = np.array([r["qid"] for r in rows]), np.array([r["vector"] for r in rows], float).reshape(len(rows), dim)
+        lists, asking = _probed(matrix, centroids, min(nprobe, len(centroids)))
+        shared = queries.sparkSession.sparkContext.broadcast((qids, matrix, lists, asking, centroids))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, matrix, lists, asking, centroids = shared.value
+            for batch in batches:
+                of = batch["list_id"].to_numpy()
+                for n in np.unique(of).tolist():
+                    own = batch[of == n]
+                    ids = own["id"].to_numpy()
+                    by = asking[np.searchsorted(lists, n) : np.searchsorted(lists, n, "right")]
+                    if held == "vector":
+                        x = np.stack(own["vector"].to_numpy()).astype(np.float64)
+                    else:
+                        x = np.stack([np.frombuffer(b, np.uint8) for b in own["codes"]])
+                        x = x if decode is None else decode[0] + x * decode[1]
+                    for part in tiles(len(by), max(len(ids), 0 if books is None else books.shape[0] * books.shape[1])):
+                        if books is None:
+                            found = scores(metric, matrix[by[part]], x)
+                        else:
+                            found = _by_table(_tables(matrix[by[part]] - centroids[n], books), x)
+                        i, j = top_of(ids, found, k, metric)
+                        yield pd.DataFrame({"qid": qids[by[part]][i], "id": ids[j], "score": found[i, j]})
+
+        probed = index.rows.where(F.col("list_id").isin(np.unique(lists).tolist()))
+        return probed.select("id", held, "list_id").mapInPandas(scan, types)
+
+    return ranked(by_blocks(asked, 8 * dim, search), k, metric).select("qid", "rank", "id", "score")
 
 
 @dataclass
@@ -109,20 +173,24 @@ class Sq8:
 
 
 def sq8_encode(vectors: DataFrame) -> Sq8:
-    """8 bits a dimension between its minimum and maximum; the error is half a step at most."""
-    vectors = vectors.where("vector is not null").select("id", "vector")
+    """8 bits a dimension between its minimum and maximum; the error is half a step at most. Other columns stay."""
+    vectors = vectors.where("vector is not null")
     ends = vectors.select(F.posexplode("vector").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect()
     low = np.array([r["lo"] for r in ends], float)
     step = np.maximum((np.array([r["hi"] for r in ends], float) - low) / 255, 1e-12)
-    id_type = vectors.schema["id"].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = np.rint((np.stack(batch["vector"].to_numpy()) - low) / step).clip(0, 255).astype(np.uint8)
-                yield pd.DataFrame({"id": batch["id"], "codes": [r.tobytes() for r in x]})
+                yield batch.drop(columns="vector").assign(codes=[r.tobytes() for r in x])
+
+    return Sq8(low, step, vectors.mapInPandas(pack, _with_codes(vectors)))
 
-    return Sq8(low, step, vectors.mapInPandas(pack, f"id {id_type}, codes binary"))
+
+def _with_codes(vectors: DataFrame) -> str:
+    """The columns of vectors with `codes` in place of `vector`."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema if f.name != "vector"), "codes binary"])
 
 
 def sq8_decoded(sq: Sq8) -> DataFrame:
@@ -166,15 +234,13 @@ class Pq:
 def pq_build(vectors: DataFrame, m: int, bits: int = 8, sample_rows: int = 65_536, seed: int = 42, max_iter: int = 20) -> Pq:
     """m codebooks of 2^bits entries (no more than sampled vectors), each trained on a sample's sub-vectors.
 
-    An empty table gives an index without codes, which finds nothing.
+    An empty table gives an index without codes, which finds nothing. Other columns stay beside the codes.
     """
-    vectors = vectors.where("vector is not null").select("id", "vector")
-    sample = np.array(
-        [r["vector"] for r in vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).collect()], float
-    )  # bounded by sample_rows
-    id_type = vectors.schema["id"].dataType.simpleString()
+    vectors = vectors.where("vector is not null")
+    sampled = vectors.select("id", "vector").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
+    sample = np.array([r["vector"] for r in sampled.collect()], float)  # bounded by sample_rows
     if not len(sample):
-        return Pq(np.zeros((m, 2**bits, 0)), vectors.select("id", F.lit(b"").alias("codes")))
+        return Pq(np.zeros((m, 2**bits, 0)), vectors.drop("vector").withColumn("codes", F.lit(b"")))
     if sample.shape[1] % m or bits > 8:
         raise ValueError("m must divide the dimension, and codes have 8 bits at most")
     rng = np.random.default_rng(seed)
@@ -196,9 +262,19 @@ def pq_build(vectors: DataFrame, m: int, bits: int = 8, sample_rows: int = 65_53
             if len(batch):
                 parts = np.split(np.stack(batch["vector"].to_numpy()).astype(float), m, axis=1)
                 codes = np.stack([scores("L2", p, b).argmin(axis=1) for p, b in zip(parts, books)], axis=1).astype(np.uint8)
-                yield pd.DataFrame({"id": batch["id"], "codes": [r.tobytes() for r in codes]})
+                yield batch.drop(columns="vector").assign(codes=[r.tobytes() for r in codes])
+
+    return Pq(books, vectors.mapInPandas(pack, _with_codes(vectors)))
+
+
+def _tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """queries x m x entries: squared distances of a query's sub-vectors to all codebook entries."""
+    return np.stack([scores("L2", p, b) for p, b in zip(np.split(queries, len(books), axis=1), books)], axis=1)
+
 
-    return Pq(books, vectors.mapInPandas(pack, f"id {id_type}, codes binary"))
+def _by_table(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """queries x rows: the tables' distances, summed by code."""
+    return sum(tables[:, i, codes[:, i]] for i in range(codes.shape[1]))
 
 
 def pq_search(queries: DataFrame, pq: Pq, k: int = 10, rescore: DataFrame | None = None, widen: int = 4) -> DataFrame:
@@ -215,8 +291,7 @@ def pq_search(queries: DataFrame, pq: Pq, k: int = 10, rescore: DataFrame | None
     def search(block: DataFrame) -> DataFrame:
         rows = block.collect()  # one block: its tables take QUERY_BYTES at most
         qids, matrix = np.array([r["qid"] for r in rows]), np.array([r["vector"] for r in rows], float).reshape(len(rows), dim)
-        tables = np.stack([scores("L2", p, b) for p, b in zip(np.split(matrix, len(pq.codebooks), axis=1), pq.codebooks)], axis=1)
-        shared = queries.sparkSession.sparkContext.broadcast((qids, tables))
+        shared = queries.sparkSession.sparkContext.broadcast((qids, _tables(matrix, pq.codebooks)))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, tables = shared.value
@@ -224,7 +299,7 @@ def pq_search(queries: DataFrame, pq: Pq, k: int = 10, rescore: DataFrame | None
                 if len(batch):
                     ids, codes = batch["id"].to_numpy(), np.stack([np.frombuffer(b, np.uint8) for b in batch["codes"]])
                     for part in tiles(len(qids), len(ids)):
-                        found = sum(tables[part, i, codes[:, i]] for i in range(codes.shape[1]))
+                        found = _by_table(tables[part], codes)
                         i, j = top_of(ids, found, k, "L2")
                         yield pd.DataFrame({"qid": qids[part][i], "id": ids[j], "score": found[i, j]})
 

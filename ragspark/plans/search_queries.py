@@ -65,9 +65,37 @@ def e4_ivf_search(spark, sf_dir):
 
 
 @query()
+def e4_ivf_pq_search(spark, sf_dir):
+    """Lists that hold product codes, the best hits scored again by the true vectors."""
+    vectors = _vectors(spark, sf_dir)
+    index = ann.ivf_coded(ann.ivf_build(vectors, n_lists=16, max_iter=10), "pq", m=16)
+    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe=12, rescore=vectors, widen=8)
+
+
+@query()
+def e4_ivf_sq8_search(spark, sf_dir):
+    """Lists that hold a byte a dimension."""
+    vectors = _vectors(spark, sf_dir)
+    index = ann.ivf_coded(ann.ivf_build(vectors, n_lists=16, max_iter=10), "sq8")
+    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe=12, metric="IP", rescore=vectors)
+
+
+_ENDS = """(select list(lo order by i) as lo, list(greatest((hi - lo) / 255, 1e-12) order by i) as step from (
+    select i, min(embedding[i])::double as lo, max(embedding[i])::double as hi from embeddings, range(1, 65) r(i) group by i))"""
+_DECODED = f"""(select vec_id, list_transform(range(1, 65), lambda i: lo[i] + step[i] * round_even((embedding[i]::double - lo[i]) / step[i], 0)) as v
+    from embeddings, {_ENDS})"""
+
+
+@query(f"""with wide as (select * from (select q.vec_id as qid, d.vec_id as id, q.embedding::double[] as q,
+      row_number() over (partition by q.vec_id order by list_dot_product(q.embedding::double[], d.v) desc, d.vec_id) as n
+      from embeddings q, {_DECODED} d where q.vec_id % 50 = 0) where n <= 40),
+    scored as (select qid, id, list_dot_product(q, embedding::double[]) as s from wide join embeddings on vec_id = id)
+    select qid, rank, id, round(s, 4) as score from (
+      select *, (row_number() over (partition by qid order by s desc, id) - 1)::int as rank from scored) where rank < 10""")
 def e5_sq8_search(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    return ann.sq8_search(_queries(spark, sf_dir), ann.sq8_encode(vectors), 10, rescore=vectors, metric="IP")
+    hits = ann.sq8_search(_queries(spark, sf_dir), ann.sq8_encode(vectors), 10, rescore=vectors, metric="IP")
+    return hits.withColumn("score", F.round("score", 4))
 
 
 @query()
@@ -207,9 +235,19 @@ def g4_eval_dataset(spark, sf_dir):
     return found.select("qid", "user_input", "response", "reference", F.size("retrieved_contexts").cast("long").alias("n_contexts"))
 
 
-@query()
+_WORDS = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
+_GRAMS = "(select qid, n, array_to_string(x[i:i + n - 1], ' ') as g, count(*) as c from (select qid, {0} as x, n, unnest(range(1, len({0}) - n + 2)) as i from w, range(1, 5) r(n)) group by all)"
+
+
+@query(f"""with w as (select qid, {_WORDS.format('question')} as a, {_WORDS.format('ground_truth')} as b from {QUESTIONS}),
+    met as (select x.qid, x.n, sum(least(x.c, y.c)) as c from {_GRAMS.format('a')} x join {_GRAMS.format('b')} y using (qid, n, g) group by all),
+    told as (select w.qid, a, b, ln(coalesce(c, 0.0) / (len(a) - r.n + 1) + 1e-300) as p, coalesce(c, 0) as c
+      from w join range(1, 5) r(n) on r.n <= len(a) left join met on met.qid = w.qid and met.n = r.n)
+    select w.qid, round(case when len(w.a) = 0 or len(w.b) = 0 then (len(w.a) = len(w.b))::int::double when t.least = 0 then 0.0
+      else least(1.0, exp(1 - len(w.b) / len(w.a))) * exp(t.p) end, 4) as bleu
+    from w left join (select qid, min(c) as least, avg(p) as p from told group by qid) t on t.qid = w.qid""")
 def g5_bleu(spark, sf_dir):
-    return evaluation.bleu(_evaluated(spark, sf_dir)).select("qid", "bleu")
+    return evaluation.bleu(_evaluated(spark, sf_dir)).select("qid", F.round("bleu", 4).alias("bleu"))
 
 
 _SETS = f"(select *, {_TOKENS.format('ground_truth')} as r, {_TOKENS.format('question')} as q from {QUESTIONS})"
