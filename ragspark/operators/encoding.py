@@ -20,15 +20,26 @@ class HashingEncoder:
     A text without tokens gives the zero vector.
     """
 
+    #: tokens whose slots are kept at most; they are forgotten then and hashed anew
+    KNOWN = 1 << 18
+
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self._slots: dict[str, int] = {}
+
+    def _slot(self, token: str) -> int:
+        """Twice the token's dimension, and one more where it counts as 1, not -1."""
+        h = crc32(token.encode("utf-8", "replace"))
+        return (h >> 1) % self.dim * 2 + (h & 1)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out, slots = np.zeros((len(texts), self.dim), np.float32), self._slots
         for row, text in zip(out, texts):
-            for token in (text or "").lower().split():
-                h = crc32(token.encode("utf-8", "replace"))
-                row[(h >> 1) % self.dim] += 1 if h & 1 else -1
+            found = [slots[t] if t in slots else slots.setdefault(t, self._slot(t)) for t in (text or "").lower().split()]
+            if len(slots) > self.KNOWN:
+                slots.clear()
+            counts = np.bincount(np.array(found, np.int64), minlength=2 * self.dim)
+            row[:] = counts[1::2] - counts[::2]
             length = float(np.linalg.norm(row))
             if length:
                 row /= length

@@ -124,13 +124,31 @@ def c1_encode(spark, sf_dir):
     return encoding.encode(docs, "text", lambda: encoding.HashingEncoder(64)).select("doc_id", "vector")
 
 
-@query()
+#: CRC-32 (reflected polynomial 0xEDB88320) of a token's UTF-8 bytes, by a table made from the rule
+_CRC_TABLE = """(select list(c order by i) as tab from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+    lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) as c from range(256) r(i)))"""
+_BYTES = """list_transform(range(0, len(h) // 2), lambda i: (16 * (instr('0123456789ABCDEF', h[2 * i + 1:2 * i + 1]) - 1)
+    + instr('0123456789ABCDEF', h[2 * i + 2:2 * i + 2]) - 1)::bigint)"""
+_CRC = f"""(select t, xor(list_reduce(list_prepend(4294967295::bigint, {_BYTES}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint) as crc
+    from (select t, hex(encode(t)) as h from (select distinct t from toks)), {_CRC_TABLE})"""
+
+
+@query(f"""with toks as (select conv_id, turn, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) as t from conversations),
+    dims as (select conv_id, turn, (crc >> 1) % 32 as d, sum(case when crc % 2 = 1 then 1 else -1 end) as s from toks join {_CRC} using (t) group by all),
+    told as (select conv_id, turn, count(*) filter (s > 0) as n_plus, count(*) filter (s < 0) as n_minus, min(d) filter (s <> 0) as first_dim from dims group by all)
+    select conv_id, turn, coalesce(n_plus, 0)::int as n_plus, coalesce(n_minus, 0)::int as n_minus, first_dim::int as first_dim,
+      case when first_dim is null then 0.0 else 1.0 end::double as norm from conversations left join told using (conv_id, turn)""")
 def c2_hashing_encoder(spark, sf_dir):
-    """Norms of the hashed vectors of the conversations' turns, 0 or 1."""
+    """Of the hashed vectors of the conversations' turns: dimensions above and below zero, the first of these, the norm (0 or 1)."""
     from ragspark.functions.vectors import norm
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return encoding.encode(turns, "text", lambda: encoding.HashingEncoder(32)).select("conv_id", "turn", F.round(norm("vector"), 3).alias("norm"))
+    told = encoding.encode(turns, "text", lambda: encoding.HashingEncoder(32))
+    dims = F.filter(F.transform("vector", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    n = lambda wanted: F.size(F.filter("vector", wanted))
+    return told.select(
+        "conv_id", "turn", n(lambda x: x > 0).alias("n_plus"), n(lambda x: x < 0).alias("n_minus"), F.array_min(dims).alias("first_dim"), F.round(norm("vector"), 3).alias("norm")
+    )
 
 
 @query("""select vec_id, round(v[1], 4) as first, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) as norm from (
