@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragspark.llm import decontamination, html_extraction, licenses, matroska, passages, quality, secrets, sentencepiece_tokens, simhash, toxicity
+from ragspark.llm import decontamination, html_extraction, importance, licenses, matroska, passages, projected_neighbours, quality, secrets, sentencepiece_tokens, simhash, toxicity, whitening
 from ragspark.llm.tables import table
 
 
@@ -50,10 +51,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return projected_neighbours.neighbours(vectors.where("id % 20 = 0"), vectors, 20)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviation as long, as the contract wants it; one beyond a long's range is null."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op5_license_scan, op6_secret_scan, op7_substring_dedup, op8_html_extraction, op9_quality, op10_decontamination]
+    found = [op1_simhash_dedup, op2_toxicity, op3_media_columns, op4_sentencepiece, op5_license_scan, op6_secret_scan, op7_substring_dedup, op8_html_extraction, op9_quality, op10_decontamination, op11_projected_neighbours, op12_importance_resampling, op13_whitening]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.SQL, "op6_secret_scan": secrets.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op5_license_scan": licenses.SQL, "op6_secret_scan": secrets.SQL, "op10_decontamination": decontamination.SQL, "op12_importance_resampling": importance.SQL}
