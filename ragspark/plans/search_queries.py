@@ -5,6 +5,7 @@ Queries of a search are all vectors whose id is divisible by 50; questions come
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ragspark.operators import ann, evaluation, prompts, rerank, search
@@ -53,31 +54,74 @@ def e2_knn_exact_sql(spark, sf_dir):
 
 @query()
 def e3_ivf_build(spark, sf_dir):
-    """Sizes of the lists."""
+    """Sizes of the lists of trained centroids."""
     index = ann.ivf_build(_vectors(spark, sf_dir), n_lists=16, max_iter=10)
     return index.rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _given(spark, sf_dir):
+    """An index whose centroids are the first sixteen vectors."""
+    first = _vectors(spark, sf_dir).where("id < 16").orderBy("id").collect()
+    return ann.ivf_build(_vectors(spark, sf_dir), centroids=np.array([r["vector"] for r in first], float))
+
+
+_LISTS = """(select v.vec_id, arg_min(c.vec_id, (list_distance(v.embedding::double[], c.embedding::double[]), c.vec_id)) as list_id
+    from embeddings v, embeddings c where c.vec_id < 16 group by 1)"""
+
+
+@query(f"select list_id::int as list_id, count(*) as n from {_LISTS} group by 1")
+def e3_ivf_given_centroids(spark, sf_dir):
+    """Sizes of the lists of given centroids."""
+    return _given(spark, sf_dir).rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with probes as (select qid, list_id from (select q.vec_id as qid, c.vec_id as list_id,
+      row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], c.embedding::double[]), c.vec_id) as n
+      from embeddings q, embeddings c where q.vec_id % 50 = 0 and c.vec_id < 16) where n <= 5)
+    select qid, rank, id, round(s, 4) as score from (select p.qid, v.vec_id as id, list_dot_product(q.embedding::double[], v.embedding::double[]) as s,
+      (row_number() over (partition by p.qid order by s desc, v.vec_id) - 1)::int as rank
+      from probes p join {_LISTS} l using (list_id) join embeddings v on v.vec_id = l.vec_id join embeddings q on q.vec_id = p.qid) where rank < 10""")
+def e4_ivf_given_centroids(spark, sf_dir):
+    """Search of five lists of given centroids."""
+    hits = ann.ivf_search(_queries(spark, sf_dir), _given(spark, sf_dir), 10, nprobe=5, metric="IP")
+    return hits.withColumn("score", F.round("score", 4))
+
+
+def _trained(spark, sf_dir):
+    """(index, nprobe): sixteen lists, as many of them probed as other queries than the searched ones need for a recall of 0.95."""
+    vectors = _vectors(spark, sf_dir)
+    index = ann.ivf_build(vectors, n_lists=16, max_iter=10)
+    asked = vectors.where("id % 50 = 25").withColumnRenamed("id", "qid")
+    return index, ann.choose_nprobe(ann.probe_curve(asked, index, written(search.knn_exact(asked, vectors, 10, "IP"))), 0.95)
+
+
+@query()
+def e4_probe_curve(spark, sf_dir):
+    """Recall and share of rows read for each number of lists probed."""
+    vectors = _vectors(spark, sf_dir)
+    index = ann.ivf_build(vectors, n_lists=16, max_iter=10)
+    curve = ann.probe_curve(_queries(spark, sf_dir), index, written(search.knn_exact(_queries(spark, sf_dir), vectors, 10, "IP")))
+    return spark.createDataFrame(curve, "nprobe int, recall double, scanned double")
+
+
 @query()
 def e4_ivf_search(spark, sf_dir):
-    index = ann.ivf_build(_vectors(spark, sf_dir), n_lists=16, max_iter=10)
-    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe=12, metric="IP")
+    index, nprobe = _trained(spark, sf_dir)
+    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe, metric="IP")
 
 
 @query()
 def e4_ivf_pq_search(spark, sf_dir):
     """Lists that hold product codes, the best hits scored again by the true vectors."""
-    vectors = _vectors(spark, sf_dir)
-    index = ann.ivf_coded(ann.ivf_build(vectors, n_lists=16, max_iter=10), "pq", m=16)
-    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe=12, rescore=vectors, widen=8)
+    index, nprobe = _trained(spark, sf_dir)
+    return ann.ivf_search(_queries(spark, sf_dir), ann.ivf_coded(index, "pq", m=16), 10, nprobe, metric="IP", rescore=_vectors(spark, sf_dir), widen=8)
 
 
 @query()
 def e4_ivf_sq8_search(spark, sf_dir):
     """Lists that hold a byte a dimension."""
-    vectors = _vectors(spark, sf_dir)
-    index = ann.ivf_coded(ann.ivf_build(vectors, n_lists=16, max_iter=10), "sq8")
-    return ann.ivf_search(_queries(spark, sf_dir), index, 10, nprobe=12, metric="IP", rescore=vectors)
+    index, nprobe = _trained(spark, sf_dir)
+    return ann.ivf_search(_queries(spark, sf_dir), ann.ivf_coded(index, "sq8"), 10, nprobe, metric="IP", rescore=_vectors(spark, sf_dir))
 
 
 _ENDS = """(select list(lo order by i) as lo, list(greatest((hi - lo) / 255, 1e-12) order by i) as step from (
@@ -104,6 +148,28 @@ def e6_pq_search(spark, sf_dir):
     return ann.pq_search(_queries(spark, sf_dir), ann.pq_build(vectors, m=16), 10, rescore=vectors, widen=8)
 
 
+@query()
+def e6_pq_search_ip(spark, sf_dir):
+    """Product codes by inner product."""
+    vectors = _vectors(spark, sf_dir)
+    return ann.pq_search(_queries(spark, sf_dir), ann.pq_build(vectors, m=16), 10, rescore=vectors, widen=8, metric="IP")
+
+
+_CODED = """(select vec_id, flatten(list(c order by i)) as v from (select v.vec_id, i,
+      arg_min(b.embedding[16 * i + 1:16 * i + 16]::double[], (list_distance(v.embedding[16 * i + 1:16 * i + 16]::double[], b.embedding[16 * i + 1:16 * i + 16]::double[]), b.vec_id)) as c
+      from embeddings v, embeddings b, range(4) r(i) where b.vec_id < 16 group by all) group by vec_id)"""
+
+
+@query(f"""select qid, rank, id, round(s, 4) as score from (select q.vec_id as qid, d.vec_id as id, list_dot_product(q.embedding::double[], d.v) as s,
+      (row_number() over (partition by q.vec_id order by round(s, 9) desc, d.vec_id) - 1)::int as rank
+      from embeddings q, {_CODED} d where q.vec_id % 50 = 0) where rank < 10""")
+def e6_pq_given_books(spark, sf_dir):
+    """Search by inner product over codes of given books: the quarters of the first sixteen vectors."""
+    first = np.array([r["vector"] for r in _vectors(spark, sf_dir).where("id < 16").orderBy("id").collect()], float)
+    pq = ann.pq_build(_vectors(spark, sf_dir), m=4, books=first.reshape(16, 4, 16).transpose(1, 0, 2))
+    return ann.pq_search(_queries(spark, sf_dir), pq, 10, metric="IP").withColumn("score", F.round("score", 4))
+
+
 def _hits(spark, sf_dir):
     """Each benchmark item's documents with the most tokens in common is a search of its own; here: vector hits with texts."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -185,7 +251,8 @@ def f3_candidate_docs(spark, sf_dir):
     group by all)) where rank < 10""")
 def f4_maxsim(spark, sf_dir):
     asked, patches = _patches(spark, sf_dir)
-    found = rerank.maxsim(asked, patches, written(rerank.candidate_docs(asked, patches, 50)), 10)
+    matrices = written(rerank.patch_matrices(patches))
+    found = rerank.maxsim(asked, matrices, written(rerank.candidate_docs(asked, patches, 50)), 10)
     return found.withColumn("score", F.round("score", 4))
 
 

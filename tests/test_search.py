@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ragspark.operators import ann, evaluation, prompts, rerank, search
 
@@ -50,7 +51,7 @@ def test_plan_of_top_k(data):
 
 def test_ivf(data):
     _, vectors, queries = data
-    index = ann.ivf_build(vectors, n_lists=8, max_iter=5, sample_rate=20, buckets=2)
+    index = ann.ivf_build(vectors, n_lists=8, max_iter=5, sample_rate=20, list_rows=30)
     exact = search.knn_exact(queries, vectors, 5, "L2")
     assert rows(ann.ivf_search(queries, index, 5, nprobe=8)) == rows(exact)
     few = ann.ivf_search(queries, index, 5, nprobe=2)
@@ -86,7 +87,7 @@ def test_ivf_on_disk(data, tmp_path):
 
 def test_ivf_with_codes(data, tmp_path, monkeypatch):
     x, vectors, queries = data
-    index = ann.ivf_build(vectors, n_lists=4, max_iter=5, sample_rate=20, buckets=2)
+    index = ann.ivf_build(vectors, n_lists=4, max_iter=5, sample_rate=20, list_rows=30)
     exact = rows(search.knn_exact(queries, vectors, 3, "L2"))
     bytes_ = ann.ivf_coded(index, "sq8", path=str(tmp_path / "sq8"))
     products = ann.ivf_coded(index, "pq", m=4)  # 300 sub-vectors of two values, 256 entries: nearly exact
@@ -102,7 +103,12 @@ def test_ivf_with_codes(data, tmp_path, monkeypatch):
     monkeypatch.setattr(search, "SCORE_CELLS", 10)
     assert rows(ann.ivf_search(queries, products, 4, nprobe=2)) == whole
     with pytest.raises(ValueError):
-        ann.ivf_search(queries, products, 3, metric="IP")
+        ann.ivf_search(queries, products, 3, metric="cosine")
+    for metric, of in (("IP", lambda q, v: q @ v), ("COSINE", lambda q, v: q @ v / np.linalg.norm(q) / np.linalg.norm(v))):
+        for coded in (products, bytes_):
+            stand = stands if coded is products else {i: np.array(v) for i, v in ann.sq8_decoded(bytes_.coder).select("id", "vector").collect()}
+            hits = ann.ivf_search(queries, coded, 5, nprobe=4, metric=metric).collect()
+            assert hits and all(abs(h["score"] - of(x[h["qid"]], stand[h["id"]])) < 1e-6 for h in hits)
     none = ann.ivf_build(vectors.where("false"))
     assert [ann.ivf_search(queries, ann.ivf_coded(none, c), 3).count() for c in ("pq", "sq8")] == [0, 0]
 
@@ -126,6 +132,91 @@ def test_pq(data):
     assert recall > 0.3
 
 
+def _clustered(spark, n=6000, centres=40, dim=16):
+    rng = np.random.default_rng(11)
+    at = rng.standard_normal((centres, dim)) * 3
+    of = np.where(np.arange(n) % 2 == 0, 0, rng.integers(0, centres, n))  # a cluster of half the rows
+    x = (at[of] + rng.standard_normal((n, dim)) * 0.5).astype(np.float32).astype(float)
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+
+
+def test_a_measured_recall_curve_keeps_the_scan_small(spark):
+    x, vectors = _clustered(spark)
+    index = ann.ivf_build(vectors, n_lists=64, max_iter=10, list_rows=200)
+    assert index.sizes.sum() == 6000 and index.sizes.max() > 200
+    asked = vectors.where("id % 97 = 0").withColumnRenamed("id", "qid")
+    exact = search.knn_exact(asked, vectors, 10).persist()
+    curve = ann.probe_curve(asked, index, exact)
+    assert [p for p, _, _ in curve] == list(range(1, 65)) and curve[-1][1:] == (1.0, 1.0)
+    assert all(a[1] <= b[1] and a[2] <= b[2] for a, b in zip(curve, curve[1:]))
+    nprobe = ann.choose_nprobe(curve, 0.95)
+    told, scanned = curve[nprobe - 1][1:]
+    found = search.recall_at_k(ann.ivf_search(asked, index, 10, nprobe), exact).agg({"recall": "avg"}).first()[0]
+    assert found == pytest.approx(told) and found >= 0.95 and scanned <= 0.25
+    # queries that the curve was not measured on
+    others = vectors.where("id % 89 = 1").withColumnRenamed("id", "qid")
+    recall = search.recall_at_k(ann.ivf_search(others, index, 10, nprobe), search.knn_exact(others, vectors, 10)).agg({"recall": "avg"}).first()[0]
+    assert recall >= 0.9
+    assert ann.choose_nprobe([(1, 0.2, 0.1), (2, 0.5, 1.0)], 0.9) == 2
+
+
+def test_a_list_of_half_the_rows_is_several_tasks_work(spark):
+    _, vectors = _clustered(spark, 4000, 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one task's again
+    try:
+        index = ann.ivf_build(vectors, n_lists=3, max_iter=5, list_rows=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = int(index.sizes.argmax())
+    of = [r[0] for r in index.rows.where(F.col("list_id") == hot).select("bucket").distinct().collect()]
+    assert len(of) == -(-index.sizes[hot] // 100) and index.sizes[hot] >= 2000
+    by_file = [r["count"] for r in index.rows.where(F.col("list_id") == hot).groupBy(F.input_file_name()).count().collect()]
+    assert max(by_file) < index.sizes[hot] / 2
+
+
+def test_product_codes_for_every_metric(spark):
+    x, vectors = _clustered(spark, 3000, 30)
+    asked = vectors.where("id % 101 = 0").withColumnRenamed("id", "qid")
+    pq = ann.pq_build(vectors, m=8, bits=6)
+    stands = {r["id"]: pq.decode(np.frombuffer(r["codes"], np.uint8)[None])[0] for r in pq.codes.collect()}
+    scores = {"L2": lambda q, v: ((q - v) ** 2).sum(), "IP": lambda q, v: q @ v, "COSINE": lambda q, v: q @ v / np.linalg.norm(q) / np.linalg.norm(v)}
+    for metric, of in scores.items():
+        hits = ann.pq_search(asked, pq, 10, metric=metric)
+        assert all(abs(h["score"] - of(x[h["qid"]], stands[h["id"]])) < 1e-6 for h in hits.collect())
+        best = ann.pq_search(asked, pq, 10, rescore=vectors, widen=8, metric=metric)
+        recall = search.recall_at_k(best, search.knn_exact(asked, vectors, 10, metric)).agg({"recall": "avg"}).first()[0]
+        assert recall >= 0.9, metric
+    with pytest.raises(ValueError):
+        ann.pq_search(asked, pq, 10, metric="IQ")
+
+
+def test_codebooks_are_trained_by_sums_of_the_executors(spark, monkeypatch):
+    """The driver sees sums of one size whatever the sample holds, and a book's error falls with its entries."""
+    x, vectors = _clustered(spark, 2000, 30)
+    seen = []
+    plain = ann._entry_sums
+    monkeypatch.setattr(ann, "_entry_sums", lambda *a: (seen.append(a[1].shape), plain(*a))[1])
+    errors = []
+    for bits in (2, 4, 6):
+        pq = ann.pq_build(vectors, m=4, bits=bits)
+        stands = {r["id"]: pq.decode(np.frombuffer(r["codes"], np.uint8)[None])[0] for r in pq.codes.collect()}
+        errors.append(np.mean([((x[i] - v) ** 2).sum() for i, v in stands.items()]))
+        assert set(seen) == {(4, 2**bits, 4)} and len(seen) <= 24
+        seen.clear()
+    assert errors[0] > 2 * errors[1] > 2 * errors[2]
+
+
+def test_byte_codes_are_searched_without_decoding(data):
+    x, vectors, queries = data
+    sq = ann.sq8_encode(vectors)
+    stands = {r["id"]: np.array(r["vector"]) for r in ann.sq8_decoded(sq).collect()}
+    for metric in ("L2", "IP", "COSINE"):
+        found = ann.sq8_search(queries, sq, 7, metric=metric)
+        exact = search.knn_exact(queries, ann.sq8_decoded(sq), 7, metric)
+        assert rows(found) == rows(exact)
+        assert len(stands) == 300 and found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 2  # codes made, codes met
+
+
 def test_contexts_and_reports(spark):
     hits = spark.createDataFrame([(1, 1, 5, 0.5, "b\n\n\nc"), (1, 0, 6, 0.4, "a"), (2, 0, 5, 0.1, None)], "qid long, rank int, id long, score double, text string")
     got = {r["qid"]: r["contexts"] for r in search.format_contexts(hits).collect()}
@@ -156,6 +247,59 @@ def test_late_interaction(spark):
     assert rerank.maxsim(asked, patches, every, 1).count() == 2
 
 
+def test_late_interaction_by_matrices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p, q = rng.normal(size=(90, 4)), rng.normal(size=(3, 5, 4))
+    docs = np.sort(rng.integers(0, 6, 90))
+    rows_ = [(int(d), int(i), v.tolist()) for i, (d, v) in enumerate(zip(docs, p))]
+    patches = spark.createDataFrame(rows_ + [(2, 500, None), (7, 0, [1.0, 2.0])], "doc_id long, seq_id int, vector array<double>")
+    asked = spark.createDataFrame([(i, t, q[i, t].tolist()) for i in range(3) for t in range(5)] + [(9, 0, None)], "qid long, tok int, vector array<double>")
+    pairs = spark.createDataFrame([(i, d) for i in (0, 1, 2, 9) for d in range(8)] * 2, "qid long, doc_id long")
+    want = {(i, int(d)): (q[i] @ p[docs == d].T).max(axis=1).sum() for i in range(3) for d in set(docs.tolist())}
+    matrices = rerank.patch_matrices(patches, "late_patches", buckets=3)
+    for held in (patches, matrices):
+        got = {(r["qid"], r["doc_id"]): r["score"] for r in rerank.maxsim(asked, held, pairs).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    # a document's parts, a query block each, tiles
+    monkeypatch.setattr(rerank, "MATRIX_ROWS", 4)
+    monkeypatch.setattr(rerank, "SCORE_CELLS", 50)
+    monkeypatch.setattr(search, "QUERY_BYTES", 200)
+    parts = rerank.patch_matrices(patches)
+    assert parts.where("part > 0").count() > 0
+    again = {(r["qid"], r["doc_id"]): r["score"] for r in rerank.maxsim(asked, parts, pairs).collect()}
+    assert again.keys() == want.keys() and all(again[k] == pytest.approx(want[k]) for k in want)
+    assert rerank.maxsim(asked.where("false"), patches, pairs).count() == 0 == rerank.maxsim(asked, patches.where("false"), pairs).count()
+
+
+def test_stored_patches_are_not_moved(spark):
+    rows_ = [(d, s, [float(d), float(s)]) for d in range(40) for s in range(3)]
+    patches = spark.createDataFrame(rows_, "doc_id long, seq_id int, vector array<double>")
+    asked = patches.where("doc_id < 2").selectExpr("doc_id as qid", "seq_id as tok", "vector")
+    matrices = rerank.patch_matrices(patches, "kept_patches", buckets=4)
+    pairs = patches.selectExpr("doc_id % 2 as qid", "doc_id").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rerank.maxsim(asked, matrices, pairs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # no row a patch and token, no shuffle of what holds a matrix, by document or by query
+    assert "matrix" in plan and "Generate" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "matrix" in line]
+    scan = next(i for i, line in enumerate(plan.splitlines()) if "SelectedBucketsCount" in line)
+    above = plan.splitlines()[:scan]
+    join = max(i for i, line in enumerate(above) if "SortMergeJoin" in line)
+    assert not moved and not any("Exchange" in line for line in above[join:] if line.count(":") == above[join].count(":"))
+
+
+def test_candidates_of_large_patch_numbers(spark):
+    patches = spark.createDataFrame([(5, 1 << 30, [1.0, 0.0]), (6, 3, [0.0, 1.0])], "doc_id long, seq_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, 0, [2.0, 0.0])], "qid long, tok int, vector array<double>")
+    assert [tuple(r) for r in rerank.candidate_docs(asked, patches, 1).collect()] == [(1, 5)]
+    with pytest.raises(ValueError):
+        rerank.candidate_docs(asked, patches.withColumn("doc_id", F.lit(1 << 40)), 1)
+
+
 def test_prompts(spark):
     asked = spark.createDataFrame([(1, "why?"), (2, "{n}")], "qid long, question string")
     ctx = spark.createDataFrame([(1, ["a", "b"])], "qid long, contexts array<string>")
@@ -188,7 +332,8 @@ def test_registered_indexes_reach_their_recall(spark):
     sf = "/root/testdata/sf0.1"
     if not os.path.isdir(sf):
         pytest.skip("needs the given tables")
-    for found, metric in ((plans.e4_ivf_search, "IP"), (plans.e4_ivf_pq_search, "L2"), (plans.e4_ivf_sq8_search, "IP"), (plans.e6_pq_search, "L2")):
+    searches = [(plans.e4_ivf_search, "IP"), (plans.e4_ivf_pq_search, "IP"), (plans.e4_ivf_sq8_search, "IP"), (plans.e6_pq_search, "L2"), (plans.e6_pq_search_ip, "IP")]
+    for found, metric in searches:
         exact = search.knn_exact(plans._queries(spark, sf), plans._vectors(spark, sf), 10, metric)
         recall = search.recall_at_k(found(spark, sf), exact).agg({"recall": "avg"}).first()[0]
         print(found.__name__, recall)
