@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import sanitized_name
-from ragspark.operators import chunking, collections, encoding
+from ragspark.operators import buckets, chunking, collections, encoding
 from ragspark.plans.registry import query, table
 from ragspark.sources import corpus
 from ragspark.storage import scratch
@@ -27,11 +28,17 @@ def a3_dataset_ratio(spark, sf_dir):
     return corpus.dataset_ratio(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 0.25, "doc_id")
 
 
-@query()
+@query("select 'role=' || role as folder, 1::bigint as n_files, true as in_order from conversations group by role")
 def a4_list_files(spark, sf_dir):
-    """The Parquet files of the documents themselves: their number and whether they come in the order of names."""
-    files = corpus.list_files(spark, f"{sf_dir}/documents.parquet", "*.parquet")
-    return files.select(F.element_at(F.split("content", "/"), -1).alias("name"), "length")
+    """The conversations' texts written as a text file a role: files by folder, and whether they are listed by name."""
+    path = scratch(spark)
+    table(spark, sf_dir, "conversations").select("role", "text").repartition(1).write.partitionBy("role").text(path)
+    files = corpus.list_files(spark, path, "*.txt")
+    parts = F.split("content", "/")
+    names = files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.monotonically_increasing_id().alias("at"))
+    order = Window.orderBy("at")  # a row a role
+    told = names.withColumn("in_order", F.coalesce(F.lag("name").over(order) <= F.col("name"), F.lit(True)))
+    return told.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), F.bool_and("in_order").alias("in_order"))
 
 
 @query("""select page_id as id, replace(url, 'arxiv.org/abs/', 'arxiv.org/pdf/') as url, page_id || '.pdf' as filename from pages
@@ -118,12 +125,6 @@ def b5_chunk_stats(spark, sf_dir):
     return found.select("doc_id", "n_chunks", F.col("min_len").cast("long").alias("min_len"), F.round("avg_len", 4).alias("avg_len"), F.col("max_len").cast("long").alias("max_len"))
 
 
-@query()
-def c1_encode(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoding.encode(docs, "text", lambda: encoding.HashingEncoder(64)).select("doc_id", "vector")
-
-
 #: CRC-32 (reflected polynomial 0xEDB88320) of a token's UTF-8 bytes, by a table made from the rule
 _CRC_TABLE = """(select list(c order by i) as tab from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
     lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) as c from range(256) r(i)))"""
@@ -151,6 +152,18 @@ def c2_hashing_encoder(spark, sf_dir):
     )
 
 
+@query(f"""with toks as (select doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) as t from documents),
+    dims as (select doc_id, (crc >> 1) % 64 as d, sum(case when crc % 2 = 1 then 1 else -1 end) as s from toks join {_CRC} using (t) group by all),
+    told as (select doc_id, list({{'d': d, 's': s}}) as l, sqrt(sum(s * s)) as n from dims where s <> 0 group by 1)
+    select doc_id, array_to_string(list_transform(range(64), lambda i: case when len(list_filter(l, lambda x: x.d = i)) > 0
+      then round(list_filter(l, lambda x: x.d = i)[1].s * 1000 / n)::int else 0 end), ',') as thousandths from documents left join told using (doc_id)""")
+def c1_encode(spark, sf_dir):
+    """The documents' hashed vectors, in thousandths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = encoding.encode(docs, "text", lambda: encoding.HashingEncoder(64))
+    return told.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), ",").alias("thousandths"))
+
+
 @query("""select vec_id, round(v[1], 4) as first, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) as norm from (
     select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as v from (
     select vec_id, list_transform(embedding::double[], lambda x: x * (vec_id + 1)) as e from embeddings))""")
@@ -214,7 +227,10 @@ _CHANGES = "(select user_id as id, arg_max(value, event_id) as value from events
 def d3_upsert(spark, sf_dir):
     target = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("value"))
     changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "value", "event_id")
-    return collections.upsert(target, changes, "id", "event_id")
+    path = scratch(spark)
+    buckets.start(target, path, "id")
+    buckets.merge_upserts(changes, path, "id long, value double", "id", "event_id")
+    return buckets.rows(spark, path, "id long, value double")
 
 
 @query("select vec_id as id, label from embeddings where vec_id not in (select doc_id from labels where quality = 1)")
@@ -232,7 +248,10 @@ OPS = """case event_type when 'signup' then 'insert' when 'purchase' then 'inser
 def d5_apply_workload(spark, sf_dir):
     target = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("value"))
     ops = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "value", F.expr(OPS).alias("op"), "event_id")
-    return collections.apply_workload(target, ops, "id", "event_id")
+    path = scratch(spark)
+    buckets.start(target, path, "id")
+    buckets.merge_workload(ops, path, "id long, value double", "id", "event_id")
+    return buckets.rows(spark, path, "id long, value double")
 
 
 @query("select vec_id, label from embeddings where label = 3 order by vec_id limit 10")

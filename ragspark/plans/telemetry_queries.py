@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import epoch_ns
-from ragspark.operators import stages, telemetry
+from ragspark.operators import buckets, stages, telemetry
 from ragspark.operators.collections import apply_workload
 from ragspark.operators.encoding import HashingEncoder, encode
 from ragspark.operators.search import format_contexts, knn_exact
@@ -312,7 +312,7 @@ def j3_stream_collection_changes(spark, sf_dir):
     stream = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), "value", F.expr(OPS).alias("op"), "event_id")
     run = jobs.stream_collection_changes(stream, path, "id", "event_id", ["id", "value"])
     run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return jobs.collection_rows(spark, path, "id long, value double")
+    return buckets.rows(spark, path, "id long, value double")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragspark.operators.position import with_position
+from ragspark.operators.slices import prefix, ranked_slice
 
 
 def load_corpus(spark: SparkSession, path: str, text_col: str, id_col: str) -> DataFrame:
@@ -23,15 +24,15 @@ def dataset_slice(df: DataFrame, length: int, offset: int, order_by: str) -> Dat
     start, total = offset * length, df.count()
     if start >= total:
         raise ValueError(f"slice starts at row {start} of {total}")
-    return with_position(df, order_by, name="_pos").where((F.col("_pos") >= start) & (F.col("_pos") < start + length)).drop("_pos")
+    return ranked_slice(df, start, min(start + length, total), order_by, total)
 
 
 def dataset_ratio(df: DataFrame, ratio: float, order_by: str) -> DataFrame:
     """The first int(total * ratio) rows in the order of order_by: a prefix, not a sample."""
     if not 0 <= ratio <= 1:
         raise ValueError("ratio lies between 0 and 1")
-    n = int(df.count() * ratio)
-    return with_position(df, order_by, name="_pos").where(F.col("_pos") < n).drop("_pos")
+    total = df.count()
+    return prefix(df, int(total * ratio), order_by, total)
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ragspark.operators.collections import apply_workload
+from ragspark.operators import buckets
 from ragspark.operators.encoding import HashingEncoder, encode
 from ragspark.operators.search import format_contexts, knn_exact
 
@@ -59,91 +59,20 @@ def stream_counter_rate(stream: DataFrame, idle_ms: int | None = None) -> DataFr
     )
 
 
-def stream_collection_changes(stream: DataFrame, path: str, key: str, order_col: str, columns: list[str], buckets: int = 64) -> DataStreamWriter:
-    """Apply a stream of operations to the collection below path; a micro-batch rewrites the buckets of its keys alone.
+def stream_collection_changes(stream: DataFrame, path: str, key: str, order_col: str, columns: list[str], n_buckets: int = buckets.BUCKETS, keep: int = 10) -> DataStreamWriter:
+    """Apply a stream of operations to the collection below path (see operators.buckets); a micro-batch rewrites the buckets of its keys alone.
 
-    Start from start_collection with as many buckets, or from nothing; collection_rows reads what is there.
+    Start from buckets.start with as many buckets, or from nothing; buckets.rows reads what is there. A batch that
+    is run again starts from the version before it, so that its effect is the same. The last `keep` versions stay
+    readable; older ones go.
     """
-    return stream.writeStream.foreachBatch(lambda batch, number: apply_changes(batch, number, path, key, order_col, columns, buckets))
+    names = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in columns)
 
+    def step(batch: DataFrame, number: int) -> None:
+        buckets.merge_workload(batch, path, names, key, order_col, number, n_buckets)
+        buckets.compact(batch.sparkSession, path, keep)
 
-def apply_changes(batch: DataFrame, number: int, path: str, key: str, order_col: str, columns: list[str], buckets: int = 64) -> None:
-    """Apply the operations of one micro-batch to the collection below path.
-
-    path/rows/_version=n/_bucket=b has what batch n left in a bucket of keys, path/touched/_version=n which buckets
-    it wrote. A batch that is run again starts from the versions before it, so that its effect is the same. Folders
-    that no batch can ask for any more are deleted.
-    """
-    spark = batch.sparkSession
-    names = ", ".join(f"`{c}` {batch.schema[c].dataType.simpleString()}" for c in columns)
-    batch.persist()
-    try:
-        touched = sorted(r[0] for r in batch.select(_bucket(key, buckets)).distinct().collect())  # no more than buckets
-        live = _live(spark, path, number - 1)
-        before = _rows_of(spark, path, names, {b: live[b] for b in touched if b in live})
-        _write_version(apply_workload(before, batch, key, order_col), path, number, key, buckets, touched)
-    finally:
-        batch.unpersist()
-    _drop_replaced(spark, path, number, live)
-
-
-def start_collection(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Write df as the collection below path that a stream of changes goes on from."""
-    _write_version(df, path, -1, key, buckets, list(range(buckets)))
-
-
-def collection_rows(spark: SparkSession, path: str, names: str) -> DataFrame:
-    """The collection below path; names: its columns with their types. Read it before two more batches have come."""
-    return _rows_of(spark, path, names, _live(spark, path))
-
-
-def _bucket(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
-
-
-def _write_version(rows: DataFrame, path: str, number: int, key: str, buckets: int, touched: list[int]) -> None:
-    told = rows.select("*", _bucket(key, buckets)).repartition("_bucket")
-    told.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/rows/_version={number}")
-    named = rows.sparkSession.createDataFrame([(b,) for b in touched], "_bucket int").coalesce(1)
-    named.write.mode("overwrite").parquet(f"{path}/touched/_version={number}")
-
-
-def _live(spark: SparkSession, path: str, last: int | None = None) -> dict[int, int]:
-    """The version that holds each bucket after the batch `last`."""
-    if not _exists(spark, f"{path}/touched"):
-        return {}
-    rows = spark.read.schema("_bucket int, _version int").parquet(f"{path}/touched")
-    rows = rows if last is None else rows.where(F.col("_version") <= last)
-    return {r[0]: r[1] for r in rows.groupBy("_bucket").agg(F.max("_version")).collect()}
-
-
-def _rows_of(spark: SparkSession, path: str, names: str, live: dict[int, int]) -> DataFrame:
-    """The rows of the given versions of buckets; the others' folders aren't read."""
-    if not live:
-        return spark.createDataFrame([], names)
-    rows = spark.read.schema(f"{names}, _version int, _bucket int").parquet(f"{path}/rows")
-    return rows.where(F.concat_ws(":", "_version", "_bucket").isin([f"{v}:{b}" for b, v in live.items()])).drop("_version", "_bucket")
-
-
-def _drop_replaced(spark: SparkSession, path: str, number: int, live: dict[int, int]) -> None:
-    """Delete the buckets' folders of batches before `number` other than the live ones after the batch before it."""
-    fs, root = _folder(spark, f"{path}/rows")
-    for version in fs.listStatus(root):
-        v = int(version.getPath().getName().split("=")[1])
-        for held in fs.listStatus(version.getPath()) if v < number else ():
-            name = held.getPath().getName()
-            if name.startswith("_bucket=") and live.get(int(name.split("=")[1])) != v:
-                fs.delete(held.getPath(), True)
-
-
-def _folder(spark: SparkSession, path: str) -> tuple:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, found = _folder(spark, path)
-    return fs.exists(found)
+    return stream.writeStream.foreachBatch(step)
 
 
 def stream_queries(

@@ -182,26 +182,6 @@ def test_streams(spark, tmp_path):
     assert got == [(d, t, float(1 + len(d))) for d in ("a", "bb") for t in range(2, 40)]
 
 
-def test_changes_rewrite_touched_buckets_alone(spark, tmp_path):
-    path, names = str(tmp_path / "c"), "id long, value double"
-    held = {i: float(i) for i in range(40)}
-    jobs.start_collection(spark.createDataFrame(list(held.items()), names), path, "id", 8)
-    batches = [[(1, -1.0, "update", 0), (1, -2.0, "update", 1), (50, 5.0, "insert", 2)], [(1, 0.0, "delete", 3), (2, 7.0, "update", 4)], [], [(50, 0.0, "delete", 5)]]
-    got = lambda: {r["id"]: r["value"] for r in jobs.collection_rows(spark, path, names).collect()}
-    for n, batch in enumerate(batches):
-        ops = spark.createDataFrame(batch, f"{names}, op string, seq int")
-        for _ in range(2):  # a batch that is run again has the same effect
-            jobs.apply_changes(ops, n, path, "id", "seq", ["id", "value"], 8)
-            for key, value, op, _seq in batch if _ == 0 else ():
-                held.pop(key, None) if op == "delete" else held.update({key: value})
-            assert got() == held
-    folders = [p.name for v in (tmp_path / "c/rows").iterdir() if v.name == "_version=-1" for p in v.iterdir() if p.name.startswith("_bucket")]
-    assert 0 < len(folders) < 8  # replaced ones are gone, the others were never written again
-    everything = spark.createDataFrame([(k, 0.0, "delete", 9) for k in held], f"{names}, op string, seq int")
-    jobs.apply_changes(everything, len(batches), path, "id", "seq", ["id", "value"], 8)
-    assert got() == {}
-
-
 def test_metric_windows_in_batch(spark):
     df = spark.createDataFrame([(10, "m", 1.0), (3599, "m", 3.0), (3600, "m", 9.0)], "s long, metric string, value double").withColumn("ts", F.timestamp_seconds("s"))
     got = sorted(tuple(r) for r in jobs.stream_metric_windows(df).collect())
