@@ -119,7 +119,11 @@ def features(found: np.ndarray, ngrams: int = NGRAMS, buckets: int = BUCKETS) ->
 
 
 def dictionary(texts: DataFrame, words: int = DICTIONARY_WORDS) -> list[bytes]:
-    """The most frequent distinct words of texts(text); of equally frequent ones the first in order of bytes."""
+    """The most frequent distinct words of texts(text), `words` of them at most.
+
+    Words are taken by levels of their logarithmic frequency, as many whole levels as fit, so that nothing but the
+    levels' sizes and the words themselves reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -136,8 +140,17 @@ def dictionary(texts: DataFrame, words: int = DICTIONARY_WORDS) -> list[bytes]:
         yield told()
 
     counts = texts.select("text").mapInArrow(count, "word binary, n long").where(F.length("word") <= WORD_BYTES)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [bytes(r["word"]) for r in top.select("word").collect()]  # bounded by words * WORD_BYTES
+    level = F.floor(F.log2("n") * 16).cast("int").alias("level")
+    leveled = written(counts.groupBy("word").agg(F.sum("n").alias("n")).select("word", level))
+    sizes, least, held = sorted(leveled.groupBy("level").count().collect(), reverse=True), None, 0  # some hundred levels
+    for r in sizes:
+        held += r["count"]
+        if held > words:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in leveled.where(F.col("level") >= least).select("word").collect())  # words * WORD_BYTES at most
 
 
 def _known(shared) -> ahocorasick.Automaton:
