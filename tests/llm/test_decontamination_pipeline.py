@@ -113,5 +113,5 @@ def test_entry_has_all_queries():
 
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op") and n.split("_")[0] == "op10"] and "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(entry.oracle_sql()) <= set(names)
