@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.tables import text_key, unused, written
 
-#: words of a template window, and how many of them must not be placeholders
+#: tokens of a template window, and how many of them must not be placeholders
 WINDOW = 8
 LITERALS = 4
 #: share of an item's windows that a text must hold, and of slots that must be consistent
@@ -15,100 +15,118 @@ COVERAGE = 0.4
 CONSISTENCY = 0.8
 #: windows of one alignment without gap that are enough whatever share of the item they are (27 words)
 RUN = 20
-#: words by which the windows of one alignment may be shifted against each other
+#: tokens by which the windows of one alignment may be shifted against each other
 SHIFT = 8
-#: forms of windows: canonical words, and words as they are
-TEMPLATE, VERBATIM = 0, 1
+#: forms of windows: canonical tokens, tokens as they are, and whole lines
+TEMPLATE, VERBATIM, LINE = 0, 1, 2
 #: windows of benchmark items up to which they go to all executors (16 bytes each); beyond, both sides are shuffled
 BROADCAST_WINDOWS = 1_000_000
-# Placeholders (no word has such characters) and unit words.
-NUMBER, NAME, UNIT = "#", "@", "%"
-UNITS = (
-    "kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft foot feet in inch inches yd yard yards l ml liter liters litre litres "
-    "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars "
-    "euro euros cent cents percent degree degrees watt watts kw kwh volt volts hz khz mhz ghz byte bytes kb mb gb"
-)
+# Placeholders (no token is one of these), signs that are units, and the sign between names of a run.
+NUMBER, NAME, UNIT = "#", "@", "&"
+SIGNS = "$€£¥%"
+JOIN = "_"
+#: a number with its separators, a word, or a sign
+_TOKEN = f"\\p{{N}}+(?:[.,]\\p{{N}}+)*|\\p{{L}}[\\p{{L}}\\p{{N}}]*|[{SIGNS}]"
+#: a currency sign and the number behind it
+_PRICE = "([$€£¥]) ?(\\p{N}+(?:[.,]\\p{N}+)*)"
+_NAME = "\\p{Lu}\\p{Ll}"
+
+
+def raw_tokens(text: Column) -> Column:
+    """A text's tokens (case kept) with one space between.
+
+    Numbers are one token with their separators (1,200 and 3.50), and end where letters begin (3kg is two); a
+    currency sign comes behind its number; words are letters and digits from a letter on.
+    """
+    return F.array_join(F.regexp_extract_all(F.regexp_replace(text, _PRICE, "$2 $1 "), F.lit(_TOKEN), 0), " ")
 
 
-def raw_words(text: Column) -> Column:
-    """A text's words (runs of letters and digits, case kept) with one space between."""
-    return F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " "))
+def names_joined(tokens: Column) -> Column:
+    """raw_tokens with each run of names (a capital letter and a small one, and what follows) as one token."""
+    return F.regexp_replace(tokens, f"(?<![^ ])({_NAME}[^ ]*) (?={_NAME})", f"$1{JOIN}")
 
 
-def canonical(words: Column) -> Column:
-    """raw_words with numbers, names and units as typed placeholders and the rest in lower case; as many words.
+def canonical(tokens: Column) -> Column:
+    """Tokens with names, numbers and units as typed placeholders and the rest in lower case; as many tokens.
 
-    A number is a word of digits. A name is a capital letter and a small one, and what follows. A unit is one
-    of UNITS after a number.
+    A unit is what directly follows a number and is neither a name nor a number: any word, so that no list of
+    units need be complete.
     """
-    out = F.regexp_replace(words, "(?<![^ ])\\p{Lu}\\p{Ll}[^ ]*", NAME)
-    out = F.lower(F.regexp_replace(out, "(?<![^ ])\\p{N}+(?![^ ])", NUMBER))
-    return F.regexp_replace(out, f"{NUMBER} (?:{UNITS.replace(' ', '|')})(?![^ ])", f"{NUMBER} {UNIT}")
+    out = F.regexp_replace(tokens, f"(?<![^ ]){_NAME}[^ ]*", NAME)
+    out = F.lower(F.regexp_replace(out, "(?<![^ ])\\p{N}[^ ]*", NUMBER))
+    return F.regexp_replace(out, f"(?<![^ ]){NUMBER} (?![{NUMBER}{NAME}](?![^ ]))[^ ]+", f"{NUMBER} {UNIT}")
 
 
-def _windows(tokens: Column, form: int, n: int) -> Column:
-    """Hash of each n consecutive tokens."""
+def _hash(form: int, tokens: Column) -> Column:
+    return F.xxhash64(F.lit(form), F.array_join(tokens, " "))
 
-    def one(i: Column) -> Column:
-        return F.xxhash64(F.lit(form), F.lit(n), F.array_join(F.slice(tokens, i, n), " "))
 
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), one)).otherwise(F.array())
+def _windows(tokens: Column, form: int) -> Column:
+    """Hash of each WINDOW consecutive tokens."""
+    at = F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1))
+    return F.when(F.size(tokens) >= WINDOW, F.transform(at, lambda i: _hash(form, F.slice(tokens, i, WINDOW)))).otherwise(F.array())
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, form, n, pos, h, raw, part): the windows of each item; pos counts from 1.
+    """(item_id, form, pos, h, raw, part): the windows of each item; pos counts from 1.
 
     TEMPLATE windows come with names as placeholders and, where that differs, with names as words, as a text in
-    capitals shows no names; they need LITERALS words that are no placeholders. An item without any such
-    window (a line of numbers, say) has VERBATIM windows of its lower-case words instead. An item of fewer
-    words than WINDOW is one window; items without words have none.
+    capitals shows no names; they need LITERALS tokens that are no placeholders. An item without any such
+    window (a line of numbers, say) has VERBATIM windows of its lower-case tokens instead. An item of fewer
+    tokens than WINDOW is found as a LINE alone: where the tokens of a whole line are its own. Items without
+    tokens have no windows.
     """
-    raw = raw_words(F.coalesce("text", F.lit("")))
+    raw = raw_tokens(F.coalesce("text", F.lit("")))
     items = benchmark.select("item_id", raw.alias("raw")).where("raw <> ''").distinct()
-    forms = F.array_distinct(F.array(canonical(F.col("raw")), canonical(F.lower("raw"))))
     split = lambda c: F.split(c, " ")
+    long_enough = F.size(split(F.col("raw"))) >= WINDOW
 
     def placed(rows: DataFrame, form: int) -> DataFrame:
-        n = F.least(F.size("canon"), F.lit(WINDOW))
-        at = rows.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(1), F.size("canon") - F.col("n") + 1)).alias("pos"))
-        part = F.expr("slice(canon, pos, n)")
-        return at.select(
-            "item_id", F.lit(form).alias("form"), "n", "pos", F.xxhash64(F.lit(form), "n", F.array_join(part, " ")).alias("h"),
-            F.expr("slice(raw, pos, n)").alias("raw"), part.alias("part"),
-        )
-
-    templates = placed(items.select("item_id", split("raw").alias("raw"), F.explode(forms).alias("c")).withColumn("canon", split("c")), TEMPLATE)
+        at = rows.where(F.size("canon") >= WINDOW).select("*", F.explode(F.sequence(F.lit(1), F.size("canon") - (WINDOW - 1))).alias("pos"))
+        part = F.slice("canon", F.col("pos"), WINDOW)
+        return at.select("item_id", F.lit(form).alias("form"), "pos", _hash(form, part).alias("h"), F.slice("raw", F.col("pos"), WINDOW).alias("raw"), part.alias("part"))
+
+    joined = names_joined(F.col("raw"))
+    forms = F.array_distinct(F.array(F.struct(split(joined).alias("raw"), canonical(joined).alias("c")), F.struct(split(F.col("raw")).alias("raw"), canonical(F.lower("raw")).alias("c"))))
+    each = items.where(long_enough).select("item_id", F.explode(forms).alias("f")).select("item_id", "f.raw", split(F.col("f.c")).alias("canon"))
     literal = F.size(F.filter("part", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    templates = written(templates.where(literal >= F.least("n", F.lit(LITERALS))).distinct())
-    bare = items.join(templates.select("item_id").distinct(), "item_id", "left_anti")
-    verbatim = placed(bare.select("item_id", split("raw").alias("raw"), split(F.lower("raw")).alias("canon")), VERBATIM)
-    return templates.unionByName(verbatim.distinct())
+    templates = written(placed(each, TEMPLATE).where(literal >= LITERALS).distinct())
+    bare = items.where(long_enough).join(templates.select("item_id").distinct(), "item_id", "left_anti")
+    verbatim = placed(bare.select("item_id", split(F.col("raw")).alias("raw"), split(F.lower("raw")).alias("canon")), VERBATIM)
+    low = split(F.lower("raw"))
+    lines = items.where(~long_enough).select("item_id", F.lit(LINE).alias("form"), F.lit(1).alias("pos"), _hash(LINE, low).alias("h"), split(F.col("raw")).alias("raw"), low.alias("part"))
+    return templates.unionByName(verbatim.distinct()).unionByName(lines.distinct())
 
 
 def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """docs(key, text), windows of items -> (key, form, n, doc_pos, h, theirs): the windows of texts that are some item's.
+    """docs(key, text), windows of items -> (key, form, doc_pos, h, theirs): the windows of texts that are some item's.
 
-    theirs: the words that stand there. They are cut out of the text where it is scanned, for windows that
-    match only, so that no text is read twice or moved.
+    theirs: the tokens that stand there. They are cut out of the text where it is scanned, for windows that
+    match only, so that no text is read twice or moved. doc_pos of a LINE counts lines.
     """
-    kinds = sorted((r["form"], r["n"]) for r in windows.select("form", "n").distinct().collect())  # at most 2 * WINDOW
-    wanted = written(windows.select("form", "n", "h").distinct())
+    forms = sorted(r["form"] for r in windows.select("form").distinct().collect())  # three at most
+    wanted = written(windows.select("form", "h").distinct())
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
-    words = docs.select("key", raw_words(F.coalesce("text", F.lit(""))).alias("w"))
+    text = F.coalesce("text", F.lit(""))
     found = None
-    for form, n in kinds or [(TEMPLATE, WINDOW)]:
-        tokens = canonical(F.col("w")) if form == TEMPLATE else F.lower("w")
-        texts = words.select("key", F.split("w", " ").alias("raw"), F.split(tokens, " ").alias("tokens"))
-        texts = texts.select("key", "raw", _windows(F.col("tokens"), form, n).alias("hs"))
-        # outer, as Spark would else compute all windows twice, once to leave out texts without any; the join drops nulls
-        rows = texts.select("key", "raw", F.posexplode_outer("hs").alias("at", "h"))
-        rows = rows.select(
-            "key", F.lit(form).alias("form"), F.lit(n).alias("n"), (F.col("at") + 1).alias("doc_pos"), "h",
-            F.slice("raw", F.col("at") + 1, n).alias("theirs"),
-        )
+    for form in forms or [TEMPLATE]:
+        if form == LINE:
+            low = F.transform(F.split(text, "\n"), lambda line: F.split(F.lower(raw_tokens(line)), " "))
+            short = F.filter(low, lambda t: (F.size(t) < WINDOW) & (t[0] != ""))
+            hashed = F.transform(short, lambda t: F.struct(_hash(LINE, t).alias("h"), t.alias("theirs")))
+            rows = docs.select("key", F.posexplode_outer(hashed).alias("at", "line")).select("key", "at", "line.h", "line.theirs")
+        else:
+            raw = names_joined(raw_tokens(text)) if form == TEMPLATE else raw_tokens(text)
+            words = docs.select("key", raw.alias("w"))
+            texts = words.select("key", F.split("w", " ").alias("raw"), F.split(canonical(F.col("w")) if form == TEMPLATE else F.lower("w"), " ").alias("tokens"))
+            texts = texts.select("key", "raw", _windows(F.col("tokens"), form).alias("hs"))
+            # outer, as Spark would else compute all windows twice, once to leave out texts without any; the join drops nulls
+            rows = texts.select("key", "raw", F.posexplode_outer("hs").alias("at", "h"))
+            rows = rows.select("key", "at", "h", F.slice("raw", F.col("at") + 1, WINDOW).alias("theirs"))
+        rows = rows.select("key", F.lit(form).alias("form"), (F.col("at") + 1).alias("doc_pos"), "h", "theirs")
         found = rows if found is None else found.unionByName(rows)
-    return found.join(wanted, ["form", "n", "h"]).distinct()
+    return found.join(wanted, ["form", "h"]).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -117,7 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs(key, text). Matches are judged by alignment, as a text may hold an item several times with other
     values: those of one offset between text and item (SHIFT words apart at most, in overlapping bins, where
     a value of more or fewer words moves the rest; and those of exactly one offset). coverage: share of the
-    item's windows that the alignment holds. consistency: slot values on the side with fewer distinct ones
+    item's windows that the alignment holds (a run of names, a number with its separators and a unit are a token
+    each). consistency: slot values on the side with fewer distinct ones
     over distinct pairs of the item's and the text's value (1 without slots), as a re-parameterised question
     puts one value for each old one. An alignment leaks the item if it is consistent and either covers
     COVERAGE or, at one offset, RUN windows. The best alignment's figures are given.
@@ -127,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     offset = F.col("doc_pos") - F.col("pos")
     step = F.floor(offset / SHIFT).cast("int")
     sides = F.array(*(F.struct(F.lit(exact).alias("exact"), at.alias("at")) for exact, at in ((True, offset), (False, step), (False, step - 1))))
-    pairs = hit.join(windows, ["form", "n", "h"]).select("key", "item_id", "pos", "part", "raw", "theirs", F.explode(sides).alias("side"))
+    pairs = hit.join(windows, ["form", "h"]).select("key", "item_id", "pos", "part", "raw", "theirs", F.explode(sides).alias("side"))
     side = ["key", "item_id", "side"]
     total = windows.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
     matched = pairs.select(*side, "pos").distinct().groupBy(*side).agg(F.count(F.lit(1)).alias("n_matched"))
@@ -148,7 +167,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, consistency) for each row of docs that leaks an item.
 
     Null and empty texts and items leak nothing; repeated rows and null ids are returned as they come. An item
-    whose windows are nearly all placeholders has no template and is found where its words stand as they are.
+    whose windows are nearly all placeholders has no template and is found where its words stand as they are. An
+    item of fewer than WINDOW tokens is found as a whole line only.
     """
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
     # written, so that Spark can split the rows of a text with many copies
@@ -165,44 +185,51 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return keyed.join(gone, name, "left_anti").select(docs.columns)
 
 
-_WORD = "[\\p{L}\\p{N}]+"
+def _sql_tokens(text: str) -> str:
+    return f"regexp_extract_all(regexp_replace({text}, '{_PRICE}', '\\2 \\1 ', 'g'), '{_TOKEN}')"
+
 
+def _sql_joined(raw: str) -> str:
+    """Tokens of a list with runs of names as one."""
+    name = lambda i: f"regexp_matches({raw}[{i}], '^{_NAME}')"
+    return f"""string_split(array_to_string(list_transform(range(1, len({raw}) + 1), lambda i: (case when i = 1 then '' when {name('i')} and {name('i - 1')} then '{JOIN}' else ' ' end) || {raw}[i]), ''), ' ')"""
 
 
 def _sql_canonical(raw: str) -> str:
-    """Canonical words of a list column `raw` with a unit after a number as %."""
-    units = "', '".join(UNITS.split())
-    one = f"case when regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}') then '{NAME}' when regexp_matches(w, '^\\p{{N}}+$') then '{NUMBER}' else lower(w) end"
-    return f"""list_transform(range(1, len({raw}) + 1), lambda i: case when i > 1 and regexp_matches({raw}[i - 1], '^\\p{{N}}+$') and lower({raw}[i]) in ('{units}')
-      and not regexp_matches({raw}[i], '^\\p{{Lu}}\\p{{Ll}}') then '{UNIT}' else {one.replace("w,", f"{raw}[i],").replace("lower(w)", f"lower({raw}[i])")} end)"""
+    """Canonical tokens of a list."""
+    name, number = (lambda i: f"regexp_matches({raw}[{i}], '^{_NAME}')"), (lambda i: f"regexp_matches({raw}[{i}], '^\\p{{N}}')")
+    return f"""list_transform(range(1, len({raw}) + 1), lambda i: case when {name('i')} then '{NAME}' when {number('i')} then '{NUMBER}'
+      when i > 1 and {number('i - 1')} then '{UNIT}' else lower({raw}[i]) end)"""
 
 
 SQL = f"""
-with items as (
-  select distinct item_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as raw from benchmark),
+with items as (select distinct item_id, {_sql_tokens("coalesce(text, '')")} as raw from benchmark),
 forms as (
   select distinct item_id, raw, canon from (
-    select item_id, raw, {_sql_canonical("raw")} as canon from items union all
-    select item_id, raw, {_sql_canonical("low")} from (select *, list_transform(raw, lambda x: lower(x)) as low from items))),
+    select item_id, raw, {_sql_canonical("raw")} as canon from (select item_id, {_sql_joined("raw")} as raw from items where len(raw) >= {WINDOW}) union all
+    select item_id, raw, {_sql_canonical("low")} from (select *, list_transform(raw, lambda x: lower(x)) as low from items where len(raw) >= {WINDOW}))),
 templates as (
-  select distinct item_id, {TEMPLATE} as form, n, pos, canon[pos:pos + n - 1] as part, raw[pos:pos + n - 1] as raw from (
-    select *, unnest(range(1, len(canon) - n + 2)) as pos from (select *, least(len(canon), {WINDOW}) as n from forms where len(canon) > 0))
-  where len(list_filter(canon[pos:pos + n - 1], lambda w: w not in ('{NUMBER}', '{NAME}', '{UNIT}'))) >= least(n, {LITERALS})),
+  select distinct item_id, {TEMPLATE} as form, pos, canon[pos:pos + {WINDOW - 1}] as part, raw[pos:pos + {WINDOW - 1}] as raw from (
+    select *, unnest(range(1, len(canon) - {WINDOW - 2})) as pos from forms)
+  where len(list_filter(canon[pos:pos + {WINDOW - 1}], lambda w: w not in ('{NUMBER}', '{NAME}', '{UNIT}'))) >= {LITERALS}),
 windows as (
   select * from templates union all
-  select distinct item_id, {VERBATIM} as form, n, pos, list_transform(raw[pos:pos + n - 1], lambda x: lower(x)), raw[pos:pos + n - 1] from (
-    select *, unnest(range(1, len(raw) - n + 2)) as pos from (
-      select *, least(len(raw), {WINDOW}) as n from items where len(raw) > 0 and item_id not in (select item_id from templates)))),
-words as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as raw from documents),
+  select distinct item_id, {VERBATIM} as form, pos, list_transform(raw[pos:pos + {WINDOW - 1}], lambda x: lower(x)), raw[pos:pos + {WINDOW - 1}] from (
+    select *, unnest(range(1, len(raw) - {WINDOW - 2})) as pos from items where len(raw) >= {WINDOW} and item_id not in (select item_id from templates)) union all
+  select distinct item_id, {LINE}, 1, list_transform(raw, lambda x: lower(x)), raw from items where len(raw) between 1 and {WINDOW - 1}),
+words as (select doc_id, {_sql_tokens("coalesce(text, '')")} as raw from documents),
 docs as (
-  select doc_id, {TEMPLATE} as form, raw, {_sql_canonical("raw")} as canon from words union all
+  select doc_id, {TEMPLATE} as form, raw, {_sql_canonical("raw")} as canon from (select doc_id, {_sql_joined("raw")} as raw from words) union all
   select doc_id, {VERBATIM}, raw, list_transform(raw, lambda x: lower(x)) from words where (select count(*) from windows where form = {VERBATIM}) > 0),
-lengths as (select distinct form, n from windows),
 places as (
-  select doc_id, form, n, k, canon[k:k + n - 1] as part, raw[k:k + n - 1] as theirs from (
-    select doc_id, raw, canon, form, n, unnest(range(1, len(canon) - n + 2)) as k from docs join lengths using (form) where len(canon) >= n)),
+  select doc_id, form, k, canon[k:k + {WINDOW - 1}] as part, raw[k:k + {WINDOW - 1}] as theirs from (
+    select *, unnest(range(1, len(canon) - {WINDOW - 2})) as k from docs where len(canon) >= {WINDOW}) union all
+  select doc_id, {LINE}, k, t, t from (
+    select doc_id, k, list_transform({_sql_tokens("line")}, lambda x: lower(x)) as t from (
+      select doc_id, unnest(range(1, len(lines) + 1)) as k, unnest(lines) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)
+      where (select count(*) from windows where form = {LINE}) > 0)) where len(t) between 1 and {WINDOW - 1}),
 pairs as (
-  select p.doc_id, w.item_id, w.pos, p.k - w.pos as d, w.part, w.raw, p.theirs from places p join windows w on p.form = w.form and p.n = w.n and p.part = w.part),
+  select p.doc_id, w.item_id, w.pos, p.k - w.pos as d, w.part, w.raw, p.theirs from places p join windows w on p.form = w.form and p.part = w.part),
 sides as (
   select *, true as exact, d as bin from pairs union all
   select *, false, floor(d / {SHIFT}) from pairs union all select *, false, floor(d / {SHIFT}) - 1 from pairs),

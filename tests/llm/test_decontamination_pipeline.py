@@ -28,11 +28,41 @@ def test_leaks(spark):
 
 
 def test_canonical_forms(spark):
-    rows = spark.createDataFrame([("On 3 May 2020 Peter ran 10 km in 50 minutes.",), ("x1 2nd ÉCOLE École 5",), ("",)], "t string")
     from pyspark.sql import functions as F
 
-    got = [r[0] for r in rows.select(d.canonical(d.raw_words(F.col("t")))).collect()]
-    assert got == ["@ # @ # @ ran # % in # %", "x1 2nd école @ #", ""]
+    texts = ["On 3 May 2020 Peter Ran 10 km in 50 minutes.", "x1 2nd ÉCOLE École 5", "", "It costs $3.50, or 1,200 yen, 50% of 4kg; €7 for Anna Lee!", "1.2.3 4 5 pears", "a_b $ 5$"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(d.names_joined(d.raw_tokens(F.col("t"))).alias("w"))
+    got = [tuple(r) for r in rows.select("w", d.canonical(F.col("w"))).collect()]
+    assert got == [
+        ("On 3 May 2020 Peter_Ran 10 km in 50 minutes", "@ # @ # @ # & in # &"), ("x1 2 nd ÉCOLE École 5", "x1 # & école @ #"), ("", ""),
+        ("It costs 3.50 $ or 1,200 yen 50 % of 4 kg 7 € for Anna_Lee", "@ costs # & or # & # & of # & # & for @"), ("1.2.3 4 5 pears", "# # # &"), ("a b 5 $ $", "a b # & $"),
+    ]
+
+
+QUESTION = (
+    "A shop sells each notebook for 3 dollars and every pen for 2 dollars. If Maria buys 14 notebooks and gives the clerk "
+    "a note of 50 dollars, how much change does Maria get back from the clerk"
+)
+
+
+def test_re_parameterised_questions(spark):
+    """New numbers, names of several words, signs for units, other units, grouped and decimal numbers, and all at once."""
+    swap = lambda **by: __import__("functools").reduce(lambda t, kv: t.replace(kv[0].replace("_", " "), kv[1]), by.items(), QUESTION)
+    docs = [
+        swap(), swap(Maria="Tom", _14_=" 9 ", _50_=" 80 "), swap(Maria="Anna Lee"), swap(Maria="Anna Lee Smith", _14_=" 22 "),
+        swap(_3_dollars=" $3", _2_dollars=" $2", _50_dollars=" $50"), swap(dollars="pounds"), swap(dollars="zlotys", notebooks="folders"),
+        swap(_14_=" 1,200 ", _50_=" 9,000.75 ", _3_=" 3.50 "), swap(_3_dollars=" €4.25", _2_dollars=" €1.10", _50_dollars=" €60", Maria="José Ruiz"), swap().upper(),
+    ]
+    wrong = ["A shop sells bread. Maria buys 14 notebooks every week for the school and pays 50 dollars", QUESTION.replace("sells each", "lends no").replace("every pen", "his pen").replace("buys", "loses").replace("much change does", "long until").replace("gives the clerk", "asks a guard")]
+    got = leaks(spark, list(enumerate(docs + wrong)), [(1, QUESTION)])
+    assert {k[0] for k in got} == set(range(len(docs)))
+    assert all(r["coverage"] >= 0.75 for r in got.values())
+
+
+def test_short_items_are_whole_lines(spark):
+    docs = [(1, "he said yes and went"), (2, "yes"), (3, "so:\n  Yes! \nand on"), (4, "What is the capital of France?"), (5, "we asked what is the capital of france today"), (6, "yes yes")]
+    got = leaks(spark, docs, [(1, "yes"), (2, "What is the capital of France?"), (3, "...")])
+    assert set(got) == {(2, 1), (3, 1), (4, 2)}
 
 
 def test_inconsistent_slots(spark):
