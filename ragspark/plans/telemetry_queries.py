@@ -100,6 +100,10 @@ def h6_token_size_histogram(spark, sf_dir):
     return stages.token_size_histogram(read)
 
 
+#: nanoseconds of the spans that the devices' series are cut into
+_DAY = 86_400 * 10**9
+
+
 def _counters(spark, sf_dir):
     w = Window.partitionBy("run_id").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
     return _events(spark, sf_dir).withColumn("counter", F.sum(F.round(F.col("value") * 100).cast("long")).over(w))
@@ -111,7 +115,7 @@ _COUNTERS = f"(select *, sum(round(value * 100)::bigint) over (partition by run_
 @query(f"""select run_id, seq, counter_delta from (select run_id, event_id as seq, (counter - lag(counter) over w)::bigint as counter_delta, row_number() over w as n
     from {_COUNTERS} window w as (partition by run_id order by ts_ns)) where n > 1""")
 def i1_counter_delta(spark, sf_dir):
-    return telemetry.counter_delta(_counters(spark, sf_dir), ["run_id"], "ts_ns", ["counter"]).select("run_id", "seq", "counter_delta")
+    return telemetry.counter_delta(_counters(spark, sf_dir), ["run_id"], "ts_ns", ["counter"], bucket=_DAY).select("run_id", "seq", "counter_delta")
 
 
 _TYPES = ("click", "error", "purchase", "signup", "view")
@@ -126,27 +130,27 @@ def i2_cpu_percent(spark, sf_dir):
     w = Window.partitionBy("run_id").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
     cents = F.round(F.col("value") * 100).cast("long")
     wide = _events(spark, sf_dir).withColumns({f"c_{t}": F.sum(F.when(F.col("tag") == t, cents).otherwise(0)).over(w) for t in _TYPES})
-    found = telemetry.cpu_percent(wide, ["run_id"], "ts_ns", [f"c_{t}" for t in _TYPES])
+    found = telemetry.cpu_percent(wide, ["run_id"], "ts_ns", [f"c_{t}" for t in _TYPES], bucket=_DAY)
     return found.select("run_id", "seq", *(F.round(f"c_{t}_pct", 4).alias(f"c_{t}_pct") for t in _TYPES))
 
 
 @query(f"""select run_id, event_id as seq, round(sum(value) over (partition by run_id order by ts_ns rows between 2 preceding and 2 following) / 5, 4) as value_smooth from {_EVENTS}""")
 def i3_smooth(spark, sf_dir):
-    found = telemetry.smooth(_events(spark, sf_dir), "value", ["run_id"], "ts_ns", 5)
+    found = telemetry.smooth(_events(spark, sf_dir), "value", ["run_id"], "ts_ns", 5, bucket=_DAY, block_rows=50)
     return found.select("run_id", "seq", F.round("value_smooth", 4).alias("value_smooth"))
 
 
 @query(f"""select run_id, event_id as seq, round((counter - lag(counter) over w) * 1e9 * 0.5 / 1024 / (ts_ns - lag(ts_ns) over w), 8) as counter_mb_s
     from {_COUNTERS} window w as (partition by run_id order by ts_ns)""")
 def i4_rate_mb_s(spark, sf_dir):
-    found = telemetry.rate_mb_s(_counters(spark, sf_dir), ["run_id"], cols=("counter",))
+    found = telemetry.rate_mb_s(_counters(spark, sf_dir), ["run_id"], cols=("counter",), bucket=_DAY)
     return found.select("run_id", "seq", F.round("counter_mb_s", 8).alias("counter_mb_s"))
 
 
 @query(f"""select run_id, event_id as seq, round((ts_ns - nth_value(ts_ns, 2) over (partition by run_id order by ts_ns rows between unbounded preceding and unbounded following)) / 1e9, 6)
     as rel_s from {_EVENTS}""")
 def i5_relative_seconds(spark, sf_dir):
-    found = telemetry.relative_seconds(_events(spark, sf_dir), ["run_id"], base=2)
+    found = telemetry.relative_seconds(_events(spark, sf_dir), ["run_id"], base=2, bucket=_DAY)
     return found.select("run_id", "seq", F.round("rel_s", 6).alias("rel_s"))
 
 
@@ -218,6 +222,19 @@ def i10_stage_resource_summary(spark, sf_dir):
     return found.withColumns({"avg": F.round("avg", 4), "p95": F.round("p95", 4)})
 
 
+@query(f"""select run_id, stage, metric, count(value) as n, true as within_error from {_TAGGED} group by all""")
+def i10_stage_resource_summary_sketch(spark, sf_dir):
+    """p95 by a sketch of accuracy 200: whether as many samples as it claims lie up to it and below it, give or take 1/200."""
+    tagged = written(_tagged(spark, sf_dir))
+    told = telemetry.stage_resource_summary(tagged, accuracy=200).select("run_id", "stage", "metric", F.col("n"), "p95")
+    by = [tagged[c].eqNullSafe(told[c]) for c in ("run_id", "stage", "metric")]
+    met = tagged.join(told, by).select(told["run_id"], told["stage"], told["metric"], "n", "p95", "value")
+    ranks = met.groupBy("run_id", "stage", "metric", "n").agg(F.count_if(F.col("value") <= F.col("p95")).alias("upto"), F.count_if(F.col("value") < F.col("p95")).alias("under"))
+    slack = F.col("n") / 200 + 1
+    good = (F.col("upto") >= 0.95 * F.col("n") - slack) & (F.col("under") <= 0.95 * F.col("n") + slack)
+    return ranks.select("run_id", "stage", "metric", "n", good.alias("within_error"))
+
+
 @query(f"""select run_id, ts_ns, p::int as proc, round(value * 100)::bigint * (p + 1) as utime, round(value)::bigint as read_bytes from {_EVENTS}, range(2) r(p)""")
 def i11_proc_long(spark, sf_dir):
     cents = F.round(F.col("value") * 100).cast("long")

@@ -120,6 +120,21 @@ def test_spans_change_nothing(spark):
     for first in ("drop", "zero"):
         a, b = (sorted(map(str, telemetry.counter_delta(df, ["run_id"], "ts_ns", ["x"], first, k).collect())) for k in (None, 37))
         assert a == b
+    told = lambda f, k: sorted(map(str, f(k).collect()))
+    for f in (
+        lambda k: telemetry.cpu_percent(df.withColumn("y", F.col("x") * 2 + F.col("ts_ns")), ["run_id"], "ts_ns", ["x", "y"], k),
+        lambda k: telemetry.rate_mb_s(df, ["run_id"], cols=("x",), bucket=k),
+        lambda k: telemetry.relative_seconds(df, ["run_id"], bucket=k),
+        lambda k: telemetry.relative_seconds(df, ["run_id"], base=3, bucket=k),
+        lambda k: telemetry.smooth(df, "x", ["run_id"], "ts_ns", 5, k, block_rows=7),
+        lambda k: telemetry.smooth(df, "x", ["run_id"], "ts_ns", 9, k, block_rows=1),
+    ):
+        whole = told(f, None)
+        assert len(whole) in (120, 118) and all(told(f, k) == whole for k in (1, 37, 5000))
+    nobody = df.withColumn("run_id", F.when(F.col("run_id") == "a", F.col("run_id")))  # a null device is one too
+    assert told(lambda k: telemetry.smooth(nobody, "x", ["run_id"], "ts_ns", 5, k, 7), 37) == told(lambda k: telemetry.smooth(nobody, "x", ["run_id"], "ts_ns", 5, k), None)
+    few = df.where("ts_ns < 0")
+    assert telemetry.relative_seconds(few, ["run_id"], base=2, bucket=9).count() == 0 == telemetry.smooth(few, "x", ["run_id"], "ts_ns", 5, 9).count()
     marks = spark.createDataFrame([(d, t, f"s{t}") for d in ("a", "b") for t in rng.sample(range(1000), 9)], "run_id string, ts_ns long, tag string")
     a, b = (sorted(map(str, telemetry.tag_samples(df, marks, k).collect())) for k in (None, 37))
     assert a == b
@@ -182,6 +197,23 @@ def test_streams(spark, tmp_path):
     assert got == [(d, t, float(1 + len(d))) for d in ("a", "bb") for t in range(2, 40)]
 
 
+def test_percentile_sketches_keep_their_rank_error(spark):
+    from ragspark.operators import stages
+
+    df = spark.range(100_000).select((F.col("id") % 2).alias("run_id"), F.lit(1).alias("n_queries"), (F.hash("id") % 1_000_000 + 1_000_000).cast("long").alias("total_ns"))
+    exact, told = ({r["run_id"]: r for r in stages.throughput_latency(df, a).collect()} for a in (None, 500))
+    values = {k: sorted(r["total_ns"] for r in df.where(f"run_id = {k}").collect()) for k in (0, 1)}
+    import bisect
+
+    for k, v in values.items():
+        assert told[k]["queries_per_s"] == exact[k]["queries_per_s"]
+        for q in (50, 95, 99):
+            got = round(told[k][f"p{q}_ms"] * 1e6)
+            low, high = bisect.bisect_left(v, got), bisect.bisect_right(v, got)
+            assert low - len(v) / 500 <= q / 100 * len(v) <= high + len(v) / 500
+            assert abs(exact[k][f"p{q}_ms"] * 1e6 - v[int(q / 100 * (len(v) - 1))]) < 200
+
+
 def test_metric_windows_in_batch(spark):
     df = spark.createDataFrame([(10, "m", 1.0), (3599, "m", 3.0), (3600, "m", 9.0)], "s long, metric string, value double").withColumn("ts", F.timestamp_seconds("s"))
     got = sorted(tuple(r) for r in jobs.stream_metric_windows(df).collect())
