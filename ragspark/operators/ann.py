@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ragspark.functions.vectors import similarity
@@ -162,16 +162,16 @@ def _probed(queries: np.ndarray, centroids: np.ndarray, nprobe: int) -> tuple[np
 
 
 def ivf_search(
-    queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = 1, metric: str = "L2", rescore: DataFrame | None = None, widen: int = 4
+    queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = 1, metric: str = "L2", rescore: DataFrame | None = None, widen: int = 4, few: bool = False
 ) -> DataFrame:
     """(qid, rank, id, score): the k best within the nprobe lists nearest to each query.
 
     Only probed lists are read; the rows of a list meet the queries that probe it as one matrix. Vectors are
     scored exactly, codes as what they stand for, without decoding them. With rescore(id, vector) the best
-    widen * k are scored again by the true vectors.
+    widen * k are scored again by the true vectors. few: see by_blocks.
     """
     if rescore is not None:
-        return rescored(queries, ivf_search(queries, index, widen * k, nprobe, metric), rescore, k, metric)
+        return rescored(queries, ivf_search(queries, index, widen * k, nprobe, metric, few=few), rescore, k, metric)
     coder, centroids = index.coder, index.centroids
     similarity(metric, F.lit(None), F.lit(None))
     books = coder.codebooks if isinstance(coder, Pq) else None
@@ -180,8 +180,7 @@ def ivf_search(
     types = f"qid {queries.schema['qid'].dataType.simpleString()}, id {index.rows.schema['id'].dataType.simpleString()}, score double"
     asked = queries.where(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("qid", "vector")
 
-    def search(block: DataFrame) -> DataFrame:
-        rows = block.collect()  # one block: at most QUERY_BYTES of numbers
+    def search(rows: list[Row]) -> DataFrame:
         qids, matrix = np.array([r["qid"] for r in rows]), np.array([r["vector"] for r in rows], float).reshape(len(rows), dim)
         lists, asking = _probed(matrix, centroids, min(nprobe, len(centroids)))
         shared = queries.sparkSession.sparkContext.broadcast((qids, matrix, lists, asking, centroids))
@@ -209,7 +208,7 @@ def ivf_search(
         probed = index.rows.where(F.col("list_id").isin(np.unique(lists).tolist()))
         return probed.select("id", held, "list_id").mapInPandas(scan, types)
 
-    return ranked(by_blocks(asked, 8 * dim, search), k, metric).select("qid", "rank", "id", "score")
+    return ranked(by_blocks(asked, 8 * dim, search, few), k, metric).select("qid", "rank", "id", "score")
 
 
 @dataclass
@@ -278,8 +277,7 @@ def _scanned(queries: DataFrame, codes: DataFrame, dim: int, k: int, metric: str
     types = f"qid {queries.schema['qid'].dataType.simpleString()}, id {codes.schema['id'].dataType.simpleString()}, score double"
     asked = queries.where(F.size("vector") == dim).select("qid", "vector")
 
-    def search(block: DataFrame) -> DataFrame:
-        rows = block.collect()  # one block: at most QUERY_BYTES of numbers
+    def search(rows: list[Row]) -> DataFrame:
         qids, matrix = np.array([r["qid"] for r in rows]), np.array([r["vector"] for r in rows], float).reshape(len(rows), dim)
         shared = queries.sparkSession.sparkContext.broadcast((qids, matrix))
 

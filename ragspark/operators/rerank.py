@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import overlap_share, tokens
@@ -109,8 +109,7 @@ def maxsim(query_tokens: DataFrame, patches: DataFrame, candidates: DataFrame, t
     kind = matrices.schema["doc_id"].dataType.simpleString()
     qid_kind = asked.schema["qid"].dataType.simpleString()
 
-    def search(block: DataFrame) -> DataFrame:
-        rows = block.collect()  # one block: at most QUERY_BYTES of numbers
+    def search(rows: list[Row]) -> DataFrame:
         tokens = [np.array(r["vector"], float).reshape(-1, max(dim, 1)) for r in rows]
         shared = asked.sparkSession.sparkContext.broadcast(([r["qid"] for r in rows], tokens))
         named = asked.sparkSession.createDataFrame([(r["qid"], n) for n, r in enumerate(rows)], f"qid {qid_kind}, n int")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.vectors import best_first, similarity
@@ -66,8 +66,7 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     types = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     usable = vectors.where(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("id", "vector")
 
-    def search(block: DataFrame) -> DataFrame:
-        rows = block.collect()  # one block: at most QUERY_BYTES of numbers
+    def search(rows: list[Row]) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in rows]), _matrix(rows, dim)))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,17 +98,24 @@ def tiles(n_queries: int, n_rows: int) -> Iterator[slice]:
     return (slice(a, a + step) for a in range(0, n_queries, step))
 
 
-def by_blocks(asked: DataFrame, bytes_per_query: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Hits of search over blocks of the queries (qid, vector) of QUERY_BYTES at most.
+def by_blocks(asked: DataFrame, bytes_per_query: int, search: Callable[[list[Row]], DataFrame], few: bool = False) -> DataFrame:
+    """Hits of search over blocks of the queries (qid, vector), rows at the driver, of QUERY_BYTES at most.
 
-    Of several blocks each one's hits are written before the next is searched.
+    Of several blocks each one's hits are written before the next is searched. few: something else bounds the
+    queries (a micro-batch's trigger, say), so that they are collected at once and not counted first.
     """
-    n, per_block = asked.count(), max(1, QUERY_BYTES // max(bytes_per_query, 1))
-    if n <= per_block:
-        return search(asked)
-    placed, out = with_position(asked, "qid", name="_pos"), None
-    for b in range(-(-n // per_block)):
-        hits = written(search(placed.where(F.floor(F.col("_pos") / per_block) == b).drop("_pos")))
+    per_block, out = max(1, QUERY_BYTES // max(bytes_per_query, 1)), None
+    if few or asked.count() <= per_block:
+        rows = asked.collect()
+        if len(rows) <= per_block:
+            return search(rows)
+        blocks = (rows[at : at + per_block] for at in range(0, len(rows), per_block))
+    else:
+        placed = with_position(asked, "qid", name="_pos")
+        n = placed.count()
+        blocks = (placed.where(F.floor(F.col("_pos") / per_block) == b).drop("_pos").collect() for b in range(-(-n // per_block)))
+    for block in blocks:
+        hits = written(search(block))
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -119,7 +125,8 @@ def knn_exact_sql(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: s
     asked, dim = _asked(queries)
     v = vectors.where(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("id", "vector")
 
-    def search(block: DataFrame) -> DataFrame:
+    def search(rows: list[Row]) -> DataFrame:
+        block = v.sparkSession.createDataFrame(rows, asked.schema)
         pairs = v.join(F.broadcast(block.withColumnRenamed("vector", "q")))
         return pairs.select("qid", "id", similarity(metric, "q", "vector").alias("score")).where("not isnan(score)")
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.text import epoch_ns
 from ragspark.operators import buckets, stages, telemetry
+from ragspark.operators.ann import choose_nprobe, ivf_build, probe_curve
 from ragspark.operators.collections import apply_workload
 from ragspark.operators.encoding import HashingEncoder, encode
-from ragspark.operators.search import format_contexts, knn_exact
+from ragspark.operators.search import knn_exact
 from ragspark.plans.corpus_queries import OPS
 from ragspark.plans.registry import query, table
 from ragspark.sources import frames, logs
@@ -226,9 +227,8 @@ def i10_stage_resource_summary(spark, sf_dir):
 def i10_stage_resource_summary_sketch(spark, sf_dir):
     """p95 by a sketch of accuracy 200: whether as many samples as it claims lie up to it and below it, give or take 1/200."""
     tagged = written(_tagged(spark, sf_dir))
-    told = telemetry.stage_resource_summary(tagged, accuracy=200).select("run_id", "stage", "metric", F.col("n"), "p95")
-    by = [tagged[c].eqNullSafe(told[c]) for c in ("run_id", "stage", "metric")]
-    met = tagged.join(told, by).select(told["run_id"], told["stage"], told["metric"], "n", "p95", "value")
+    told = telemetry.stage_resource_summary(tagged, accuracy=200).selectExpr("run_id as r", "stage as s", "metric as m", "n", "p95")
+    met = tagged.join(told, F.expr("run_id <=> r and stage <=> s and metric <=> m")).select("run_id", "stage", "metric", "n", "p95", "value")
     ranks = met.groupBy("run_id", "stage", "metric", "n").agg(F.count_if(F.col("value") <= F.col("p95")).alias("upto"), F.count_if(F.col("value") < F.col("p95")).alias("under"))
     slack = F.col("n") / 200 + 1
     good = (F.col("upto") >= 0.95 * F.col("n") - slack) & (F.col("under") <= 0.95 * F.col("n") + slack)
@@ -332,16 +332,25 @@ def j3_stream_collection_changes(spark, sf_dir):
     return buckets.rows(spark, path, "id long, value double")
 
 
+def _text_index(spark, sf_dir):
+    """(index of the hashed documents with lists as folders, documents, lists to probe for a recall of 0.95 of other texts' searches)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = written(encode(docs, "text", lambda: HashingEncoder(64)).select("id", "vector"))
+    index = ivf_build(vectors, n_lists=16, max_iter=5, path=scratch(spark))
+    turns = table(spark, sf_dir, "conversations").where("conv_id % 10 = 0").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
+    asked = written(encode(turns, "text", lambda: HashingEncoder(64)).select("qid", "vector"))
+    return index, docs, choose_nprobe(probe_curve(asked, index, written(knn_exact(asked, vectors, 3, "IP"))), 0.95)
+
+
 @query()
 def j4_stream_queries(spark, sf_dir):
     """Benchmark items arrive as a stream; each batch's contexts are gathered in a table."""
     path, checkpoint, folder = scratch(spark), scratch(spark), scratch(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     items.write.parquet(folder)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    index = written(encode(docs, "text", lambda: HashingEncoder(64)))  # once, not in each micro-batch
+    index, docs, nprobe = _text_index(spark, sf_dir)
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    run = jobs.stream_queries(stream, index, 3, lambda found, n: found.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    run = jobs.stream_queries(stream, index, docs, 3, lambda found, n: found.write.mode("overwrite").parquet(f"{path}/batch={n}"), nprobe=nprobe)
     run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("qid long, contexts array<string>, batch int").parquet(path).select("qid", F.size("contexts").alias("n"), F.md5(F.array_join("contexts", "|")).alias("contexts_md5"))
 
@@ -350,11 +359,3 @@ def batch_workload(spark, sf_dir):
     """The batch counterpart of j3, for tests."""
     ops = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "value", F.expr(OPS).alias("op"), "event_id")
     return apply_workload(spark.createDataFrame([], "id long, value double"), ops, "id", "event_id")
-
-
-def batch_contexts(spark, sf_dir):
-    """The batch counterpart of j4, for tests."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    index, asked = (encode(df, c, lambda: HashingEncoder(64)) for df, c in ((docs, "text"), (items, "question")))
-    return format_contexts(knn_exact(asked.select("qid", "vector"), index.select("id", "vector"), 3, "IP").join(docs, "id"))

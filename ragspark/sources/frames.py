@@ -182,6 +182,11 @@ def _type(layout: dict) -> T.StructType:
     return T.StructType([T.StructField(name, of(kind)) for name, kind in layout.values()])
 
 
+#: bytes of a file that is read whole, and of a range of a larger one
+LARGE_FILE = 32 << 20
+RANGE_BYTES = 8 << 20
+
+
 def _files_at(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and plain path of a path or URI."""
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
@@ -215,24 +220,66 @@ def write_metric_frames(samples: DataFrame, path: str, kind: str, per_frame: int
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def read_metric_frames(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def frame_ranges(paths: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """paths(path, length) -> (path, start, end): each file in ranges of whole frames, of range_bytes or one frame.
+
+    A file's lengths are read by hopping from one to the next, eight bytes a frame; nothing else of it is. A file
+    whose last frame is cut off raises.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"]):
+                store, plain = _files_at(path)
+                rows, start, at = [], 0, 0
+                with store.open_input_file(plain) as file:
+                    while at < length:
+                        head = file.read_at(8, at)
+                        after = at + 8 + (struct.unpack("<Q", head)[0] if len(head) == 8 else length)
+                        if after > length:
+                            raise ValueError(f"{path}: the frame at byte {at} is cut off")
+                        if at > start and after - start > range_bytes:
+                            rows.append((path, start, at))
+                            start = at
+                        at = after
+                yield pd.DataFrame([*rows, (path, start, at)] if at > start else rows, columns=["path", "start", "end"])
+
+    return paths.select("path", "length").mapInPandas(run, "path string, start long, end long")
+
+
+def read_metric_frames(spark: SparkSession, path: str, kind: str, large: int = LARGE_FILE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Samples of a kind (cpu, disk, mem, gpu, proc) with run_id, the file's folder; a cut-off file raises.
 
-    One task a file, as frames can't be found from the middle; the samples fan out after.
+    Files of up to `large` bytes come whole, one after the other. A larger one is indexed by its frames' lengths,
+    and its ranges are dealt over the tasks, each of which reads a range at a time; its bytes are never one cell.
     """
     layout = LAYOUTS[kind]
     schema = T.StructType([T.StructField("run_id", T.StringType()), *_type(layout).fields])
+    run_id = F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("run_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(run: str, content: bytes) -> Iterator[pd.DataFrame]:
+        for message in frames(content):
+            rows = decode(message, {SAMPLES: ("samples", [layout])})["samples"]
+            if rows:
+                yield pd.DataFrame([{"run_id": run, **r} for r in rows], columns=schema.names)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for run, content in zip(batch["run_id"], batch["content"]):
+                yield from told(run, content)
+
+    def ranged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for run_id, content in zip(batch["run_id"], batch["content"]):
-                for message in frames(content):
-                    rows = decode(message, {SAMPLES: ("samples", [layout])})["samples"]
-                    if rows:
-                        yield pd.DataFrame([{"run_id": run_id, **r} for r in rows], columns=schema.names)
+            for run, name, start, end in zip(batch["run_id"], batch["path"], batch["start"], batch["end"]):
+                store, plain = _files_at(name)
+                with store.open_input_file(plain) as file:
+                    yield from told(run, file.read_at(end - start, start))
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("run_id"), "content").mapInPandas(run, schema)
+    small = files.where(F.col("length") <= large).select(run_id, "content").mapInPandas(whole, schema)
+    ranges = frame_ranges(files.where(F.col("length") > large), range_bytes)
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    return small.unionByName(ranges.select(run_id, "path", "start", "end").mapInPandas(ranged, schema))
 
 
 def cpu_long(samples: DataFrame) -> DataFrame:

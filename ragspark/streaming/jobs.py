@@ -11,8 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ragspark.operators import buckets
+from ragspark.operators.ann import IvfIndex, ivf_search
 from ragspark.operators.encoding import HashingEncoder, encode
-from ragspark.operators.search import format_contexts, knn_exact
+from ragspark.operators.search import format_contexts
 
 
 def stream_metric_windows(stream: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
@@ -76,13 +77,20 @@ def stream_collection_changes(stream: DataFrame, path: str, key: str, order_col:
 
 
 def stream_queries(
-    stream: DataFrame, index: DataFrame, k: int, sink: Callable[[DataFrame, int], None], encoder: Callable | None = None, dim: int = 64, metric: str = "IP"
+    stream: DataFrame, index: IvfIndex, texts: DataFrame, k: int, sink: Callable[[DataFrame, int], None], encoder: Callable | None = None, nprobe: int = 8, metric: str = "IP"
 ) -> DataStreamWriter:
-    """Arriving stream(qid, question) -> contexts of the k nearest rows of index(id, text, vector), by micro-batch, to sink."""
+    """Arriving stream(qid, question) -> contexts of the k nearest rows, by micro-batch, to sink.
+
+    index: lists of the texts' vectors (ivf_build, with a path so that lists are folders); texts(id, text). A
+    micro-batch collects its encoded questions once, reads the nprobe lists nearest to each, and fetches the
+    hits' texts. How many questions a batch has is the trigger's affair (maxFilesPerTrigger and the like).
+    """
+
+    dim = index.centroids.shape[1]
 
     def answer(batch: DataFrame, number: int) -> None:
-        asked = encode(batch, "question", encoder or (lambda: HashingEncoder(dim)))
-        hits = knn_exact(asked.select("qid", "vector"), index, k, metric)
-        sink(format_contexts(hits.join(index.select("id", "text"), "id")), number)
+        asked = encode(batch, "question", encoder or (lambda: HashingEncoder(dim))).select("qid", "vector")
+        hits = ivf_search(asked, index, k, nprobe, metric, few=True)
+        sink(format_contexts(hits.join(texts.select("id", "text"), "id")), number)
 
     return stream.writeStream.foreachBatch(answer)

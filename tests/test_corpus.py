@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragspark.operators import chunking, collections, encoding
@@ -126,3 +128,40 @@ def test_changes(spark):
     with pytest.raises(ValueError):
         collections.pair_vectors(target, short, "id", "x")
     assert rows(collections.assign_ids(target, "v", 7).select("v", "id")) == [("a", 7), ("b", 8), ("c", 9)]
+
+
+def _by_definition(text, size, overlap):
+    """chunk_recursive, said again: cut at the coarsest separator, recursively, then pack greedily."""
+
+    def cut(part, separators):
+        if len(part) <= size:
+            return [part]
+        if not separators or separators[0] == "":
+            return [part[k : k + size] for k in range(0, len(part), size)]
+        if separators[0] not in part:
+            return cut(part, separators[1:])
+        ends = [i + len(separators[0]) for i in _places(part, separators[0])]
+        return [x for a, b in zip([0, *ends], [*ends, len(part)]) if b > a for x in cut(part[a:b], separators[1:])]
+
+    out = []
+    for piece in cut(text, ["\n\n", "\n", " ", ""]):
+        if out and len(out[-1]) + len(piece) <= size:
+            out[-1] += piece
+        else:
+            tail = out[-1][-overlap:] if out and overlap and len(piece) + overlap <= size else ""
+            out.append(tail + piece)
+    return [c for c in out if c]
+
+
+def _places(part, separator):
+    at = part.find(separator)
+    while at >= 0:
+        yield at
+        at = part.find(separator, at + len(separator))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=120), st.integers(2, 20), st.integers(0, 6))
+def test_recursive_chunks_by_definition(text, size, overlap):
+    overlap = min(overlap, size - 1)
+    assert chunking.split_text(text, size, overlap) == _by_definition(text, size, overlap)

@@ -103,6 +103,33 @@ def test_broken_frames():
             list(frames.frames(bad))
 
 
+def test_large_files_are_read_by_ranges(spark, tmp_path):
+    samples = [{"ts_ns": n, "disk_metrics": [{"sectors_read": n * 2, "sectors_written": n}]} for n in range(400)]
+    for run in ("a", "b"):
+        (tmp_path / run).mkdir()
+        data = b"".join(frames.frame(samples[k : k + 5], "disk") for k in range(0, 400, 5))
+        (tmp_path / run / "x.bin").write_bytes(data)
+    (tmp_path / "a" / "small.bin").write_bytes(frames.frame(samples[:1], "disk"))
+    path = f"{tmp_path}/*/*.bin"
+    whole = frames.read_metric_frames(spark, path, "disk")
+    cut = frames.read_metric_frames(spark, path, "disk", large=200, range_bytes=300)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(cut) == rows(whole) and whole.count() == 801
+    files = spark.read.format("binaryFile").load(path).where("length > 200")
+    ranges = sorted(map(tuple, frames.frame_ranges(files, 300).collect()))
+    assert all(e - s <= 300 for _, s, e in ranges) and len(ranges) > 20
+    for run in ("a", "b"):  # the ranges are the file, one after the other
+        own = [(s, e) for p, s, e in ranges if f"/{run}/" in p]
+        assert own[0][0] == 0 and own[-1][1] == len(data) and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+    # one file's ranges are several tasks' work, and what is indexed is never read as content
+    one = frames.read_metric_frames(spark, f"{tmp_path}/b/*.bin", "disk", large=200, range_bytes=300)
+    assert one.select(F.spark_partition_id()).distinct().count() > 1
+    assert "length, content" not in frames.frame_ranges(files, 300)._jdf.queryExecution().optimizedPlan().toString().replace("[path", "")
+    (tmp_path / "b" / "x.bin").write_bytes(data[:-3])
+    with pytest.raises(Exception, match="cut off"):
+        frames.read_metric_frames(spark, path, "disk", large=200).count()
+
+
 def test_counters(spark):
     df = spark.createDataFrame([("a", 1, 5, 0), ("a", 2, 9, 0), ("a", 3, 9, 0), ("b", 1, 1, 0)], "d string, t long, x long, y long")
     got = sorted((r["d"], r["t"], r["x_delta"]) for r in telemetry.counter_delta(df, ["d"], "t", ["x"]).collect())
