@@ -100,15 +100,15 @@ def classified_spans(
 
     Ownership is counted over corpus, or docs where none is given; where docs are what a filter or a dedup left,
     corpus should be what they came from, as a secret whose copies are gone looks owned by few. class:
-    `example` where WIDE_OWNERS owners or WIDE_REPOS repositories hold the secret, else `live` where it looks
-    live, else `weak`. In a table of documents each document stands for a repository and its source for the owner.
+    `example` where WIDE_OWNERS owners hold the secret, or several with WIDE_REPOS repositories, else `live` where
+    it looks live (in however many repositories of one owner), else `weak`. In a table of documents each document stands for a repository and its source for the owner.
     """
     spans = written(candidate_spans(_keyed(docs, repo_col, owner_col, text_col).select("key", "text")))
     rows = _keyed(docs if corpus is None else corpus, repo_col, owner_col, text_col).where(F.col("text").rlike(ANY))
     every = spans if corpus is None else written(candidate_spans(rows.select("key", "text")))
     # written on both sides, so that Spark can split a frequent secret
     owned = written(ownership(every, rows.select("key", "repo", "owner")))
-    wide = (F.col("n_owners") >= WIDE_OWNERS) | (F.col("n_repos") >= WIDE_REPOS)
+    wide = (F.col("n_owners") >= WIDE_OWNERS) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= WIDE_REPOS))
     kind = F.when(wide, "example").when(looks_live(F.col("value")), "live").otherwise("weak")
     found = spans.withColumn("value_hash", _value_hash()).join(owned, "value_hash", "left")
     return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_repos", "n_owners")}).withColumn("class", kind)
@@ -184,7 +184,7 @@ owned as (
 every as (
   select doc_id, kind, k, s, e from spans
   union select doc_id, 'live', 3, vs, e from spans join owned using (val)
-  where n_owners < {WIDE_OWNERS} and n_repos < {WIDE_REPOS} and len(list_distinct(string_split(val, ''))) >= {LIVE_CHARACTERS}
+  where n_owners < {WIDE_OWNERS} and (n_owners < 2 or n_repos < {WIDE_REPOS}) and len(list_distinct(string_split(val, ''))) >= {LIVE_CHARACTERS}
     and regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]') and not regexp_matches(lower(val), '{PLACEHOLDERS}')),
 said as (
   select doc_id, count(*) filter (k = 0) as a, count(*) filter (k = 1) as b, count(*) filter (k = 2) as c,
