@@ -87,9 +87,8 @@ LICENSES = {
 TEMPLATES = {label: [w for w in re.split("[^a-z0-9]+", text.lower()) if w] for label, text in LICENSES.items()}
 #: share of a template's words that a block must hold
 CONTAINMENT = 0.8
-#: a template's blocks are windows of twice so many words as start at multiples of it: the least of these that
-#: the template's words fit in, so that an occurrence of as many words lies in one block
-STEPS = (32, 64, 128, 256)
+#: words of a cell, in which templates that are like each other are compared; blocks are whole numbers of cells
+CELL = 32
 
 
 def words_of(text: Column) -> Column:
@@ -98,7 +97,38 @@ def words_of(text: Column) -> Column:
 
 
 def step_of(label: str) -> int:
-    return next(x for x in STEPS if len(TEMPLATES[label]) <= x)
+    """A template's blocks are windows of twice so many words, at multiples of it: the least power of two that the
+    template's words fit in, so that an occurrence of as many words lies in one block."""
+    return max(CELL, 1 << (len(TEMPLATES[label]) - 1).bit_length())
+
+
+def families() -> dict[str, str]:
+    """label -> the first label of its family: templates linked by one holding CONTAINMENT of the other's words."""
+    sets, family = {k: set(v) for k, v in TEMPLATES.items()}, {k: k for k in sorted(TEMPLATES)}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if len(sets[a] & sets[b]) >= CONTAINMENT * min(len(sets[a]), len(sets[b])):
+                first, other = sorted((family[a], family[b]))
+                family = {k: first if f == other else f for k, f in family.items()}
+    return family
+
+
+def best_labels(met: DataFrame) -> DataFrame:
+    """met(key, step, block, label, containment) -> (key, label): the labels that their places speak for.
+
+    Templates of one family hold most of each other's words, so one occurrence meets several. In each cell of
+    CELL words the one of largest containment counts, of equal ones that of most words, as it holds the words
+    that set it apart. A label stays that counts in all cells of one of its blocks.
+    """
+    kinds = [(label, family, len(set(TEMPLATES[label]))) for label, family in families().items()]
+    named = met.join(F.broadcast(met.sparkSession.createDataFrame(kinds, "label string, family string, n int")), "label")
+    at = F.sequence((F.col("block") * F.col("step") / CELL).cast("int"), ((F.col("block") + 2) * F.col("step") / CELL).cast("int") - 1)
+    cells = named.select("key", "step", "block", "label", "family", F.struct("containment", "n", "label").alias("rank"), F.explode(at).alias("cell"))
+    # a row a cell and template at most, so that no group grows with the text
+    cells = written(cells)
+    lead = cells.groupBy("key", "family", "cell").agg(F.max("rank").alias("lead"))
+    won = cells.join(lead, ["key", "family", "cell"]).groupBy("key", "label", "step", "block").agg(F.bool_and(F.col("lead.label") == F.col("label")).alias("all"))
+    return won.where("all").select("key", "label").distinct()
 
 
 def vocabulary() -> list[str]:
@@ -171,17 +201,20 @@ def _phrases(joined: Column) -> dict[str, Column]:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """Per row of docs: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
+    """Per row of docs: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches).
 
-    labels: the base phrases' labels and those of the templates met by a block of the text. score: the largest
-    share of a template's words that a block holds, where it meets the threshold; else 0. Null and empty
-    texts have no words, null first and last words, empty labels and score 0. Repeated rows and null ids are
-    returned as they come.
+    labels: the base phrases' labels and the best ones of the templates met (see best_labels). matches: all
+    templates that a block of the text meets. score: the largest share of a template's words that a block
+    holds, where it meets the threshold; else 0. Null and empty texts have no words, null first and last words,
+    empty labels and score 0. Repeated rows and null ids are returned as they come.
     """
     rows = docs.select("doc_id", text_key().alias("key"), words_of(F.col("text")).alias("words"))
     keyed = rows.select("key", "words")
     met = template_blocks(keyed, token_order(keyed))
-    per_text = written(met.groupBy("key").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best")))
+    met = written(met)
+    every = met.groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("every"), F.max("containment").alias("best"))
+    named = best_labels(met).groupBy("key").agg(F.collect_set("label").alias("met"))
+    per_text = written(every.join(named, "key", "left"))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     base = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), joined.alias("joined"))
     base = base.select("doc_id", "key", "n_words", *(c.alias(k) for k, c in _phrases(F.col("joined")).items()))
@@ -190,11 +223,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base_labels", F.coalesce("met", F.array().cast("array<string>")))), ",").alias("labels"),
         F.coalesce("best", F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_join("every", ","), F.lit("")).alias("matches"),
     )
 
 
 def _sql() -> str:
-    values = ", ".join(f"({step_of(k)}, '{k}', ['{"', '".join(sorted(set(v)))}'])" for k, v in TEMPLATES.items())
+    family, steps = families(), sorted({step_of(k) for k in TEMPLATES})
+    values = ", ".join(f"({step_of(k)}, '{k}', '{family[k]}', ['{"', '".join(sorted(set(v)))}'])" for k, v in TEMPLATES.items())
     count = " union all ".join(
         f"select doc_id, '{label}' as label, unnest(range(1, len(w) + 1)) as i, w, {len(p.split())} as n, ['{"', '".join(p.split())}'] as p from words"
         for p, label in PHRASES.items()
@@ -207,18 +242,24 @@ places as (select doc_id, label, i - 1 as i from ({count}) where w[i:i + n - 1]
 base as (
   select doc_id, count(*) as n, min(i) as a, max(i) as b, list(distinct label) as labels from places group by doc_id),
 blocks as (
-  select doc_id, step, list_distinct(w[b * step + 1:(b + 2) * step]) as held from (
-    select doc_id, w, step, unnest(range(0, len(w) // step + 1)) as b from words, (values {", ".join(f"({x})" for x in STEPS)}) t(step))),
+  select doc_id, step, b, list_distinct(w[b * step + 1:(b + 2) * step]) as held from (
+    select doc_id, w, step, unnest(range(0, len(w) // step + 1)) as b from words, (values {", ".join(f"({x})" for x in steps)}) t(step))),
 met as (
-  select doc_id, label, len(list_intersect(held, tokens)) / len(tokens) as c
-  from blocks join (values {values}) as t(step, label, tokens) using (step)
+  select doc_id, step, b, label, family, len(tokens) as n, len(list_intersect(held, tokens)) / len(tokens) as c
+  from blocks join (values {values}) as t(step, label, family, tokens) using (step)
   where len(held) >= ceil(len(tokens) * {CONTAINMENT}) and len(list_intersect(held, tokens)) >= ceil(len(tokens) * {CONTAINMENT})),
-best as (select doc_id, list(distinct label) as labels, max(c) as c from met group by doc_id)
+cells as (
+  select *, row_number() over (partition by doc_id, family, cell order by c desc, n desc, label desc, step, b) as place from (
+    select *, unnest(range(b * step // {CELL}, (b + 2) * step // {CELL})) as cell from met)),
+leads as (select doc_id, family, cell, label as lead from cells where place = 1),
+won as (select doc_id, label from cells join leads using (doc_id, family, cell) group by doc_id, label, step, b having bool_and(label = lead)),
+named as (select doc_id, list(distinct label) as labels from won group by doc_id),
+best as (select doc_id, list(distinct label) as every, max(c) as c from met group by doc_id)
 select w.doc_id, len(w) as n_words, coalesce(n, 0) as n_base, a as first_word, b as last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ','), '') as labels,
-  coalesce(c, 0.0)::double as score
-from words w left join base using (doc_id) left join best using (doc_id)
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(named.labels, [])))), ','), '') as labels,
+  coalesce(c, 0.0)::double as score, coalesce(array_to_string(list_sort(every), ','), '') as matches
+from words w left join base using (doc_id) left join best using (doc_id) left join named using (doc_id)
 """
 
 

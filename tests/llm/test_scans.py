@@ -97,7 +97,9 @@ def test_each_template_is_met_wherever_it_stands(spark):
     docs = [(f"{label}:{k}", "w " * k + text + " v" * 40) for label, text in licenses.LICENSES.items() for k in (0, 1, 31, 33, 100, 255)]
     df = spark.createDataFrame(docs, "doc_id string, text string")
     for r in licenses.license_scan(df).collect():
-        assert r["doc_id"].split(":")[0] in r["labels"].split(",") and r["score"] == 1.0
+        label = r["doc_id"].split(":")[0]
+        told = set(r["labels"].split(",")) - set(r["base_labels"].split(","))
+        assert told == {label} and label in r["matches"].split(",") and r["score"] == 1.0, r
 
 
 def test_licenses_edges(spark):
@@ -107,6 +109,13 @@ def test_licenses_edges(spark):
     assert len(got) == 3 and {r["labels"] for r in got} == {"apache-2.0"}
 
 
+def test_repositories_of_one_owner_make_no_example(spark):
+    mine, ours = "1eb9c654e721b4f812088970e66a6345cee33dd6", "9f3b7c2d1e8a4f60b5c7d9e1f2a3b4c5"
+    docs = [(i, f"token={mine} secret={ours}" if i else f"secret={ours}", "en", "s0" if i else "s1", 1) for i in range(secrets.WIDE_REPOS + 10)]
+    kinds = {r["value"]: r["class"] for r in secrets.classified_spans(spark.createDataFrame(docs, DOCS)).where("kind = 'assign'").collect()}
+    assert kinds == {mine: "live", ours: "example"}
+
+
 def test_ownership_over_repositories_and_the_whole_corpus(spark):
     own, copied = "1eb9c654e721b4f812088970e66a6345cee33dd6", "9f3b7c2d1e8a4f60b5c7d9e1f2a3b4c5"
     docs = [(i, f"n {i} secret: {copied}", "en", f"s{i % 2}", 1) for i in range(secrets.WIDE_REPOS)] + [(900, f"token={own}", "en", "s0", 1)]
