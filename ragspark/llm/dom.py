@@ -13,7 +13,8 @@ import numpy as np
 
 # Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style template head title iframe select option textarea button".split())
+HIDDEN = set("script style template head title iframe select option textarea".split())
+SVG_TITLE = "svg title"  # of a drawing, not of the page: its words are text
 #: elements that may stand in a head; any other one ends it, as text does
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCKS = set(
@@ -157,6 +158,8 @@ class _Builder(HTMLParser):
             return
         if tag in ("td", "th"):
             self._text(" ", 0)
+        if tag == "title" and any(t == "svg" for t, _ in self.open):
+            tag = SVG_TITLE
         self.open.append((tag, self.node))
         self.hidden += tag in HIDDEN
         self.linked += tag == "a"
@@ -170,6 +173,8 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("td", "th"):
             self._text(" ", 0)
+        if tag == "title" and any(t == SVG_TITLE for t, _ in self.open):
+            tag = SVG_TITLE
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._pop(k)
@@ -230,6 +235,7 @@ def features(order: list[Node], ratios: np.ndarray) -> np.ndarray:
     """
     root, rows, above, seen = order[0], [], {}, 0
     total, links = max(root.chars, 1), max(root.links, 1)
+    only = sum(n.tag == "article" for n in order) == 1  # a page with one article says where its main text is
     known: dict[int, tuple] = {}
     top = (_NONE, 0, 0, 0, 0.0, 0.0, 0.0)
 
@@ -257,7 +263,7 @@ def features(order: list[Node], ratios: np.ndarray) -> np.ndarray:
             node.links / max(node.words, 1), node.links / links, np.log1p(node.nodes), node.chars / node.nodes, node.own / max(node.chars, 1),
             node.depth, seen / total, node.number / len(order), n, same / n, node.chars / max(text_siblings, 1),
             linked / max(text_siblings, 1), most / total, np.log1p(node.parent.chars if node.parent else total),
-            *inside[1:4], told, low, high, *inside[4:], *_tag_columns(node.tag), *node.kinds.tolist(), *kinds.tolist(),
+            *inside[1:4], only, only and inside[2] > 0, told, low, high, *inside[4:], *_tag_columns(node.tag), *node.kinds.tolist(), *kinds.tolist(),
         ])
         seen += node.own
     return np.array(rows, np.float32)

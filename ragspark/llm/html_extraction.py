@@ -17,16 +17,19 @@ from ragspark.llm import dom
 from ragspark.llm.gbt import Trees, fit_trees
 from ragspark.llm.tables import first_by_hash
 
-#: bounds of training: pages read, their length, and pages composed anew of their texts for each of them
+#: bounds of training: pages read, their bytes in all, and pages composed anew of their texts for each of them
 SAMPLE_PAGES = 300
-SAMPLE_CHARS = 200_000
+SAMPLE_BYTES = 64 << 20
 COMPOSED = 4
+#: how often a page of the sample counts beside a composed one
+REAL = 8
 #: lines in a row of a text that a composed page may hold
 COMPOSED_LINES = 120
 #: what a node costs whose children are decided apart
 SPLIT = 0.4
 #: folds of training pages between which the ratios of attribute words are told apart
 FOLDS = 5
+TREES = 90
 
 # ---- pages for training
 
@@ -61,7 +64,25 @@ def _element(rng: random.Random, tag: str, name: str, body: str, y: str | None =
     return f"<{tag}{attrs}{f' {dom.MARK}={y}' if y else ''}>{body}</{tag}>"
 
 
-def _boilerplate(rng: random.Random, kind: str, texts: list[str]) -> str:
+class Names:
+    """How a page names its elements: by the lists above, by words of its own that tell nothing, or not at all."""
+
+    def __init__(self, rng: random.Random, classes: dict[str, list[str]] | None = None):
+        self.rng, self.classes = rng, classes or _CLASSES
+        self.style = "known" if classes else rng.choice(["known", "known", "known", "strange", "none"])
+        self.own: dict[str, str] = {}
+
+    def of(self, kind: str) -> str:
+        if self.style == "none":
+            return ""
+        if self.style == "known":
+            return self.rng.choice(self.classes[kind] if kind in self.classes else _MAIN)
+        if kind not in self.own:
+            self.own[kind] = "".join(self.rng.choice("bcdfghjklmnprstvwz") + self.rng.choice("aeiou") for _ in range(self.rng.randint(1, 4)))
+        return self.own[kind]
+
+
+def _boilerplate(rng: random.Random, kind: str, texts: list[str], names: Names) -> str:
     tag = rng.choice(_TAGS[kind])
     link = lambda: f'<a href="/{rng.randrange(999)}">{_words(rng, texts, 1, 4)}</a>'
     item = "li" if tag in ("ol", "ul") or rng.random() < 0.4 else rng.choice(["p", "div"])
@@ -76,23 +97,28 @@ def _boilerplate(rng: random.Random, kind: str, texts: list[str]) -> str:
         body = f"<label>{_words(rng, texts, 1, 6)}</label><input name=q><p>{_words(rng, texts, 2, 15)}</p><button>{_words(rng, texts, 1, 2)}</button>"
     elif kind == "comment":
         body = (f"<h3>{_words(rng, texts, 1, 3)}</h3>" if tag not in ("ol", "ul") else "") + "".join(
-            _element(rng, "li" if tag in ("ol", "ul") else rng.choice(["div", "article", "p"]), "comment", f"<p>{_words(rng, texts, 4, 60)}</p>", named=0.5)
+            _element(rng, "li" if tag in ("ol", "ul") else rng.choice(["div", "article", "p"]), names.of("comment"), f"<p>{_words(rng, texts, 4, 60)}</p>", named=0.5)
             for _ in range(rng.randint(1, 5))
         )
     elif kind == "header":
-        body = f"<h2>{link()}</h2>" + rng.choice(["", f"<p>{_words(rng, texts, 2, 10)}</p>", _boilerplate(rng, "menu", texts)])
+        body = f"<h2>{link()}</h2>" + rng.choice(["", f"<p>{_words(rng, texts, 2, 10)}</p>", _boilerplate(rng, "menu", texts, names)])
     else:
         body = rng.choice(["", "<p>"]) + _words(rng, texts, 3, 45) + rng.choice(["", " " + link()])
         body = "&copy; " + body if kind == "footer" else body
     own = tag in ("nav", "header", "footer", "aside", "form")
-    return _element(rng, tag, rng.choice(_CLASSES[kind]), body, "0", 0.5 if own else 1.0)
+    return _element(rng, tag, names.of(kind), body, "0", 0.5 if own else 1.0)
+
 
+def composed_page(rng: random.Random, texts: list[str], classes: dict[str, list[str]] | None = None) -> str:
+    """A page around one of the texts, of random layout; elements are marked as main text or not.
 
-def composed_page(rng: random.Random, texts: list[str]) -> str:
-    """A page around one of the texts, of random layout; elements are marked as main text or not."""
+    Three in five pages name elements by the lists above, the others by words that tell nothing, or not at all;
+    with classes, all take these.
+    """
+    names = Names(rng, classes)
     lines = [x for x in rng.choice(texts).split("\n") if x.strip()] or ["a"]
     start = rng.randrange(max(1, len(lines) - COMPOSED_LINES + 1))
-    lines = lines[start : start + COMPOSED_LINES]
+    lines = lines[start : start + (COMPOSED_LINES if rng.random() < 0.85 else rng.randint(1, 3))]
     blocks = []
     if rng.random() < 0.8:
         blocks.append(f"<h1>{_words(rng, texts, 2, 9)}</h1>")
@@ -104,19 +130,19 @@ def composed_page(rng: random.Random, texts: list[str]) -> str:
         blocks.append(f"<ul><li>{body}</li></ul>" if tag == "li" else f"<{tag}>{body}</{tag}>")
     for _ in range(rng.choice([0, 0, 1, 2])):  # what stands amid the article
         kind = rng.choice(["advert", "advert", "social", "form", "notice", "sidebar"])
-        blocks.insert(rng.randint(0, len(blocks)), _boilerplate(rng, kind, texts))
+        blocks.insert(rng.randint(0, len(blocks)), _boilerplate(rng, kind, texts, names))
     if rng.random() < 0.25:
-        blocks.append(_boilerplate(rng, "comment", texts))
+        blocks.append(_boilerplate(rng, "comment", texts, names))
     tag = rng.choice(["article", "article", "main", "div", "div", "section"])
-    main = _element(rng, tag, rng.choice(_MAIN), "".join(blocks), "1", 0.9 if tag == "div" else 0.6)
+    main = _element(rng, tag, names.of("main"), "".join(blocks), "1", 0.9 if tag == "div" else 0.6)
     for _ in range(rng.choice([0, 0, 1, 2])):
         main = _element(rng, rng.choice(["div", "div", "main", "section"]), rng.choice(["wrapper", "container", "row", "page", "main", ""]), main)
-    before = [_boilerplate(rng, k, texts) for k in ("notice", "header", "menu", "form", "advert") if rng.random() < 0.5]
-    after = [_boilerplate(rng, k, texts) for k in ("sidebar", "social", "comment", "sidebar", "advert", "form", "notice") if rng.random() < 0.35]
+    before = [_boilerplate(rng, k, texts, names) for k in ("notice", "header", "menu", "form", "advert") if rng.random() < 0.5]
+    after = [_boilerplate(rng, k, texts, names) for k in ("sidebar", "social", "comment", "sidebar", "advert", "form", "notice") if rng.random() < 0.35]
     if rng.random() < 0.3 and after:
         before.append(after.pop())
     rng.shuffle(before), rng.shuffle(after)
-    foot = _boilerplate(rng, "footer", texts) if rng.random() < 0.85 else ""
+    foot = _boilerplate(rng, "footer", texts, names) if rng.random() < 0.85 else ""
     return f"<html><head><title>x</title></head><body>{''.join(before)}{main}{''.join(after)}{foot}</body></html>"
 
 
@@ -158,25 +184,34 @@ def _ratios(counts: np.ndarray) -> np.ndarray:
     return np.log(rates[1]) - np.log(rates[0])
 
 
-def fit(orders: list[list[dom.Node]], labels: list[np.ndarray]) -> PageModel:
+def fit(orders: list[list[dom.Node]], labels: list[np.ndarray], weights: list[float] | None = None) -> PageModel:
     """Trees that see, for each page, ratios of the other folds' pages, as a page's own labels must not tell."""
     counts = np.zeros((FOLDS, 2, dom.TOKENS))
-    for k, (order, y) in enumerate(zip(orders, labels)):
-        counts[k % FOLDS] += _counts(order, y)
+    weights = weights or [1.0] * len(orders)
+    for k, (order, y, w) in enumerate(zip(orders, labels, weights)):
+        counts[k % FOLDS] += w * _counts(order, y)
     others = [_ratios(counts.sum(axis=0) - c) for c in counts]
     x = np.concatenate([dom.features(o, others[k % FOLDS]) for k, o in enumerate(orders)])
-    return PageModel(_ratios(counts.sum(axis=0)), fit_trees(x.astype(float), np.concatenate(labels)))
+    each = np.repeat(weights, [len(o) for o in orders])
+    return PageModel(_ratios(counts.sum(axis=0)), fit_trees(x.astype(float), np.concatenate(labels), trees=TREES, weight=each))
 
 
 def train(pages: DataFrame) -> PageModel:
-    """Fit on a bounded sample of pages, the first SAMPLE_PAGES by a hash of their ids.
+    """Fit on a bounded sample of pages, the first SAMPLE_PAGES by a hash of their ids, SAMPLE_BYTES in all at most.
 
-    A page that has one <article> is labelled by it. The texts of the sample are also composed into new pages
+    Pages are taken whole; one that no longer fits makes room for the next. A page that has one <article> is labelled by it. The texts of the sample are also composed into new pages
     of many layouts, with other elements, names and kinds of boilerplate, whose labels are known. Without any
     text a fixed sentence takes its place.
     """
-    chosen = first_by_hash(pages.where(f"page_id is not null and length(html) between 1 and {SAMPLE_CHARS}").select("page_id"), SAMPLE_PAGES, "page_id")
-    rows = pages.where(f"length(html) <= {SAMPLE_CHARS}").select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id")  # at most SAMPLE_PAGES ids
+    sized = pages.where("page_id is not null and length(html) > 0").select("page_id", F.octet_length("html").alias("bytes"))
+    ids, left = [], SAMPLE_BYTES
+    for r in first_by_hash(sized, SAMPLE_PAGES, "page_id").collect():
+        if r["bytes"] <= left:
+            ids.append((r["page_id"],))
+            left -= r["bytes"]
+    chosen = pages.sparkSession.createDataFrame(sorted(set(ids)), f"page_id {pages.schema['page_id'].dataType.simpleString()}")
+    fits = F.octet_length("html") <= SAMPLE_BYTES
+    rows = pages.where(fits).select("page_id", "html").join(F.broadcast(chosen), "page_id")  # at most SAMPLE_PAGES ids
     parsed, y, texts = [], [], []
     for row in rows.orderBy("page_id", F.md5("html")).limit(SAMPLE_PAGES).collect():
         order = dom.parse(row["html"])
@@ -188,12 +223,13 @@ def train(pages: DataFrame) -> PageModel:
         found = "\n".join(kept_blocks(order, articles[0].number if len(articles) == 1 else 0))
         texts.append(found)
     texts = [t for t in texts if t.strip()] or ["This page holds a few words of text, and no more than that."]
+    weights = [float(REAL)] * len(parsed) + [1.0] * (COMPOSED * SAMPLE_PAGES)
     rng = random.Random(7)
     for _ in range(COMPOSED * SAMPLE_PAGES):
         order = dom.parse(composed_page(rng, texts))
         parsed.append(order)
         y.append(_labels(order, {n.number: n.mark for n in order if n.mark}))
-    return fit(parsed, y)
+    return fit(parsed, y, weights)
 
 
 # ---- decoding
