@@ -158,10 +158,17 @@ def c2_hashing_encoder(spark, sf_dir):
     select doc_id, array_to_string(list_transform(range(64), lambda i: case when len(list_filter(l, lambda x: x.d = i)) > 0
       then round(list_filter(l, lambda x: x.d = i)[1].s * 1000 / n)::int else 0 end), ',') as thousandths from documents left join told using (doc_id)""")
 def c1_encode(spark, sf_dir):
-    """The documents' hashed vectors, in thousandths."""
+    """The documents' hashed vectors, in thousandths.
+
+    They come from the counts in double precision, as entries rounded to float may lie on the other side of a half.
+    """
+    from ragspark.functions.vectors import norm
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    told = encoding.encode(docs, "text", lambda: encoding.HashingEncoder(64))
-    return told.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), ",").alias("thousandths"))
+    told = encoding.encode(docs, "text", lambda: encoding.HashingEncoder(64, scaled=False), kind="double")
+    lengths = F.array_repeat(norm("vector"), F.size("vector"))
+    thousandths = F.zip_with("vector", lengths, lambda x, n: F.when(n > 0, F.round(x * 1000 / n)).otherwise(0.0).cast("int").cast("string"))
+    return told.select("doc_id", F.array_join(thousandths, ",").alias("thousandths"))
 
 
 @query("""select vec_id, round(v[1], 4) as first, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) as norm from (

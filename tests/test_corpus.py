@@ -165,3 +165,22 @@ def _places(part, separator):
 def test_recursive_chunks_by_definition(text, size, overlap):
     overlap = min(overlap, size - 1)
     assert chunking.split_text(text, size, overlap) == _by_definition(text, size, overlap)
+
+
+def test_encoded_documents_equal_their_sql(spark, tmp_path):
+    """Entries that lie on a half (7 of a length of 80: 87.5 thousandths), white space that is no ASCII, letters whose lower case is special."""
+    import duckdb
+
+    import __spark_entry__ as driver
+
+    slot, by_dim = encoding.HashingEncoder(64)._slot, {}
+    for i in range(5000):
+        by_dim.setdefault(slot(f"w{i}"), f"w{i}")
+    half = " ".join(" ".join([by_dim[2 * d + 1]] * n) for d, n in enumerate((7, 79, 10, 3, 1)))
+    texts = [half, "a\xa0b c\x0bd e\x1cf\u2003g", "\u039f\u0394\u039f\u03a3 \u03a3\u0391\u03a3 x", "\u0130stanbul Iz", " \t\n", "", None, "a b a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["thousandths"] for r in driver.queries()["c1_encode"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.sql(driver.oracle_sql()["c1_encode"]).fetchall())
+    assert got[0].startswith("88,")
