@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ragspark.functions.vectors import best_first, similarity
+from ragspark.functions.vectors import best_first, dot, norm, similarity, squared_distance
 from ragspark.operators.position import with_position
 from ragspark.storage import written
 
@@ -17,6 +18,8 @@ from ragspark.storage import written
 QUERY_BYTES = 64 << 20
 #: scores that a task holds at once
 SCORE_CELLS = 4 << 20
+#: entries of a vector up to which a score of built-in functions is spelled out entry by entry
+SPELLED = 128
 
 
 def scores(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -121,18 +124,58 @@ def by_blocks(asked: DataFrame, bytes_per_query: int, search: Callable[[list[Row
 
 
 def knn_exact_sql(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "L2") -> DataFrame:
-    """knn_exact by built-in functions alone: each block of queries goes to all executors and meets every row there."""
+    """knn_exact by built-in functions alone: each block of queries goes to all executors and meets every row there.
+
+    Vectors of up to SPELLED entries become a column an entry, so that Spark compiles the score. Each query's k-th
+    best score among some rows (about the root of k times all) bounds what can be among its k best of all rows, so that only
+    scores as good as that one are ranked. A vector of norm zero has no cosine.
+    """
+    similarity(metric, F.lit(None), F.lit(None))
     asked, dim = _asked(queries)
     v = vectors.where(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("id", "vector")
+    n = v.count()
+    some = math.isqrt(k * n) + k
+    worst = float("inf") if metric == "L2" else float("-inf")
+    # few bytes meet many queries, so they are dealt over as many tasks as shuffles have
+    spread = _entries(v.repartition(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"), "v", dim, metric)
+    score = F.nanvl(_score(metric, dim), F.lit(None).cast("double"))
 
     def search(rows: list[Row]) -> DataFrame:
-        block = v.sparkSession.createDataFrame(rows, asked.schema)
-        pairs = v.join(F.broadcast(block.withColumnRenamed("vector", "q")))
-        return pairs.select("qid", "id", similarity(metric, "q", "vector").alias("score")).where("not isnan(score)")
+        block = _entries(v.sparkSession.createDataFrame(rows, asked.schema), "q", dim, metric)
+        near = spread.where(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))) < some).join(F.broadcast(block), score.isNotNull())
+        kth = ranked(near.select("qid", "id", score.alias("score")), k, metric).where(F.col("rank") == k - 1).select("qid", F.col("score").alias("kth"))
+        bounded = block.join(written(kth), "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(worst)))
+        return spread.join(F.broadcast(bounded), score <= F.col("kth") if metric == "L2" else score >= F.col("kth")).select("qid", "id", score.alias("score"))
 
     return ranked(by_blocks(asked, 8 * dim, search), k, metric).select("qid", "rank", "id", "score")
 
 
+def _entries(df: DataFrame, name: str, dim: int, metric: str) -> DataFrame:
+    """df with its column vector as double columns, or as one array where it is long, and with its norm where the metric asks for it.
+
+    NaN stands for what isn't there, so that Spark needs no null checks between them.
+    """
+    nan, v = F.lit(float("nan")), F.col("vector").cast("array<double>")
+    if dim <= SPELLED:
+        columns = [F.coalesce(F.get(v, F.lit(i)), nan).alias(f"{name}{i}") for i in range(dim)]
+    else:
+        columns = [F.transform(v, lambda x: F.coalesce(x, nan)).alias(name)]
+    if metric == "COSINE":
+        length = norm("vector")
+        columns.append(F.coalesce(F.when(length > 0, length), nan).alias(f"{name}_norm"))
+    return df.select(*(c for c in df.columns if c != "vector"), *columns)
+
+
+def _score(metric: str, dim: int) -> Column:
+    """Score of a row's columns q and v as _entries names them."""
+    if dim <= SPELLED:
+        pairs = ((F.col(f"q{i}"), F.col(f"v{i}")) for i in range(dim))
+        found = sum(((a - b) * (a - b) if metric == "L2" else a * b for a, b in pairs), F.lit(0.0))
+    else:
+        found = squared_distance("q", "v") if metric == "L2" else dot("q", "v")
+    return found / (F.col("q_norm") * F.col("v_norm")) if metric == "COSINE" else found
+
+
 def format_contexts(hits: DataFrame) -> DataFrame:
     """hits(qid, rank, text) -> (qid, contexts): the formatted contexts in rank order."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\n+", "\n")

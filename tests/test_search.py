@@ -338,3 +338,20 @@ def test_registered_indexes_reach_their_recall(spark):
         recall = search.recall_at_k(found(spark, sf), exact).agg({"recall": "avg"}).first()[0]
         print(found.__name__, recall)
         assert recall >= 0.9
+
+
+def test_built_in_search_compiles_its_scores_and_ranks_few(spark):
+    """Zero, null, short and NaN vectors, copies and long vectors: as by matrices; no row-by-row lambda, and a bound on what is ranked."""
+    rng = np.random.default_rng(3)
+    for dim in (5, search.SPELLED + 2):
+        held = [(i, rng.normal(size=dim).round(1).tolist()) for i in range(300)]
+        held += [(300 + i, held[7][1]) for i in range(20)] + [(400, [0.0] * dim), (401, None), (402, [1.0]), (403, [float("nan")] * dim)]
+        vectors = spark.createDataFrame(held, "id long, vector array<float>")
+        queries = spark.createDataFrame([x for x in held if x[0] % 40 == 0], "qid long, vector array<float>")
+        for metric in ("L2", "IP", "COSINE"):
+            got, want = (rows(f(queries, vectors, 6, metric)) for f in (search.knn_exact_sql, search.knn_exact))
+            assert got == want
+        assert search.knn_exact_sql(queries.where("qid < 0"), vectors, 6, "COSINE").count() == 0 == search.knn_exact_sql(queries, vectors.where("id < 0"), 6).count()
+    plan = search.knn_exact_sql(queries.select("qid", F.slice("vector", 1, 5).alias("vector")), vectors.select("id", F.slice("vector", 1, 5).alias("vector")), 6, "IP")
+    said = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in said and "kth" in said
