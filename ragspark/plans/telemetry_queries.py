@@ -267,7 +267,9 @@ def a9_read_stage_log(spark, sf_dir):
     rows = _events(spark, sf_dir)
     good = rows.select(F.col("run_id").alias("run"), F.concat_ws(", ", "tag", F.col("ts_ns").cast("string")).alias("value"))
     bad = rows.where("event_id % 5 = 0").select(F.col("run_id").alias("run"), F.lit("no number, here").alias("value"))
-    good.unionByName(bad).repartition("run").write.partitionBy("run").text(path)
+    # a named number of tasks: Spark would make one of so few bytes, and each run is a folder to make
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    good.unionByName(bad).repartition(tasks, "run").write.partitionBy("run").text(path)
     return logs.read_stage_log(spark, f"{path}/run=*")
 
 

@@ -46,6 +46,15 @@ def test_log_readers(spark, tmp_path):
     assert [tuple(r) for r in got] == [(32, 7, 2), (32, 9, 1)]
 
 
+def test_stage_logs_are_written_by_all_tasks_and_cut_without_patterns(spark):
+    from ragspark.plans import telemetry_queries as t
+
+    found = t.a9_read_stage_log(spark, "/root/testdata/sf0.001")
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in found.inputFiles()}) > 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp" not in plan
+
+
 SAMPLES = {
     "cpu": {"ts_ns": 5, "core_stats": [{n: i * 300 for i, n in enumerate(telemetry.CPU_COUNTERS)}] * 2},
     "disk": {"ts_ns": 2**40, "disk_metrics": [{"sectors_read": 1, "sectors_written": 2**50}]},
